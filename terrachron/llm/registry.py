@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from .ann import op5_vantage_point_ann
+from .chat import OP4_SQL, op4_chat_format
 from .packing import op9_cost_packing
+from .simhash import op3_simhash_near_dedup
 from .token_counts import op10_token_counts
+from .token_files import op6_token_files
 
 
 def queries() -> dict:
     return {
+        "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op4_chat_format": op4_chat_format,
+        "op5_vantage_point_ann": op5_vantage_point_ann,
+        "op6_token_files": op6_token_files,
         "op9_cost_packing": op9_cost_packing,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_format": OP4_SQL}
