@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .ann import op5_vantage_point_ann
 from .chat import OP4_SQL, op4_chat_format
+from .ctw import op7_context_tree_weighting
 from .packing import op9_cost_packing
+from .quality import op8_quality_classifier
 from .simhash import op3_simhash_near_dedup
 from .token_counts import op10_token_counts
 from .token_files import op6_token_files
@@ -16,6 +18,8 @@ def queries() -> dict:
         "op4_chat_format": op4_chat_format,
         "op5_vantage_point_ann": op5_vantage_point_ann,
         "op6_token_files": op6_token_files,
+        "op7_context_tree_weighting": op7_context_tree_weighting,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_cost_packing": op9_cost_packing,
         "op10_token_counts": op10_token_counts,
     }
