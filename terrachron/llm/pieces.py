@@ -7,6 +7,7 @@ kept in flat arrays; the ids of a batch of texts are then one vectorised gather.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -17,7 +18,7 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of other characters with at most one blank before it, or white space as the pattern of byte-level BPE takes it.
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 BATCH_CHARS = 2_000_000
 
 
@@ -34,11 +35,23 @@ class _Index(dict):
         return number
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The values of ``flat`` from each start on, as many as ``lens`` says, in a row."""
+    ends = np.cumsum(lens)
+    at = np.repeat(starts - (ends - lens), lens)
+    at += np.arange(len(at))
+    return flat[at]
+
+
 class PieceStore:
-    """Numbers pieces and keeps an array of values for each; emptied once it holds ``limit`` pieces."""
+    """Numbers pieces and keeps an array of values for each; ``values_of`` gives all values of some pieces in a row, and how many each has.
+
+    Once it holds ``limit`` pieces it starts anew, and keeps the former generation only to look up
+    pieces that come again: at most two generations are in memory."""
 
-    def __init__(self, values_of: Callable[[list], list], dtype, limit: int = CACHE_PIECES):
+    def __init__(self, values_of: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype, limit: int = CACHE_PIECES):
         self.values_of, self.dtype, self.limit = values_of, dtype, limit
+        self.former: tuple | None = None
         self.clear()
 
     def clear(self) -> None:
@@ -46,40 +59,45 @@ class PieceStore:
         self.flat = np.empty(1 << 16, self.dtype)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lens = np.zeros(1 << 14, np.int64)
-        self.used = self.count = 0
+        self.used = 0
 
     def codes(self, pieces: list) -> np.ndarray:
         out = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        if self.index.pending:
-            values = self.values_of(self.index.pending)
+        pending = self.index.pending
+        if pending:
             self.index.pending = []
-            self._append(values)
+            number = np.arange(len(self.index) - len(pending), len(self.index))
+            if self.former is not None:
+                index, flat, starts, lens = self.former
+                known = np.fromiter((index.get(p, -1) for p in pending), np.int64, len(pending))
+                again = known >= 0
+                lens = lens[known[again]]
+                self._append(number[again], _gather(flat, starts[known[again]], lens), lens)
+                pending = [p for p, k in zip(pending, again.tolist(), strict=True) if not k]
+                number = number[~again]
+            self._append(number, *self.values_of(pending))
         return out
 
-    def _append(self, values: list) -> None:
-        lens = np.fromiter(map(len, values), np.int64, len(values))
-        n, total = self.count + len(values), self.used + int(lens.sum())
-        while n > len(self.lens):
+    def _append(self, numbers: np.ndarray, values: np.ndarray, lens: np.ndarray) -> None:
+        total = self.used + len(values)
+        while len(self.index) > len(self.lens):
             self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         while total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.lens[self.count : n] = lens
-        self.starts[self.count : n] = self.used + np.cumsum(lens) - lens
-        if total > self.used:
-            self.flat[self.used : total] = np.concatenate([np.asarray(v, self.dtype) for v in values if len(v)])
-        self.count, self.used = n, total
+        self.lens[numbers] = lens
+        self.starts[numbers] = self.used + np.cumsum(lens) - lens
+        self.flat[self.used : total] = values
+        self.used = total
 
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All values of ``codes`` in a row, and how many each has."""
         lens = self.lens[codes]
-        ends = np.cumsum(lens)
-        at = np.repeat(self.starts[codes] - (ends - lens), lens)
-        at += np.arange(len(at))
-        return self.flat[at], lens
+        return _gather(self.flat, self.starts[codes], lens), lens
 
     def trim(self) -> None:
-        if self.count > self.limit:
+        if len(self.index) > self.limit:
+            self.former = (dict(self.index), self.flat, self.starts, self.lens)
             self.clear()
 
 
@@ -95,8 +113,9 @@ class TextEncoder:
         self.drops_white = "Removed" in str(self.tokenizer.pre_tokenizer)
         self.store = PieceStore(self._encode, np.uint32)
 
-    def _encode(self, pieces: list) -> list:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _encode(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def _pieces(self, text: str) -> list:
         if self.drops_white:  # white space only separates; a special string has none

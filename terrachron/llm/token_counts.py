@@ -45,7 +45,7 @@ class MergeCounter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.specials = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
         self.split = regex.compile(public_tokenizers.PATTERN)
-        self.store = PieceStore(lambda pieces: [(self.chunk_tokens(p),) for p in pieces], np.int64)
+        self.store = PieceStore(lambda pieces: (np.fromiter(map(self.chunk_tokens, pieces), np.int64, len(pieces)), np.ones(len(pieces), np.int64)), np.int64)
 
     def piece_tokens(self, piece: bytes) -> int:
         """Symbols left when no adjacent pair has a rank: lowest rank first, then leftmost."""
