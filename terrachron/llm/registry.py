@@ -5,6 +5,8 @@ from __future__ import annotations
 from .ann import op5_vantage_point_ann
 from .chat import OP4_SQL, op4_chat_format
 from .ctw import op7_context_tree_weighting
+from .decontam import op2_greedy_tiling
+from .line_dedup import op1_fuzzy_line_dedup
 from .packing import op9_cost_packing
 from .quality import op8_quality_classifier
 from .simhash import op3_simhash_near_dedup
@@ -14,6 +16,8 @@ from .token_files import op6_token_files
 
 def queries() -> dict:
     return {
+        "op1_fuzzy_line_dedup": op1_fuzzy_line_dedup,
+        "op2_greedy_tiling": op2_greedy_tiling,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_vantage_point_ann": op5_vantage_point_ann,
