@@ -1,4 +1,4 @@
 """Registered queries of the library."""
 
-from . import text_and_search, time_and_place  # noqa: F401
+from . import relations, reports, text_and_search, time_and_place  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
