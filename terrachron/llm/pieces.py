@@ -18,6 +18,8 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of other characters with at most one blank before it, or white space as the pattern of byte-level BPE takes it.
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Letters outside Latin blocks, and the one Latin capital whose small form is two letters.
+FAR_LETTERS = re.compile("[^\\x00-\u012f\u0131-\u024f]")
 CACHE_PIECES = 300_000
 BATCH_CHARS = 2_000_000
 
@@ -111,6 +113,7 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops_white = "Removed" in str(self.tokenizer.pre_tokenizer)
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         self.store = PieceStore(self._encode, np.uint32)
 
     def _encode(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +122,8 @@ class TextEncoder:
 
     def _pieces(self, text: str) -> list:
         if self.drops_white:  # white space only separates; a special string has none
+            if self.lowers and "<" not in text and not FAR_LETTERS.search(text):
+                text = text.lower()  # fewer distinct pieces; the tokenizer does the same to these letters
             return text.replace("\n", " ").split(" ")
         if any(s in text for s in self.special):  # such a string ends the run of white space before it: leave the text whole
             return [text]
