@@ -207,14 +207,15 @@ def ring_problems(polygons: Column) -> Column:
 
 def drop_collinear(ring: Column) -> Column:
     """A ring without repeated positions and without positions on the line between their neighbours; both ends stay."""
-    n = F.size(ring)
+    once = F.filter(ring, lambda p, i: (i == 0) | (p != F.get(ring, i - 1)))
+    n = F.size(once)
 
     def keep(p: Column, i: Column) -> Column:
-        a, b = F.get(ring, i - 1), F.get(ring, i + 1)
+        a, b = F.get(once, i - 1), F.get(once, i + 1)
         straight = (b["lon"] - a["lon"]) * (p["lat"] - a["lat"]) == (b["lat"] - a["lat"]) * (p["lon"] - a["lon"])
-        return (i == 0) | (i == n - 1) | ~(straight | (p == a))
+        return (i == 0) | (i == n - 1) | ~straight
 
-    return F.filter(ring, keep)
+    return F.filter(once, keep)
 
 
 def cells_in_box(cells: Column, size: float, box: tuple[float, float, float, float]) -> Column:

@@ -16,7 +16,7 @@ def diff_by_id(before: DataFrame, after: DataFrame, key: str = "id", signature:
 
 def full_replace(before: DataFrame, after: DataFrame, changes: DataFrame, ratio: float = 0.5) -> bool:
     """Whether so much changed that replacing all is better: counts only."""
-    n = changes.groupBy().agg(F.count_if("change <> 'removed'").alias("put"), F.count_if("change <> 'added'").alias("taken")).first()
+    n = changes.groupBy().agg(F.count_if(F.col("change") != "removed").alias("put"), F.count_if(F.col("change") != "added").alias("taken")).first()
     return max(n["put"], n["taken"]) > ratio * max(before.count(), after.count())
 
 

@@ -174,7 +174,7 @@ def findings(events: DataFrame, known_countries: list[str], retrieved: Column, e
 def gate(found: DataFrame, baseline: DataFrame) -> DataFrame:
     """(errors, fresh_warnings): both must be 0; a warning counts when the baseline does not have it."""
     fresh = found.where("level = 'warning'").join(baseline, ["id", "code"], "left_anti")
-    counts = found.agg(F.count_if("level = 'error'").alias("errors"))
+    counts = found.agg(F.count_if(F.col("level") == "error").alias("errors"))
     return counts.crossJoin(fresh.agg(F.count("*").alias("fresh_warnings")))  # one row each
 
 

@@ -159,9 +159,10 @@ def edit_history(revisions: DataFrame) -> DataFrame:
 
 
 def reference_hosts(pages: DataFrame, official: tuple[str, ...] = (".gov", ".edu")) -> DataFrame:
-    """(host, n, n_pages, official): hosts of the links of pages."""
-    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"href=\"(https?://[^\"]+)\""), 1)).alias("link"))
-    hosts = links.select("page_id", F.lower(F.regexp_extract("link", r"^https?://([^/:?#]+)", 1)).alias("host")).where("host <> ''")
+    """(host, n, n_pages, official): hosts of the links of pages; a relative link has its page's host."""
+    links = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r"href=\"((?:https?://|/)[^\"]*)\""), 1)).alias("link"))
+    full = F.when(F.startswith("link", F.lit("/")), F.col("url")).otherwise(F.col("link"))
+    hosts = links.select("page_id", F.lower(F.regexp_extract(full, r"^https?://([^/:?#]+)", 1)).alias("host")).where("host <> ''")
     ends = F.lit(False)
     for o in official:
         ends = ends | F.endswith("host", F.lit(o))

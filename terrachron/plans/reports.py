@@ -155,9 +155,9 @@ def edit_history(spark, d):
 
 
 @query("g27_reference_hosts", """
-WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(https?://[^"]+)"', 1)) AS link FROM pages)
-SELECT lower(regexp_extract(link, '^https?://([^/:?#]+)', 1)) AS host, count(*) AS n, count(DISTINCT page_id) AS n_pages,
-       ends_with(lower(regexp_extract(link, '^https?://([^/:?#]+)', 1)), '.gov') OR ends_with(lower(regexp_extract(link, '^https?://([^/:?#]+)', 1)), '.edu') AS official FROM l GROUP BY ALL HAVING host <> ''""")
+WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="((?:https?://|/)[^"]*)"', 1)) AS link FROM pages),
+h AS (SELECT page_id, lower(regexp_extract(CASE WHEN starts_with(link, '/') THEN url ELSE link END, '^https?://([^/:?#]+)', 1)) AS host FROM l)
+SELECT host, count(*) AS n, count(DISTINCT page_id) AS n_pages, ends_with(host, '.gov') OR ends_with(host, '.edu') AS official FROM h WHERE host <> '' GROUP BY host""")
 def reference_hosts(spark, d):
     return G.reference_hosts(table(spark, d, "pages"))
 
