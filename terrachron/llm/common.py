@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_HELD: list = []
+
+
+def hold_only(cache) -> None:
+    """Let go of the cache that another operator left in this worker process: one is held at a time. ``cache`` has ``release``."""
+    if not _HELD or _HELD[0] is not cache:
+        for other in _HELD:
+            other.release()
+        _HELD[:] = [cache]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
     sc = spark.sparkContext

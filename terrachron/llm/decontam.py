@@ -26,7 +26,7 @@ THRESHOLD = 0.5
 FILTER_BITS = 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
-BATCH_WORDS = 400_000
+BATCH_WORDS = 200_000
 
 
 def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:

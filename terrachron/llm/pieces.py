@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
+from .common import hold_only
+
 #: White space as Unicode defines it (fixed values).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of other characters with at most one blank before it, or white space as the pattern of byte-level BPE takes it.
@@ -97,6 +99,10 @@ class PieceStore:
         lens = self.lens[codes]
         return _gather(self.flat, self.starts[codes], lens), lens
 
+    def release(self) -> None:
+        self.former = None
+        self.clear()
+
     def trim(self) -> None:
         if len(self.index) > self.limit:
             self.former = (dict(self.index), self.flat, self.starts, self.lens)
@@ -131,6 +137,7 @@ class TextEncoder:
 
     def encode(self, texts: list) -> Iterator[np.ndarray]:
         """An array of ids for each text; None counts as empty."""
+        hold_only(self.store)
         at = 0
         while at < len(texts):
             end, chars = at, 0

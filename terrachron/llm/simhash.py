@@ -30,7 +30,7 @@ from .graph import connected_components
 MAX_BITS = 3
 SHINGLE_WORDS = 3
 SEED = 42
-BATCH_HASHES = 400_000
+BATCH_HASHES = 200_000
 
 
 def shingles(text: str | None, size: int = SHINGLE_WORDS) -> list[bytes]:

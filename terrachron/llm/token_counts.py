@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hold_only, table
 from .pieces import BATCH_CHARS, CHUNK, PieceStore
 
 TOKEN_LIMIT = 512
@@ -83,6 +83,7 @@ class MergeCounter:
 
     def counts(self, texts: list) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
+        hold_only(self.store)
         at = 0
         while at < len(texts):
             end, chars, chunks, owner = at, 0, [], []

@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import hold_only
+
 #: ASCII punctuation, removed from words (fixed values).
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 
 
 def normal(text: str | None) -> bytes:
@@ -20,11 +22,15 @@ class _Hashes(dict):
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
+    def release(self) -> None:
+        self.clear()
+
 
 _CACHE = _Hashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    hold_only(_CACHE)
     out = np.fromiter(map(_CACHE.__getitem__, words), np.uint64, len(words))
     if len(_CACHE) > CACHE_WORDS:
         _CACHE.clear()
