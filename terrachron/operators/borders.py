@@ -152,3 +152,43 @@ def split_periods(features: DataFrame, cuts: DataFrame, key: str = "cell") -> Da
     starts = F.array_sort(F.array_distinct(F.concat(F.array("start_year"), inner)))
     spans = F.transform(starts, lambda s, i: F.struct(s.alias("sub_start"), F.coalesce(F.get(starts, i + 1) - 1, F.col("end_year")).alias("sub_end")))
     return joined.withColumn("_span", F.explode(spans)).select(*features.columns, "_span.sub_start", "_span.sub_end")
+
+
+def resolve_properties(parts: DataFrame, flags: DataFrame, splits: DataFrame, key: str = "cell") -> DataFrame:
+    """Sub-intervals with the label that holds in their first year: a flag's, else a split's, else the name.
+
+    ``flags`` and ``splits``: (key, from_year, to_year, label)."""
+    out = parts
+    for name, table in (("_flag", flags), ("_split", splits)):
+        t = table.select(F.col(key).alias("_k"), "from_year", "to_year", F.col("label").alias(name))
+        out = out.join(t, (F.col(key) == F.col("_k")) & F.col("sub_start").between(F.col("from_year"), F.col("to_year")), "left").drop("_k", "from_year", "to_year")
+    return out.withColumn("label", F.coalesce("_flag", "_split", "name")).drop("_flag", "_split")
+
+
+def cut_neighbours(features: DataFrame, key: str = "cell") -> DataFrame:
+    """Features cut where an overlay of their place begins or ends."""
+    over = features.where(F.col("status") == "disputed").select(key, F.explode(F.array(F.col("start_year"), F.col("end_year") + 1)).alias("year"))
+    return split_periods(features.where("status IS NULL OR status <> 'disputed'"), over, key)
+
+
+STATUS_LABELS = {"disputed": "Disputed", "occupied-territory-included": "Includes occupied territory"}
+
+
+def status_label(status: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STATUS_LABELS.items() for x in kv]), status), status, F.lit(""))
+
+
+def is_dashed(status: Column) -> Column:
+    return F.coalesce(status.rlike("disputed|mandate"), F.lit(False))
+
+
+def overlay_sets(features: DataFrame, year: int, key: str = "cell") -> DataFrame:
+    """(name, overlays): the disputed shapes on top of each other shape of its place in a year."""
+    active = features.where(F.lit(year).between(F.col("start_year"), F.col("end_year")))
+    over = active.where(F.col("status") == "disputed").groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("overlays"))
+    return active.where("status IS NULL OR status <> 'disputed'").join(over, key, "left").select("name", F.coalesce("overlays", F.array().cast("array<string>")).alias("overlays"))
+
+
+def placeholders(features: DataFrame, group: Column) -> DataFrame:
+    """(grp, start_year, end_year, members): one outline for the members of each group that hold in the same years."""
+    return features.withColumn("grp", group).groupBy("grp", "start_year", "end_year").agg(F.count("*").alias("members"))

@@ -98,3 +98,83 @@ def review_findings(reviews: DataFrame, events: DataFrame) -> DataFrame:
 def doubtful(codes: Column, doubt: tuple[str, ...]) -> Column:
     """Whether a difference touches a field that the record shows."""
     return F.arrays_overlap(codes, F.array(*map(F.lit, doubt)))
+
+
+def order_flags(start: str = "date_start", end: str = "date_end", lead: Column | None = None) -> Column:
+    """The date-order flag of a reversed record, with the dates its lead names."""
+    s, e = F.col(start), F.col(end)
+    told = F.concat(F.lit("date_order_invalid: "), e, F.lit(" precedes "), s)
+    if lead is not None:
+        told = F.when(F.size(lead) > 0, F.concat(told, F.lit("; lead: "), F.array_join(lead, ", "))).otherwise(told)
+    return F.when(e < s, F.array(told)).otherwise(F.array().cast("array<string>"))
+
+
+def support_flags(tags: Column, direct: Column, via_place: Column) -> Column:
+    """For each country tag: supported through the place only, or not supported; tags the item itself names get no flag."""
+    flags = F.transform(tags, lambda c: F.when(F.array_contains(direct, c), None).when(F.array_contains(via_place, c), F.concat(F.lit("country_via_place: "), c)).otherwise(F.concat(F.lit("country_not_supported: "), c)))
+    return F.array_compact(flags)
+
+
+def resolve_candidates(candidates: DataFrame, leads: DataFrame, entities: DataFrame) -> DataFrame:
+    """(qid, outcome, extract, lat, lon): a candidate with its landed lead and entity, or why it is left out; only its own location counts."""
+    j = candidates.join(leads.select("qid", "extract"), "qid", "left").join(entities.select("qid", "lat", "lon", F.lit(True).alias("_found")), "qid", "left")
+    why = F.when(F.col("_found").isNull(), "no entity").when(F.coalesce(F.trim("extract"), F.lit("")) == "", "no lead").otherwise("kept")
+    return j.select("qid", why.alias("outcome"), "extract", "lat", "lon")
+
+
+def finalize(events: DataFrame) -> DataFrame:
+    """The ordered derivation of a record: dates, then order flags, then group, then review state."""
+    from ..functions import text as X
+    from .report import group_of
+
+    return (
+        events.withColumn("lead_dates", X.lead_dates("extract")).withColumn("date_flags", order_flags(lead=F.col("lead_dates"))).withColumn("category", group_of(F.col("wikidata_classes")))
+        .withColumn("needs_review", F.size("date_flags") > 0).withColumn("needs_manual_coordinates", F.col("location_quality") == "none")
+    )
+
+
+def refresh_counts(events: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, sitelinks, outcome): counts from fresh entities; missing and unchanged ones are told apart."""
+    j = events.join(entities.select("wikidata_qid", F.col("sitelinks").alias("_fresh"), F.lit(True).alias("_found")), "wikidata_qid", "left")
+    told = F.when(F.col("_found").isNull(), "missing").when(F.col("_fresh").eqNullSafe(F.col("sitelinks_current")), "same").otherwise("changed")
+    return j.select("id", F.when(F.col("_found"), F.col("_fresh")).otherwise(F.col("sitelinks_current")).alias("sitelinks"), told.alias("outcome"))
+
+
+def title_changes(events: DataFrame, leads: DataFrame) -> DataFrame:
+    """(id, new_title, kind): titles that differ from the landed article's: held where another record owns the new one, spelling only, or a rename."""
+    from ..functions import text as X
+
+    j = events.join(leads.select("id", F.col("title").alias("new_title")), "id").where("title <> new_title")
+    owner = events.select(F.col("title").alias("new_title"), F.lit(True).alias("_owned")).distinct()
+    j = j.join(owner, "new_title", "left")
+    kind = F.when(F.col("_owned"), "held").when(X.norm_title("title") == X.norm_title("new_title"), "spelling").otherwise("renamed")
+    return j.select("id", "new_title", kind.alias("kind"))
+
+
+def refresh_leads(events: DataFrame, leads: DataFrame) -> DataFrame:
+    """(id, outcome): a fresh lead replaces the stored one unless the article belongs to another item."""
+    from ..functions import text as X
+
+    j = events.join(leads.select("id", F.col("extract").alias("_new")), "id", "left")
+    told = F.when(F.col("_new").isNull(), "no lead").when(F.col("resolved_qid") != F.col("wikidata_qid"), "held").when(X.normalize_lead("_new") == X.normalize_lead("extract"), "same").otherwise("replaced")
+    return j.select("id", told.alias("outcome"))
+
+
+def sync_mirrors(events: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """Mirror records take the owner's text."""
+    owner = events.select(F.col("id").alias("owner"), F.col(column).alias("_own"))
+    p = pairs.join(owner, "owner").groupBy("id").agg(F.min("_own").alias("_own"))
+    return events.join(p, "id", "left").withColumn(column, F.coalesce("_own", column)).drop("_own")
+
+
+def seed_proposals(seeds: DataFrame, entities: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(id, field, proposed): values that a seed record lacks and its entity has; nothing stored is overwritten."""
+    j = seeds.join(entities, "wikidata_qid")
+    rows = F.array(*(F.when(F.col(a).isNull() & F.col(b).isNotNull(), F.struct(F.lit(a).alias("field"), F.col(b).cast("string").alias("proposed"))) for a, b in fields.items()))
+    return j.select("id", F.inline(F.array_compact(rows)))
+
+
+def stale_fixes(fixes: DataFrame, entities: DataFrame) -> DataFrame:
+    """Ledger entries whose recorded source value is no longer the source's. ``fixes``: (wikidata_qid, was)."""
+    j = fixes.join(entities.select("wikidata_qid", "now"), "wikidata_qid", "left")
+    return j.where(~F.col("was").eqNullSafe(F.col("now"))).select("wikidata_qid", "was", "now")
