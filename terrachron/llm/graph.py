@@ -1,6 +1,6 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a partially aggregated minimum and an equi-join; the edge table is written to the
+Every step is one shuffle and a windowed minimum; the edge table is written to the
 shared folder after each round, so that no lineage grows and no edge passes the driver.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise
 
@@ -29,11 +30,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        best = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(best, "hi")
-        stars = small.select("hi", F.col("m").alias("lo")).unionByName(small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct()
+        large = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u")))).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        small = large.withColumn("m", F.min("lo").over(Window.partitionBy("hi")))
+        links = F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))
+        stars = small.select(F.inline(links)).where("hi <> lo").distinct()
         now = materialise(stars)
         after = _state(now)
         if after == seen:
