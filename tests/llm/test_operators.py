@@ -177,6 +177,29 @@ def test_line_features_are_all_words():
     assert hits >= 25
 
 
+def test_line_dedup_finds_all_similar_lines(spark):
+    """Against brute force over all pairs of lines, without a fingerprint: edits of any kind down to a similarity of 0.8."""
+    r = random.Random(12)
+    rows = []
+    for n in [4, 5, 5, 6, 7, 9, 10, 11, 15, 20, 20, 30, 40, 60, 60, 100] * 3:
+        line = r.choices(WORDS + ["a", "of", "the"] * 60, k=n)
+        rows.append(" ".join(line))
+        for share in (0.05, 0.1, 0.15, 0.2, 0.25):
+            near = list(line)
+            for k in range(round(share * n)):
+                i = r.randrange(len(near))
+                near[i : i + r.choice([0, 1, 1, 1])] = [f"new{r.randrange(10**6)}"] * r.choice([0, 1, 1, 1])
+                near = near or ["none"]
+            rows.append(" ".join(near))
+    r.shuffle(rows)
+    lines = [t.encode().split() for t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if line_dedup.edit_similarity(lines[i], lines[j]) >= 0.8 - 1e-12]
+    assert len(pairs) > 200
+    component = groups(len(rows), pairs)
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert [i for i in range(len(rows)) if got[i]] == [i for i in range(len(rows)) if component[i] == i]
+
+
 def test_tiles_against_naive():
     def naive(a, b, size):
         used_a, used_b, total = set(), set(), 0
