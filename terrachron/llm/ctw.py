@@ -1,17 +1,20 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 The text is the sequence of its lower-cased words, each followed by a blank, and an end byte. A
-byte's context is the up to ``depth`` bytes before it, back to the blank before its word. Each
-byte is eight binary decisions; for each decision and each context length the tree holds the
-counts of zeros and ones, a Krichevsky-Trofimov estimate of them, and the weight with which the
-node's own estimate and its longer contexts are mixed. The predictive probability is the mixture
-over all depths; a document's score is the sum over its bytes.
-
-As contexts end at word starts, a word's probability is the same wherever it stands. So the corpus
-is gathered once as word counts (words are summed in each task before the shuffle), the tree is
-built level by level from the words' (context, byte) counts with equi-joins on the parent context,
-each distinct word is scored once, and documents add up their words. The most frequent
-``frequent_words`` words (a fixed bound) are broadcast; rarer ones are joined.
+byte's context is the up to ``depth`` bytes before it. Each byte is eight binary decisions; for each
+decision and each context length the tree holds the counts of zeros and ones, a Krichevsky-Trofimov
+estimate of them, and the weight with which the node's own estimate and its longer contexts are
+mixed. The predictive probability is the mixture over all depths; a document's score is the sum over
+its bytes.
+
+With ``running`` the contexts run across blanks. (Context, byte)
+counts are summed in each task before the shuffle, the tree is built level by level with equi-joins
+on the parent context (a document starts behind ``depth`` blanks), and each chunk of documents looks up its distinct steps once.
+
+Without it contexts end at the blank before their word. A word's probability is then the same wherever
+it stands: the tree is built from word counts, each distinct word is scored once, and documents add
+up their words. The most frequent ``frequent_words`` words (a fixed bound) are broadcast; rarer ones
+are joined.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 
 DEPTH = 5
+RUNNING_DEPTH = 7  # a node is its context and the bits before: 64 bits
+CHUNK_BYTES = 1 << 21
 FOLDS = 10
 SMOOTHING = 0.1
 FREQUENT_WORDS = 150_000
@@ -76,14 +82,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def word_steps(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte of every word (with its blank after it; the end token is one byte): the word's number, the length and code of the byte's longest context, the byte."""
-    ends = [w == END.encode() for w in words]
-    text = np.frombuffer(b"".join(b" " + w + (b"" if e else b" ") for w, e in zip(words, ends, strict=True)), np.uint8)
-    lens = np.array([len(w) + (1 if e else 2) for w, e in zip(words, ends, strict=True)], np.int64)
-    owner = np.repeat(np.arange(len(words)), lens)
+def _steps(pieces: list[bytes], depth: int, lead: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every byte but the first ``lead`` of every piece: the piece's number, the length and code of the byte's longest context, the byte."""
+    text = np.frombuffer(b"".join(pieces), np.uint8)
+    lens = np.array([len(p) for p in pieces], np.int64)
+    owner = np.repeat(np.arange(len(pieces)), lens)
     place = np.arange(len(text)) - np.repeat(np.cumsum(lens) - lens, lens)
-    at = np.flatnonzero(place > 0)
+    at = np.flatnonzero(place >= lead)
     length = np.minimum(place[at], depth)
     code = np.zeros(len(at), np.int64)
     for j in range(1, depth + 1):
@@ -91,6 +96,84 @@ def word_steps(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray,
     return owner[at], length, code, text[at].astype(np.int64)
 
 
+def word_steps(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The steps of every word (with its blank after it; the end token is one byte)."""
+    return _steps([b" " + w + (b"" if w == END.encode() else b" ") for w in words], depth)
+
+
+def running_text(text: str | None, depth: int) -> bytes:
+    """The bytes that are scored, behind ``depth`` blanks: every byte has a whole context, so no step ends inside the tree."""
+    return b" " * depth + b"".join(w + b" " for w in words_of(text)) + END.encode()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[list[bytes], list]]:
+    """The running texts of some documents at a time, and the values of the second column."""
+    texts: list[bytes] = []
+    values: list = []
+    size = 0
+    for batch in batches:
+        for text, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            texts.append(running_text(text, depth))
+            values.append(value)
+            size += len(texts[-1])
+            if size >= CHUNK_BYTES:
+                yield texts, values
+                texts, values, size = [], [], 0
+    if texts:
+        yield texts, values
+
+
+def _running_counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """(len, ctx, byte, n) summed over a chunk; held-out documents count nothing."""
+    for texts, held in _chunks(batches, depth):
+        owner, length, code, byte = _steps(texts, depth, depth)
+        weight = (~np.array(held, bool)).astype(np.int64)[owner]
+        key = (code << 8) | byte
+        order = np.lexsort((length, key))
+        key, length, code, byte, weight = key[order], length[order], code[order], byte[order], weight[order]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (length[1:] != length[:-1])])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(length[first].astype(np.int32)), pa.array(code[first]), pa.array(byte[first].astype(np.int32)), pa.array(np.add.reduceat(weight, first))], ["len", "ctx", "byte", "n"]
+        )
+
+
+def _running_lookups(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """The distinct steps of a chunk, with the chunk's documents that take them and how often; a step of length -1 for each document holds its hash."""
+    serial = TaskContext.get().partitionId() << 33
+    for texts, hashes in _chunks(batches, depth):
+        owner, length, code, byte = _steps(texts, depth, depth)
+        key = (code << 8) | byte
+        order = np.lexsort((owner, length, key))
+        owner, length, code, byte, key = owner[order], length[order], code[order], byte[order], key[order]
+        new_step = np.r_[True, (key[1:] != key[:-1]) | (length[1:] != length[:-1])]
+        entry = np.flatnonzero(new_step | np.r_[True, owner[1:] != owner[:-1]])
+        times = np.diff(np.r_[entry, len(key)])
+        step = np.flatnonzero(new_step)
+        offsets = np.r_[np.searchsorted(entry, step), len(entry)]
+        docs = np.arange(len(texts))
+        offsets = pa.array(np.r_[offsets, offsets[-1] + 1 + docs].astype(np.int32))
+        none = np.zeros(len(texts), np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(step) + len(texts), serial)), pa.array(np.r_[length[step].astype(np.int32), none - 1]), pa.array(np.r_[code[step], np.array(hashes, np.int64)]), pa.array(np.r_[byte[step].astype(np.int32), none]),
+                pa.ListArray.from_arrays(offsets, pa.array(np.r_[owner[entry], docs].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(np.r_[times.astype(np.int32), none])),
+            ],
+            ["chunk", "len", "ctx", "byte", "docs", "times"],
+        )
+
+
+def running_scores(docs: DataFrame, depth: int = RUNNING_DEPTH) -> DataFrame:
+    """``docs``: text, text_hash, held_out. (text_hash, nats): the natural log-probability of each distinct text, its contexts running across blanks."""
+    partial = docs.select("text", "held_out").mapInArrow(lambda b: _running_counts(b, depth), "len int, ctx long, byte int, n long")
+    counts = materialise(partial.groupBy("len", "ctx", "byte").agg(F.sum("n").alias("n")))
+    steps = materialise(context_tree(counts, depth))
+    lookups = docs.select("text", "text_hash").mapInArrow(lambda b: _running_lookups(b, depth), "chunk long, len int, ctx long, byte int, docs array<int>, times array<int>")
+    found = lookups.join(steps, ["len", "ctx", "byte"], "left")
+    each = found.select("chunk", "logp", F.when(F.col("len") == -1, F.col("ctx")).alias("text_hash"), F.inline(F.arrays_zip("docs", "times")))
+    sums = each.groupBy("chunk", "docs").agg(F.sum(F.col("times") * F.col("logp")).alias("nats"), F.max("text_hash").alias("text_hash"))
+    return sums.groupBy("text_hash").agg(F.min("nats").alias("nats"))
+
+
 def _context_counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
@@ -250,26 +333,27 @@ def frequent(words: DataFrame, most: int) -> DataFrame:
     return seen.where(step >= least) if least is not None else seen.limit(0)
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH, frequent_words: int = FREQUENT_WORDS, running: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row for each row of ``docs``.
 
     Scores are log10 probabilities; bits_per_byte is the code length over the bytes of the words,
     a blank after each, and the end byte. A null text is empty: it has the end token alone. Null ids are training
     documents; repeated rows count and are scored each; other columns are ignored. No rows give no
-    rows; without training documents every estimate is that of zero counts."""
+    rows; without training documents every estimate is that of zero counts. ``running``: contexts
+    run across blanks."""
     spark = docs.sparkSession
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = materialise(word_counts(numbered))
     totals = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = totals["n"] or 0, totals["v"] or 0
-    scored = materialise(word_scores(words, depth))
+    scored = words.withColumn("ctw", F.lit(0.0)) if running else materialise(word_scores(words, depth))
     whole = n + SMOOTHING * (v + 1)
     scored = scored.withColumn("base", F.log10((F.col("c") + SMOOTHING) / F.lit(whole)))
     top = frequent(scored, frequent_words).toArrow()
     shared = spark.sparkContext.broadcast(([w.encode() for w in top["word"].to_pylist()], top["c"].to_numpy(), top["base"].to_numpy(), top["ctw"].to_numpy()))
-    keyed = numbered.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), "text")
-    sums = "row struct<id:long,doc_id:long>, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, ctw double, rare array<struct<word:string,times:long>>"
-    rows = keyed.select(F.struct(F.col("row").alias("id"), "doc_id").alias("row"), "held_out", "text").mapInArrow(lambda b: _document_rows(b, shared), sums)
+    keyed = numbered.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    sums = "row struct<id:long,doc_id:long,text_hash:long>, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, ctw double, rare array<struct<word:string,times:long>>"
+    rows = keyed.select(F.struct(F.col("row").alias("id"), "doc_id", "text_hash").alias("row"), "held_out", "text").mapInArrow(lambda b: _document_rows(b, shared), sums)
     rows = materialise(rows)
     rare = rows.select(F.col("row.id").alias("id"), F.inline("rare")).join(scored, "word")
     rare = rare.groupBy("id").agg(
@@ -277,6 +361,10 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, frequent_words: int = F
     )
     out = rows.drop("rare").withColumn("id", F.col("row.id")).join(rare, "id", "left")
     nats = F.col("ctw") + F.coalesce("more_ctw", F.lit(0.0))
+    if running:
+        by_text = running_scores(keyed.select("text", "text_hash", "held_out"), depth)
+        out = out.withColumn("text_hash", F.col("row.text_hash")).join(by_text, "text_hash")
+        nats = F.col("nats")
     return out.select(
         F.col("row.doc_id").alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (nats / math.log(10)).alias("score"), (-nats / math.log(2) / F.col("n_bytes")).alias("bits_per_byte"),
@@ -284,4 +372,4 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, frequent_words: int = F
 
 
 def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), RUNNING_DEPTH, running=True)

@@ -446,6 +446,59 @@ def test_context_tree_against_plain_version(spark):
     assert ctw.score_documents(empty(spark)).count() == 0 and ctw.score_documents(odd_rows(spark)).count() == 5
 
 
+def test_context_tree_runs_across_blanks(spark):
+    """Scores at depth 7 against a plain tree over the running bytes; word order matters."""
+    r = random.Random(5)
+    rows = [" ".join(r.choice(["red fox", "old dog", "Red cat"]) for _ in range(r.randint(1, 12))) for _ in range(25)] + [None, "", "red old fox dog", "red fox old dog", "red fox old dog"]
+    depth = 7
+    train = [i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 10]
+
+    def steps(text):
+        z = b" " * depth + b"".join(w + b" " for w in (text or "").encode().lower().split()) + b"\n"
+        return [(z[i - depth : i], z[i]) for i in range(depth, len(z))]
+
+    counts, children = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for i, t in enumerate(rows):
+        for context, byte in steps(t):
+            for d in range(len(context) + 1):
+                for k in range(8):
+                    key = (context[len(context) - d :], (1 << k) | (byte >> (8 - k)))
+                    counts[key][(byte >> (7 - k)) & 1] += i in train
+                    if d:
+                        children[key[0][1:], key[1]].add(key)
+
+    def kt(key):
+        z, o = counts[key]
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+
+    @lru_cache(None)
+    def mixed(key):
+        if key not in children:
+            return kt(key)
+        own, below = kt(key), sum(map(mixed, sorted(children[key])))
+        return max(own, below) + math.log1p(math.exp(-abs(own - below))) - math.log(2)
+
+    def one(context, d, prefix):
+        key = (context[len(context) - d :], prefix)
+        z, o = counts[key]
+        here = (o + 0.5) / (z + o + 1)
+        if d == len(context):
+            return here
+        weight = math.exp(min(700, kt(key) - sum(map(mixed, sorted(children[key])))))
+        return (weight * here + one(context, d + 1, prefix)) / (weight + 1)
+
+    got = {x.doc_id: x for x in ctw.score_documents(frame(spark, rows), depth, running=True).collect()}
+    for i, t in enumerate(rows):
+        score = 0.0
+        for context, byte in steps(t):
+            for k in range(8):
+                p = one(context, 0, (1 << k) | (byte >> (8 - k)))
+                score += math.log10(p if (byte >> (7 - k)) & 1 else 1 - p)
+        assert math.isclose(got[i].score, score, rel_tol=1e-9)
+    assert len(got) == len(rows) and got[27].score < got[28].score - 1
+    assert ctw.score_documents(empty(spark), depth, running=True).count() == 0 and ctw.score_documents(odd_rows(spark), depth, running=True).count() == 5
+
+
 def test_context_tree_is_a_distribution(spark):
     """The probabilities of all next bytes in a context sum to one."""
     counts = [(1, 32, b, c) for b, c in [(97, 5), (98, 2), (10, 1)] + [(x, 0) for x in range(256) if x not in (97, 98, 10)]]
