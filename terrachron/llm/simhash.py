@@ -107,6 +107,16 @@ def link_fingerprints(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return placed.join(wider, "c", "left").select(F.col("fp").alias("node"), F.coalesce("wide", "c").alias("component"))
 
 
+def _groups(docs: DataFrame, max_bits: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of every row; (fp, component, component_id) of every fingerprint."""
+    found = materialise(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), size).select("doc_id", "text_hash", "fp"))
+    nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least_doc")))
+    placed = link_fingerprints(nodes.select("fp"), max_bits).withColumnRenamed("node", "fp")
+    placed = materialise(nodes.join(placed, "fp"))
+    least = placed.groupBy("component").agg(F.min("least_doc").alias("component_id"))
+    return found, materialise(placed.join(least, "component").select("fp", "component", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, size: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of ``docs``.
 
@@ -115,21 +125,20 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, size: int = SHING
     with a null doc_id keep it and take part; they do not count for the smallest id (a group of
     nothing else has component_id null). Repeated rows stay; other columns are ignored; no rows
     give no rows."""
-    found = materialise(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size).select("doc_id", "fp"))
-    nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least_doc")))
-    placed = link_fingerprints(nodes.select("fp"), max_bits).withColumnRenamed("node", "fp")
-    placed = materialise(nodes.join(placed, "fp"))
-    least = placed.groupBy("component").agg(F.min("least_doc").alias("component_id"))
-    by_fp = materialise(placed.join(least, "component").select("fp", "component_id"))
+    found, by_fp = _groups(docs, max_bits, size)
     fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return found.join(by_fp, "fp").select("doc_id", fingerprint, "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents of ``docs`` whose doc_id is their group's component_id, one row for each; documents without an id stay."""
-    kept = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, size: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of ``docs`` for each group: that of the smallest doc_id, then text hash, so rows that share an id but not a group do not stand for each other; documents without an id stay."""
+    found, by_fp = _groups(docs, max_bits, size)
+    placed = found.where("doc_id IS NOT NULL").join(by_fp, "fp")
+    kept = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"))
+    kept = kept.select(F.col("keep.doc_id").alias("_keep_id"), F.col("keep.text_hash").alias("_keep_hash"))
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    one = Window.partitionBy("doc_id", "_hash").orderBy("_hash")
+    chosen = rows.join(kept, (F.col("doc_id").cast("long") == F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash")), "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
     return chosen.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -335,6 +335,14 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_digests(spark, token_files.write_token_files(odd_rows(spark), str(tmp_path / "odd"), parts=2)).count() == 5
 
 
+def test_keep_one_with_an_id_of_two_texts(spark):
+    """An id in two groups stands for each with the text of that group."""
+    a, b = " ".join(WORDS[:60]), " ".join(WORDS[100:160])
+    for one, two in ((a, b), (b, a)):
+        rows = spark.createDataFrame([(1, one), (2, one), (2, two), (3, two), (3, two), (None, one)], "doc_id long, text string")
+        assert sorted((x.doc_id or 0, x.text) for x in simhash.keep_one(rows).collect()) == [(0, one), (1, one), (2, two)]
+
+
 def test_packing(spark):
     rows = texts() + [" ".join(WORDS * 8)]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
