@@ -10,7 +10,6 @@ most one sequence a block is not full.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -41,7 +40,7 @@ def pack_lengths(lengths: list[int], size: int = SEQUENCE_TOKENS) -> list[list[t
     Items go in descending length, ties in given order, to the cheapest sequence with room for them
     whole; the others are cut over the room left, cheapest sequence first."""
     n = -(-sum(lengths) // size)
-    used, cost = [0] * n, [0.0] * n
+    used, cost = np.zeros(n, np.int64), np.zeros(n)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
 
     def put(item: int, start: int, length: int, k: int) -> None:
@@ -49,29 +48,19 @@ def pack_lengths(lengths: list[int], size: int = SEQUENCE_TOKENS) -> list[list[t
         used[k] += length
         cost[k] += attention_cost(length)
 
-    heap = [(0.0, k) for k in range(n)]
     late = []
     for item in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        need, aside = lengths[item], []
-        while heap and used[heap[0][1]] + need > size:
-            aside.append(heapq.heappop(heap))
-            if len(aside) > 64:  # items only get shorter, so a full look is seldom of use: the item is cut later
-                break
-        if heap and used[heap[0][1]] + need <= size:
-            _, k = heapq.heappop(heap)
-            put(item, 0, need, k)
-            if used[k] < size:
-                heapq.heappush(heap, (cost[k], k))
+        fits = np.flatnonzero(used <= size - lengths[item])
+        if len(fits):
+            put(item, 0, lengths[item], int(fits[cost[fits].argmin()]))
         else:
             late.append(item)
-        for entry in aside:
-            heapq.heappush(heap, entry)
     room = sorted((k for k in range(n) if used[k] < size), key=lambda k: (-cost[k], k))
     for item in late:
         done = 0
         while done < lengths[item]:
             k = room[-1]
-            take = min(lengths[item] - done, size - used[k])
+            take = min(lengths[item] - done, size - int(used[k]))
             put(item, done, take, k)
             done += take
             if used[k] == size:

@@ -385,6 +385,13 @@ def test_pack_lengths_fills_sequences():
             assert at == length
 
 
+def test_pack_lengths_looks_at_every_sequence():
+    """The 70 cheapest sequences have no room for the last five items, five dearer ones have: they stay whole."""
+    packed = packing.pack_lengths([300] * 5 + [1020] * 140 + [1700] * 5)
+    assert len(packed) == 75 and sum(map(len, packed)) == 150
+    assert sum({i < 5 for i, _, _ in s} == {True, False} and any(i >= 145 for i, _, _ in s) for s in packed) == 5
+
+
 def test_context_tree_against_plain_version(spark):
     rows = [t for t in texts(n=8) if t is None or len(t) < 2000]
     depth = 3
