@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import temporal as T
+from ..session import settle
 
 
 def kept_precision(claims: Column, kept: Column) -> Column:
@@ -62,9 +63,14 @@ def backfill(stored: Column, found: Column) -> Column:
 
 
 def missing_locations(events: DataFrame, excluded: DataFrame) -> DataFrame:
-    """(id, sitelinks_current, place): records without a place, most pages first."""
+    """(id, sitelinks_current, place): records without a place, most pages first. Sorted parts are numbered on their own, behind the rows of the parts before them."""
     rows = events.where("location_quality = 'none'").join(excluded, "id", "left_anti").select("id", "sitelinks_current")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("sitelinks_current").desc_nulls_last(), "id")).cast("long"))
+    order = [F.col("sitelinks_current").desc_nulls_last(), F.col("id")]
+    parts = settle(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    bases = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    numbered = parts.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return numbered.join(F.broadcast(bases), "_part").select("id", "sitelinks_current", (F.col("_base") + F.col("_nth")).cast("long").alias("place"))
 
 
 def first_match(value: Column, limits: tuple, otherwise: str) -> Column:

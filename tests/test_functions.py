@@ -192,3 +192,16 @@ def test_round_robin_spills_over(spark):
     df = spark.createDataFrame([(i, "s", "big" if i < 30 else "small") for i in range(32)], "id long, stratum string, grp string")
     got = W.round_robin(df, "stratum", "grp", 10).collect()
     assert len(got) == 10 and sum(r.grp == "small" for r in got) == 2
+
+
+def test_missing_locations_are_numbered_in_parts(spark):
+    """The same numbers as one sorted list, without a task that takes all rows."""
+    from terrachron.operators import derive
+
+    rows = [(f"e{i * 7919 % 1000:03}", None if i % 9 == 0 else i * 31 % 6, "none" if i % 7 else "precise") for i in range(1000)]
+    events = spark.createDataFrame(rows, "id string, sitelinks_current long, location_quality string")
+    out = derive.missing_locations(events, spark.createDataFrame([("e005",), ("e700",)], "id string"))
+    want = sorted((r for r in rows if r[2] == "none" and r[0] not in ("e005", "e700")), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [(x.id, x.sitelinks_current, x.place) for x in out.orderBy("place").collect()] == [(r[0], r[1], i) for i, r in enumerate(want, 1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(sitelinks_current" not in plan and "windowspecdefinition(_part" in plan
