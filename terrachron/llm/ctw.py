@@ -1,46 +1,45 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 The text is the sequence of its lower-cased words, each followed by a blank, and an end byte. A
-byte's context is the up to ``depth`` bytes before it. Each byte is eight binary decisions; for each
-decision and each context length the tree holds the counts of zeros and ones, a Krichevsky-Trofimov
-estimate of them, and the weight with which the node's own estimate and its longer contexts are
-mixed. The predictive probability is the mixture over all depths; a document's score is the sum over
-its bytes.
-
-With ``running`` the contexts run across blanks. (Context, byte)
-counts are summed in each task before the shuffle, the tree is built level by level with equi-joins
-on the parent context (a document starts behind ``depth`` blanks), and each chunk of documents looks up its distinct steps once.
-
-Without it contexts end at the blank before their word. A word's probability is then the same wherever
-it stands: the tree is built from word counts, each distinct word is scored once, and documents add
-up their words. The most frequent ``frequent_words`` words (a fixed bound) are broadcast; rarer ones
-are joined.
+byte's context is the ``depth`` bytes before it, across blanks; a document starts behind ``depth``
+blanks. Each byte is eight binary decisions; for each decision and each context length the tree holds
+the counts of zeros and ones, a Krichevsky-Trofimov estimate of them, and the weight with which the
+node's own estimate and its longer contexts are mixed. The predictive probability is the mixture over
+all depths whose context was seen in training: an unseen context adds no estimate, and the mixture ends
+at the context before it. A document's score is the sum over its bytes.
+
+A step is a context and the byte after it. Steps are counted in each task before the shuffle. The tree
+is cut at ``SPLIT`` bytes of context: each subtree below the cut is worked out whole in one group of
+bounded expected size, the levels above it are small tables joined on the parent node. Each distinct
+step gets its log-probability once. The most frequent ``frequent_steps`` steps and ``frequent_words``
+words (fixed bounds) are broadcast to the documents; rarer ones are joined.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 
 DEPTH = 5
-RUNNING_DEPTH = 7  # a node is its context and the bits before: 64 bits
-CHUNK_BYTES = 1 << 21
+SPLIT = 3
+CHUNK_BYTES = 1 << 22
+MERGED_STEPS = 1 << 21
+GROUP_STEPS = 200_000
 FOLDS = 10
 SMOOTHING = 0.1
-FREQUENT_WORDS = 150_000
+FREQUENT_WORDS = 250_000
+FREQUENT_STEPS = 1 << 21
 FLUSH_WORDS = 250_000
-END = "\n"
-BLANK, END_BYTE = 0x20, 0x0A
+END = b"\n"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -67,263 +66,297 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if out:
                 held.update(dict.fromkeys(words_of(text), 0))
-                held[END.encode()] = 0
+                held[END] = 0
             else:
                 train.update(words_of(text))
-                train[END.encode()] += 1
+                train[END] += 1
             if len(train) + len(held) > FLUSH_WORDS:
                 yield flush()
     yield flush()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): every distinct word of ``docs`` (doc_id, text) and the end token, with its count in training documents."""
-    rows = docs.select("text", is_held_out(F.col("doc_id")).alias("held_out"))
+    """(word, c): every distinct word of ``docs`` (text, held_out) and the end token, with its count in training documents."""
+    rows = docs.select("text", "held_out")
     return rows.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _steps(pieces: list[bytes], depth: int, lead: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte but the first ``lead`` of every piece: the piece's number, the length and code of the byte's longest context, the byte."""
-    text = np.frombuffer(b"".join(pieces), np.uint8)
-    lens = np.array([len(p) for p in pieces], np.int64)
-    owner = np.repeat(np.arange(len(pieces)), lens)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(lens) - lens, lens)
-    at = np.flatnonzero(place >= lead)
-    length = np.minimum(place[at], depth)
-    code = np.zeros(len(at), np.int64)
-    for j in range(1, depth + 1):
-        code |= np.where(length >= j, text[np.maximum(at - j, 0)].astype(np.int64) << (8 * (j - 1)), 0)
-    return owner[at], length, code, text[at].astype(np.int64)
+def running_text(words: list[bytes], depth: int) -> bytes:
+    """The bytes that are scored, behind ``depth`` blanks: every byte has a whole context."""
+    return b" " * depth + (b" ".join(words) + b" " if words else b"") + END
 
 
-def word_steps(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The steps of every word (with its blank after it; the end token is one byte)."""
-    return _steps([b" " + w + (b"" if w == END.encode() else b" ") for w in words], depth)
+def _keys(pieces: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, piece of each) of all bytes but the first ``depth`` of every piece, last byte first.
 
+    A step is one word: the context, its last byte in the highest place, and the byte after it in the lowest."""
+    joined = b"".join(pieces)
+    back = joined[::-1] + bytes(7)
+    here = np.ndarray((len(joined),), ">u8", back, 0, (1,)).astype(np.uint64) >> np.uint64(8 * (7 - depth))
+    lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    use = np.ones(len(joined), bool)
+    use[((np.cumsum(lens) - lens)[:, None] + np.arange(depth)).ravel()] = False
+    owner = np.repeat(np.arange(len(pieces)), lens)[use][::-1]
+    here = here[use[::-1]]
+    context = here & np.uint64((1 << 8 * depth) - 1)
+    return context << np.uint64(8) | here >> np.uint64(8 * depth), owner
 
-def running_text(text: str | None, depth: int) -> bytes:
-    """The bytes that are scored, behind ``depth`` blanks: every byte has a whole context, so no step ends inside the tree."""
-    return b" " * depth + b"".join(w + b" " for w in words_of(text)) + END.encode()
 
-
-def _chunks(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[list[bytes], list]]:
-    """The running texts of some documents at a time, and the values of the second column."""
-    texts: list[bytes] = []
-    values: list = []
+def step_keys(texts: Iterable[bytes], depth: int, chunk: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(steps, number of the text of each) of a bounded number of bytes at a time; a longer text comes in several parts."""
+    pieces: list[bytes] = []
+    numbers: list[int] = []
     size = 0
-    for batch in batches:
-        for text, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            texts.append(running_text(text, depth))
-            values.append(value)
-            size += len(texts[-1])
-            if size >= CHUNK_BYTES:
-                yield texts, values
-                texts, values, size = [], [], 0
-    if texts:
-        yield texts, values
-
-
-def _running_counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """(len, ctx, byte, n) summed over a chunk; held-out documents count nothing."""
-    for texts, held in _chunks(batches, depth):
-        owner, length, code, byte = _steps(texts, depth, depth)
-        weight = (~np.array(held, bool)).astype(np.int64)[owner]
-        key = (code << 8) | byte
-        order = np.lexsort((length, key))
-        key, length, code, byte, weight = key[order], length[order], code[order], byte[order], weight[order]
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (length[1:] != length[:-1])])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(length[first].astype(np.int32)), pa.array(code[first]), pa.array(byte[first].astype(np.int32)), pa.array(np.add.reduceat(weight, first))], ["len", "ctx", "byte", "n"]
-        )
-
+    for number, text in enumerate(texts):
+        for at in range(0, len(text) - depth, chunk):
+            pieces.append(text[at : at + chunk + depth])
+            numbers.append(number)
+            size += len(pieces[-1])
+            if size >= chunk:
+                keys, owner = _keys(pieces, depth)
+                yield keys, np.array(numbers)[owner]
+                pieces, numbers, size = [], [], 0
+    if pieces:
+        keys, owner = _keys(pieces, depth)
+        yield keys, np.array(numbers)[owner]
+
+
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n[order], first)
+
+
+def _step_counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """(key, n) summed over as many chunks as a bounded table holds; held-out documents count nothing."""
+    keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
-def _running_lookups(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """The distinct steps of a chunk, with the chunk's documents that take them and how often; a step of length -1 for each document holds its hash."""
-    serial = TaskContext.get().partitionId() << 33
-    for texts, hashes in _chunks(batches, depth):
-        owner, length, code, byte = _steps(texts, depth, depth)
-        key = (code << 8) | byte
-        order = np.lexsort((owner, length, key))
-        owner, length, code, byte, key = owner[order], length[order], code[order], byte[order], key[order]
-        new_step = np.r_[True, (key[1:] != key[:-1]) | (length[1:] != length[:-1])]
-        entry = np.flatnonzero(new_step | np.r_[True, owner[1:] != owner[:-1]])
-        times = np.diff(np.r_[entry, len(key)])
-        step = np.flatnonzero(new_step)
-        offsets = np.r_[np.searchsorted(entry, step), len(entry)]
-        docs = np.arange(len(texts))
-        offsets = pa.array(np.r_[offsets, offsets[-1] + 1 + docs].astype(np.int32))
-        none = np.zeros(len(texts), np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(step) + len(texts), serial)), pa.array(np.r_[length[step].astype(np.int32), none - 1]), pa.array(np.r_[code[step], np.array(hashes, np.int64)]), pa.array(np.r_[byte[step].astype(np.int32), none]),
-                pa.ListArray.from_arrays(offsets, pa.array(np.r_[owner[entry], docs].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(np.r_[times.astype(np.int32), none])),
-            ],
-            ["chunk", "len", "ctx", "byte", "docs", "times"],
-        )
-
-
-def running_scores(docs: DataFrame, depth: int = RUNNING_DEPTH) -> DataFrame:
-    """``docs``: text, text_hash, held_out. (text_hash, nats): the natural log-probability of each distinct text, its contexts running across blanks."""
-    partial = docs.select("text", "held_out").mapInArrow(lambda b: _running_counts(b, depth), "len int, ctx long, byte int, n long")
-    counts = materialise(partial.groupBy("len", "ctx", "byte").agg(F.sum("n").alias("n")))
-    steps = materialise(context_tree(counts, depth))
-    lookups = docs.select("text", "text_hash").mapInArrow(lambda b: _running_lookups(b, depth), "chunk long, len int, ctx long, byte int, docs array<int>, times array<int>")
-    found = lookups.join(steps, ["len", "ctx", "byte"], "left")
-    each = found.select("chunk", "logp", F.when(F.col("len") == -1, F.col("ctx")).alias("text_hash"), F.inline(F.arrays_zip("docs", "times")))
-    sums = each.groupBy("chunk", "docs").agg(F.sum(F.col("times") * F.col("logp")).alias("nats"), F.max("text_hash").alias("text_hash"))
-    return sums.groupBy("text_hash").agg(F.min("nats").alias("nats"))
-
-
-def _context_counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not len(batch):
-            continue
-        owner, length, code, byte = word_steps([w.encode() for w in batch.column(0).to_pylist()], depth)
-        weight = batch.column(1).to_numpy()[owner]
-        key = (code << 8) | byte
-        order = np.lexsort((length, key))
-        key, length, code, byte, weight = key[order], length[order], code[order], byte[order], weight[order]
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (length[1:] != length[:-1])])
-        sums = np.add.reduceat(weight, first)
-        yield pa.RecordBatch.from_arrays([pa.array(length[first].astype(np.int32)), pa.array(code[first]), pa.array(byte[first].astype(np.int32)), pa.array(sums)], ["len", "ctx", "byte", "n"])
-
-
-def _log_gamma(x: Column) -> Column:
-    """Stirling's series seven above ``x``; ``x`` is at least a half."""
+        rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for flag in (False, True):
+            for found, _ in step_keys((running_text(words_of(t), depth) for t, held in rows if held == flag), depth):
+                found.sort()
+                first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+                times = np.zeros(len(first), np.int64) if flag else np.diff(np.r_[first, len(found)])
+                keys, n = _sums(np.concatenate([keys, found[first]]), np.concatenate([n, times]))
+                if len(keys) > MERGED_STEPS:
+                    yield out()
+                    keys, n = keys[:0], n[:0]
+    yield out()
+
+
+def step_counts(docs: DataFrame, depth: int) -> DataFrame:
+    """(key, n): every distinct step of ``docs`` (text, held_out), with its count in training documents."""
+    return docs.select("text", "held_out").mapInArrow(lambda b: _step_counts(b, depth), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _log_gamma_terms(x, log):
+    """Stirling's series seven above ``x`` (at least a half), for columns and arrays."""
     z = x + 7
-    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    series = (z - 0.5) * log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
     product = x
     for i in range(1, 7):
         product = product * (x + i)
-    return series - F.log(product)
+    return series - log(product)
 
 
-def _log_kt(zeros: Column, ones: Column) -> Column:
+def _log_kt(zeros, ones, log):
     """Logarithm of the Krichevsky-Trofimov block probability."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
-
-
-def _decisions(rows: DataFrame) -> DataFrame:
-    """The eight binary decisions of each byte: node = context and the bits before, and the bit."""
-    byte, k = F.col("byte").cast("int"), F.col("k")
-    prefix = F.call_function("shiftleft", F.lit(1), k).bitwiseOR(F.call_function("shiftright", byte, F.lit(8) - k))
-    bit = F.call_function("shiftright", byte, F.lit(7) - k).bitwiseAND(F.lit(1))
-    out = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return out.withColumn("node", F.shiftleft("ctx", 8).bitwiseOR(prefix.cast("long"))).withColumn("bit", bit).drop("k")
-
-
-def _shorter(ctx: Column, length: int) -> Column:
-    return ctx.bitwiseAND(F.lit((1 << (8 * length)) - 1).cast("long"))
-
-
-def context_tree(counts: DataFrame, depth: int) -> DataFrame:
-    """``counts``: (len, ctx, byte, n) with each byte's longest context. Returns (len, ctx, byte, logp): natural logarithm of the mixed probability of each of these bytes in its context."""
-    levels: dict[int, DataFrame] = {}
-    rows = counts.where(F.col("len") == depth).select("ctx", "byte", "n")
-    for d in range(depth, -1, -1):
-        if d < depth:
-            above = rows.select(_shorter(F.col("ctx"), d).alias("ctx"), "byte", "n")
-            rows = above.unionByName(counts.where(F.col("len") == d).select("ctx", "byte", "n")).groupBy("ctx", "byte").agg(F.sum("n").alias("n"))
-            rows = materialise(rows)
-        bits = _decisions(rows).groupBy("node", "ctx").agg(F.sum(F.col("n") * (1 - F.col("bit"))).cast("double").alias("n0"), F.sum(F.col("n") * F.col("bit")).cast("double").alias("n1"))
-        nodes = bits.withColumn("own", _log_kt(F.col("n0"), F.col("n1")))
-        if d == depth:
-            nodes = nodes.withColumn("below", F.lit(None).cast("double"))
-        else:
-            prefix = F.col("node").bitwiseAND(F.lit(255).cast("long"))
-            sums = levels[d + 1].select(F.shiftleft(_shorter(F.col("ctx"), d), 8).bitwiseOR(prefix).alias("node"), "mixed").groupBy("node").agg(F.sum("mixed").alias("below"))
-            nodes = nodes.join(sums, "node", "left")
-        high, low = F.greatest("own", "below"), F.least("own", "below")
-        mixed = F.when(F.col("below").isNull(), F.col("own")).otherwise(high + F.log1p(F.exp(low - high)) - math.log(2))
-        levels[d] = materialise(nodes.withColumn("mixed", mixed))
-    reach = None  # (node, share, rest) of the level above: what its estimates add, and the weight left for longer contexts
-    leaves = []
-    for d in range(depth + 1):
-        nodes = levels[d].withColumn("kt", (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0))
-        if reach is None:
-            nodes = nodes.withColumn("share", F.lit(0.0)).withColumn("rest", F.lit(1.0))
-        else:
-            prefix = F.col("node").bitwiseAND(F.lit(255).cast("long"))
-            nodes = nodes.withColumn("up", F.shiftleft(_shorter(F.col("ctx"), d - 1), 8).bitwiseOR(prefix)).join(reach, "up")
-        inner = F.col("below").isNotNull()
-        leaves.append(nodes.where(~inner).select(F.lit(d).alias("len"), "node", (F.col("share") + F.col("rest") * F.col("kt")).alias("p1")))
-        weight = 1 / (1 + F.exp(F.col("below") - F.col("own")))
-        reach = nodes.where(inner).select(F.col("node").alias("up"), (F.col("share") + F.col("rest") * weight * F.col("kt")).alias("share"), (F.col("rest") * (1 - weight)).alias("rest"))
-        if d < depth:
-            reach = materialise(reach)
-    ends = leaves[0]
-    for more in leaves[1:]:
-        ends = ends.unionByName(more)
-    steps = _decisions(counts.select("len", "ctx", "byte"))
-    logp = F.log(F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1")))
-    return steps.join(ends, ["len", "node"]).groupBy("len", "ctx", "byte").agg(F.sum(logp).alias("logp"))
-
-
-def _step_rows(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        owner, length, code, byte = word_steps([w.encode() for w in batch.column(0).to_pylist()], depth)
-        order = np.argsort(owner, kind="stable")
-        word = batch.column(0).take(pa.array(owner[order]))
-        yield pa.RecordBatch.from_arrays([word, pa.array(length[order].astype(np.int32)), pa.array(code[order]), pa.array(byte[order].astype(np.int32))], ["word", "len", "ctx", "byte"])
-
-
-TREE_STEPS = 3_000_000
-
-
-def word_scores(words: DataFrame, depth: int = DEPTH, broadcast_steps: int = TREE_STEPS) -> DataFrame:
-    """(word, c, ctw): each word's count and natural log-probability. The tree's steps are broadcast when there are at most ``broadcast_steps``, and joined otherwise."""
-    partial = words.mapInArrow(lambda b: _context_counts(b, depth), "len int, ctx long, byte int, n long")
-    counts = materialise(partial.groupBy("len", "ctx", "byte").agg(F.sum("n").alias("n")))
-    steps = materialise(context_tree(counts, depth))
-    if steps.count() > broadcast_steps:
-        rows = words.select("word").mapInArrow(lambda b: _step_rows(b, depth), "word string, len int, ctx long, byte int")
-        sums = rows.join(steps, ["len", "ctx", "byte"]).groupBy("word").agg(F.sum("logp").alias("ctw"))
-        return words.join(sums, "word")
-    got = steps.select(F.shiftleft("ctx", 8).bitwiseOR(F.col("byte").cast("long")).alias("key"), "len", "logp").toArrow()
-    tables = []
-    for length in range(depth + 1):
-        mine = got.filter(pc.equal(got["len"], length)).sort_by("key")
-        tables.append((mine["key"].to_numpy(), mine["logp"].to_numpy()))
-    shared = words.sparkSession.sparkContext.broadcast(tables)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, length, code, byte = word_steps([w.encode() for w in batch.column(0).to_pylist()], depth)
-            key = (code << 8) | byte
-            ctw = np.zeros(len(batch))
-            for n, (keys, logp) in enumerate(shared.value):
-                if len(at := np.flatnonzero(length == n)):
-                    ctw += np.bincount(owner[at], logp[np.searchsorted(keys, key[at])], len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ctw, pa.float64())], ["word", "c", "ctw"])
-
-    return words.mapInArrow(score, "word string, c long, ctw double")
-
-
-def _document_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Sums over each document's frequent words; its other words with their counts."""
-    names, c, base, ctw = shared.value
+    return _log_gamma_terms(zeros + 0.5, log) + _log_gamma_terms(ones + 0.5, log) - _log_gamma_terms(zeros + ones + 1.0, log) - math.log(math.pi)
+
+
+class Subtrees:
+    """The nodes with ``low`` to ``depth`` bytes of context over some distinct steps, for one bit of the byte at a time."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, low: int, depth: int):
+        order = np.argsort(keys)
+        self.order, self.low, self.depth = order, low, depth
+        self.rows = {depth: (keys[order], n[order].astype(np.float64))}
+        self.up: dict[int, np.ndarray] = {}
+        for d in range(depth, low, -1):  # one context byte fewer: its steps, and where each step of this level went
+            full, count = self.rows[d]
+            cut = full >> np.uint64(16) << np.uint64(8) | full & np.uint64(255)
+            sort = np.argsort(cut, kind="stable")
+            cut = cut[sort]
+            new = np.r_[True, cut[1:] != cut[:-1]]
+            self.up[d] = np.empty(len(cut), np.int64)
+            self.up[d][sort] = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            self.rows[d - 1] = cut[first], np.add.reduceat(count[sort], first)
+
+    def grow(self, k: int) -> None:
+        """Counts, own estimates and mixtures of the nodes that decide bit ``k``, from the longest contexts up."""
+        self.k = k
+        self.first, self.node, self.total, self.ones, self.own, self.below, self.parent = {}, {}, {}, {}, {}, {}, {}
+        for d in range(self.depth, self.low - 1, -1):
+            keys, n = self.rows[d]
+            place = keys >> np.uint64(8 - k)
+            new = np.r_[True, place[1:] != place[:-1]]
+            first = self.first[d] = np.flatnonzero(new)
+            self.node[d] = np.cumsum(new) - 1
+            self.total[d] = np.add.reduceat(n, first)
+            self.ones[d] = np.add.reduceat(n * (keys >> np.uint64(7 - k) & np.uint64(1)), first)
+            self.own[d] = _log_kt(self.total[d] - self.ones[d], self.ones[d], np.log)
+            if d == self.depth:
+                self.mixed = self.own[d]
+            else:
+                self.parent[d + 1] = self.node[d][self.up[d + 1][self.first[d + 1]]]
+                self.below[d] = np.bincount(self.parent[d + 1], self.mixed, len(first))
+                self.mixed = np.logaddexp(self.own[d], self.below[d]) - math.log(2)
+
+    def names(self) -> np.ndarray:
+        """The nodes at the cut: their context, and below it a one and the bits before bit k."""
+        keys = self.rows[self.low][0][self.first[self.low]]
+        prefix = np.uint64(1 << self.k) | (keys & np.uint64(255)) >> np.uint64(8 - self.k)
+        return (keys >> np.uint64(8) << np.uint64(8) | prefix).view(np.int64)
+
+    def log_probabilities(self, share: np.ndarray, rest: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Of each step's bit k, given for each node at the cut what shorter contexts add, the weight left, and the mixture without this node."""
+        for d in range(self.low, self.depth + 1):
+            if d > self.low:
+                share, rest, stop = (x[self.parent[d]] for x in (share, rest, stop))
+            kt = (self.ones[d] + 0.5) / (self.total[d] + 1.0)
+            weight = 1 / (1 + np.exp(np.minimum(self.below[d] - self.own[d], 700.0))) if d < self.depth else 1.0
+            seen = self.total[d] > 0
+            stop = np.where(seen, share + rest * kt, stop)
+            share, rest = share + rest * weight * kt, rest * (1 - weight)
+        bit = self.rows[self.depth][0] >> np.uint64(7 - self.k) & np.uint64(1)
+        one = stop[self.node[self.depth]]
+        return np.log(np.where(bit == 1, one, 1 - one))
+
+
+def _steps(found: pa.Table, low: int, depth: int) -> Subtrees:
+    return Subtrees(found["key"].to_numpy().view(np.uint64), found["n"].to_numpy(), low, depth)
+
+
+def _cut_nodes(found: pa.Table, low: int, depth: int) -> pa.Table:
+    tree = _steps(found, low, depth)
+    parts = []
+    for k in range(8):
+        tree.grow(k)
+        parts.append((tree.names(), tree.total[low] - tree.ones[low], tree.ones[low], tree.mixed))
+    return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["node", "n0", "n1", "mixed"])
+
+
+def _step_logs(found: pa.Table, reach: pa.Table, low: int, depth: int) -> pa.Table:
+    tree = _steps(found, low, depth)
+    names = reach["node"].to_numpy()
+    order = np.argsort(names)
+    names = names[order]
+    given = [reach[c].to_numpy()[order] for c in ("share", "rest", "stop")]
+    logp = np.zeros(len(tree.order))
+    for k in range(8):
+        tree.grow(k)
+        at = np.searchsorted(names, tree.names())
+        logp += tree.log_probabilities(*(g[at] for g in given))
+    return pa.table([pa.array(tree.rows[depth][0].view(np.int64)), pa.array(tree.rows[depth][1].astype(np.int64)), pa.array(logp)], ["key", "n", "logp"])
+
+
+def _upper(node: Column) -> Column:
+    """The node with one context byte fewer, the farthest."""
+    return F.shiftleft(F.shiftrightunsigned(node, 16), 8).bitwiseOR(node.bitwiseAND(F.lit(255).cast("long")))
+
+
+def _reach(level: DataFrame, share: Column, rest: Column, stop: Column) -> DataFrame:
+    """(up, share, rest, stop) that the longer contexts of each node of ``level`` are given."""
+    kt = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
+    weight = 1 / (1 + F.exp(F.col("below") - F.col("own")))
+    end = F.when(F.col("n0") + F.col("n1") > 0, share + rest * kt).otherwise(stop)
+    return level.select(F.col("node").alias("up"), (share + rest * weight * kt).alias("share"), (rest * (1 - weight)).alias("rest"), end.alias("stop"))
+
+
+def cut_reach(nodes: DataFrame, low: int) -> DataFrame:
+    """``nodes``: (node, n0, n1, mixed) with ``low`` bytes of context. (node, share, rest, stop) from the levels above."""
+    if not low:
+        return nodes.select("node", F.lit(0.0).alias("share"), F.lit(1.0).alias("rest"), F.lit(0.5).alias("stop"))
+    levels = {low: nodes}
+    for d in range(low - 1, -1, -1):
+        sums = levels[d + 1].groupBy(_upper(F.col("node")).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("mixed").alias("below"))
+        own = sums.withColumn("own", _log_kt(F.col("n0"), F.col("n1"), F.log))
+        high, least = F.greatest("own", "below"), F.least("own", "below")
+        levels[d] = own.withColumn("mixed", high + F.log1p(F.exp(least - high)) - math.log(2))
+    reach = _reach(levels[0], F.lit(0.0), F.lit(1.0), F.lit(0.5))
+    for d in range(1, low):
+        reach = _reach(levels[d].withColumn("up", _upper(F.col("node"))).join(reach, "up"), F.col("share"), F.col("rest"), F.col("stop"))
+    return nodes.select("node", _upper(F.col("node")).alias("up")).join(reach, "up").select("node", "share", "rest", "stop")
+
+
+def context_tree(counts: DataFrame, depth: int, split: int = SPLIT, group_steps: int = GROUP_STEPS) -> DataFrame:
+    """``counts``: distinct steps (key, n). Returns (key, n, logp): the natural logarithm of the mixed probability of each step's byte in its context."""
+    low = min(split, depth)
+    groups = max(1, -(-counts.count() // group_steps))
+    bucket = lambda context: F.pmod(F.xxhash64(context), F.lit(groups)).cast("int").alias("bucket")
+    steps = counts.select(bucket(F.shiftrightunsigned("key", 8 * (depth - low) + 8)), "key", "n")
+    nodes = materialise(steps.groupBy("bucket").applyInArrow(lambda t: _cut_nodes(t, low, depth), "node long, n0 double, n1 double, mixed double"))
+    reach = cut_reach(nodes, low)
+    reach = reach.select(bucket(F.shiftrightunsigned("node", 8)), "*")
+    logs = steps.groupBy("bucket").cogroup(reach.groupBy("bucket"))
+    return logs.applyInArrow(lambda t, r: _step_logs(t, r, low, depth), "key long, n long, logp double")
+
+
+def _listed(docs: list[np.ndarray], keys: list[np.ndarray], n: int) -> pa.Array:
+    """For each of ``n`` documents the list of its distinct keys and how often each comes."""
+    doc, key = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((docs, np.int64), (keys, np.uint64)))
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[first, len(doc)])
+    offsets = np.searchsorted(doc[first], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(key[first].view(np.int64)), pa.array(times)], ["key", "times"]))
+
+
+def _document_rows(batches: Iterator[pa.RecordBatch], shared, depth: int) -> Iterator[pa.RecordBatch]:
+    """Sums over each document's frequent words and steps; its other words and steps with their counts."""
+    (names, c, base), (steps, logs) = shared.value
     number = {w: i for i, w in enumerate(names)}
     rare_kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        for text in batch.column(2).to_pylist():
-            words = words_of(text)
-            words.append(END.encode())
-            got = list(map(number.get, words))
-            rare = Counter(w for w, g in zip(words, got, strict=True) if g is None)
-            at = np.array([g for g in got if g is not None], np.int64)
-            for values, v in zip(out, (len(words), sum(map(len, words)) + len(words) - 1, int((c[at] > 0).sum()), float(base[at].sum()), float(ctw[at].sum()), [{"word": w.decode(), "times": n} for w, n in rare.items()]), strict=True):
-                values.append(v)
+        out: list[list] = [[], [], [], [], []]
+
+        def texts() -> Iterator[bytes]:
+            for text in batch.column(2).to_pylist():
+                words = words_of(text)
+                run = running_text(words, depth)
+                words.append(END)
+                got = np.fromiter(map(number.get, words, itertools.repeat(-1)), np.int64, len(words))
+                rare = Counter(words[i] for i in np.flatnonzero(got < 0).tolist())
+                got = got[got >= 0]
+                for values, v in zip(out, (len(words), len(run) - depth, int((c[got] > 0).sum()), float(base[got].sum()), [{"word": w.decode(), "times": n} for w, n in rare.items()]), strict=True):
+                    values.append(v)
+                yield run
+
+        ctw = np.zeros(len(batch))
+        rare_docs, rare_steps = [], []
+        for keys, owner in step_keys(texts(), depth):
+            order = np.argsort(keys)
+            keys, owner = keys[order], owner[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            times = np.diff(np.r_[first, len(keys)])
+            if len(steps):
+                at = np.minimum(np.searchsorted(steps, keys[first]), len(steps) - 1)
+                hit = steps[at] == keys[first]
+                ctw += np.bincount(owner, np.repeat(np.where(hit, logs[at], 0.0), times), len(batch))
+            else:
+                hit = np.zeros(len(first), bool)
+            if not hit.all():
+                left = np.repeat(~hit, times)
+                rare_docs.append(owner[left])
+                rare_steps.append(keys[left])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), rare_kind)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_kind), strict=True))],
-            ["row", "held_out", "n_tokens", "n_bytes", "n_known", "base", "ctw", "rare"],
+            [batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(out, kinds, strict=True)), pa.array(ctw), _listed(rare_docs, rare_steps, len(batch))],
+            ["row", "held_out", "n_tokens", "n_bytes", "n_known", "base", "rare", "ctw", "rare_steps"],
         )
 
 
-def frequent(words: DataFrame, most: int) -> DataFrame:
-    """The words from some count on, as many as ``most`` allows: the count is found from a histogram of at most 512 steps, so no task gathers or sorts the words."""
-    step = F.floor(F.log2("c") * 8)
-    seen = words.where("c > 0")
+def frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows from some ``count`` on, as many as ``most`` allows: the count is found from a histogram of at most 512 steps, so no task gathers or sorts the rows."""
+    step = F.floor(F.log2(count) * 8)
+    seen = rows.where(F.col(count) > 0)
     total, least = 0, None
     for row in sorted(seen.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
         total += row["count"]
@@ -333,43 +366,42 @@ def frequent(words: DataFrame, most: int) -> DataFrame:
     return seen.where(step >= least) if least is not None else seen.limit(0)
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, frequent_words: int = FREQUENT_WORDS, running: bool = False) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH, frequent_words: int = FREQUENT_WORDS, frequent_steps: int = FREQUENT_STEPS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row for each row of ``docs``.
 
     Scores are log10 probabilities; bits_per_byte is the code length over the bytes of the words,
-    a blank after each, and the end byte. A null text is empty: it has the end token alone. Null ids are training
-    documents; repeated rows count and are scored each; other columns are ignored. No rows give no
-    rows; without training documents every estimate is that of zero counts. ``running``: contexts
-    run across blanks."""
+    a blank after each, and the end byte; ``depth`` is 1 to 7 bytes. A null text is empty: it has the
+    end token alone. Null ids are training documents; repeated rows count and are scored each; other
+    columns are ignored; texts of any length are scored whole. No rows give no rows; without training
+    documents every bit of a byte has probability one half."""
+    if not 1 <= depth <= 7:
+        raise ValueError("a context and the byte after it have at most 64 bits")
     spark = docs.sparkSession
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = materialise(word_counts(numbered))
+    keyed = docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", is_held_out(F.col("doc_id")))
+    words = materialise(word_counts(keyed))
     totals = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = totals["n"] or 0, totals["v"] or 0
-    scored = words.withColumn("ctw", F.lit(0.0)) if running else materialise(word_scores(words, depth))
-    whole = n + SMOOTHING * (v + 1)
-    scored = scored.withColumn("base", F.log10((F.col("c") + SMOOTHING) / F.lit(whole)))
-    top = frequent(scored, frequent_words).toArrow()
-    shared = spark.sparkContext.broadcast(([w.encode() for w in top["word"].to_pylist()], top["c"].to_numpy(), top["base"].to_numpy(), top["ctw"].to_numpy()))
-    keyed = numbered.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    sums = "row struct<id:long,doc_id:long,text_hash:long>, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, ctw double, rare array<struct<word:string,times:long>>"
-    rows = keyed.select(F.struct(F.col("row").alias("id"), "doc_id", "text_hash").alias("row"), "held_out", "text").mapInArrow(lambda b: _document_rows(b, shared), sums)
-    rows = materialise(rows)
-    rare = rows.select(F.col("row.id").alias("id"), F.inline("rare")).join(scored, "word")
-    rare = rare.groupBy("id").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.col("base")).alias("more_base"), F.sum(F.col("times") * F.col("ctw")).alias("more_ctw")
-    )
-    out = rows.drop("rare").withColumn("id", F.col("row.id")).join(rare, "id", "left")
-    nats = F.col("ctw") + F.coalesce("more_ctw", F.lit(0.0))
-    if running:
-        by_text = running_scores(keyed.select("text", "text_hash", "held_out"), depth)
-        out = out.withColumn("text_hash", F.col("row.text_hash")).join(by_text, "text_hash")
-        nats = F.col("nats")
+    words = words.withColumn("base", F.log10((F.col("c") + SMOOTHING) / F.lit(n + SMOOTHING * (v + 1))))
+    steps = materialise(context_tree(materialise(step_counts(keyed, depth)), depth))
+    top = frequent(words, "c", frequent_words).toArrow()
+    near = frequent(steps, "n", frequent_steps).select("key", "logp").toArrow()
+    keys = near["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((([w.encode() for w in top["word"].to_pylist()], top["c"].to_numpy(), top["base"].to_numpy()), (keys[order], near["logp"].to_numpy()[order])))
+    sums = "row struct<id:long,doc_id:long>, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, rare array<struct<word:string,times:long>>, ctw double, rare_steps array<struct<key:long,times:long>>"
+    rows = materialise(keyed.select(F.struct("id", "doc_id").alias("row"), "held_out", "text").mapInArrow(lambda b: _document_rows(b, shared, depth), sums))
+    none, times = F.lit(0.0), F.col("times")
+    known = F.when(F.col("c") > 0, times).otherwise(0).alias("more_known")
+    more_words = rows.select(F.col("row.id").alias("id"), F.inline("rare")).join(words, "word").select("id", known, (times * F.col("base")).alias("more_base"), none.alias("more_ctw"))
+    more_steps = rows.select(F.col("row.id").alias("id"), F.inline("rare_steps")).join(steps, "key").select("id", F.lit(0).alias("more_known"), none.alias("more_base"), (times * F.col("logp")).alias("more_ctw"))
+    more = more_words.unionByName(more_steps).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("more_known", "more_base", "more_ctw")))
+    out = rows.drop("rare", "rare_steps").withColumn("id", F.col("row.id")).join(more, "id", "left")
+    nats = F.col("ctw") + F.coalesce("more_ctw", none)
     return out.select(
         F.col("row.doc_id").alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (nats / math.log(10)).alias("score"), (-nats / math.log(2) / F.col("n_bytes")).alias("bits_per_byte"),
-    )
+        (F.col("base") + F.coalesce("more_base", none)).alias("base_score"), (nats / math.log(10)).alias("score"), (-nats / math.log(2) / F.col("n_bytes")).alias("bits_per_byte"),
+    )
 
 
 def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), RUNNING_DEPTH, running=True)
+    return score_documents(table(spark, sf_dir, "documents"))

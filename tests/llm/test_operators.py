@@ -392,81 +392,8 @@ def test_pack_lengths_looks_at_every_sequence():
     assert sum({i < 5 for i, _, _ in s} == {True, False} and any(i >= 145 for i, _, _ in s) for s in packed) == 5
 
 
-def test_context_tree_against_plain_version(spark):
-    rows = [t for t in texts(n=8) if t is None or len(t) < 2000]
-    depth = 3
-    got = {x.doc_id: x for x in ctw.score_documents(frame(spark, rows), depth=depth, frequent_words=20).collect()}
-    joined = ctw.word_scores(ctw.word_counts(frame(spark, rows).select("doc_id", "text")), depth, broadcast_steps=0)
-    direct = ctw.word_scores(ctw.word_counts(frame(spark, rows).select("doc_id", "text")), depth)
-    a, b = ({x.word: x.ctw for x in y.collect()} for y in (joined, direct))
-    assert a.keys() == b.keys() and all(math.isclose(a[w], b[w], rel_tol=1e-9) for w in a)
-
-    def steps(text):
-        for w in (text or "").encode().lower().split():
-            z = b" " + w + b" "
-            for i in range(1, len(z)):
-                yield z[max(0, i - depth) : i], z[i]
-        yield b" ", 10
-
-    train = [i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 10]
-    counts, nodes, words = defaultdict(lambda: [0, 0]), set(), defaultdict(int)
-    for i, t in enumerate(rows):
-        for context, byte in steps(t):
-            for d in range(len(context) + 1):
-                for k in range(8):
-                    key = (context[len(context) - d :], (1 << k) | (byte >> (8 - k)))
-                    nodes.add(key)
-                    counts[key][(byte >> (7 - k)) & 1] += i in train
-        if i in train:
-            for w in [*(t or "").lower().split(), "\n"]:
-                words[w] += 1
-    children = defaultdict(list)
-    for context, prefix in nodes:
-        if context:
-            children[context[1:], prefix].append((context, prefix))
-
-    def kt(key):
-        z, o = counts[key]
-        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
-
-    @lru_cache(None)
-    def mixed(key):
-        if key not in children:
-            return kt(key)
-        own, below = kt(key), sum(map(mixed, children[key]))
-        return max(own, below) + math.log1p(math.exp(-abs(own - below))) - math.log(2)
-
-    @lru_cache(None)
-    def one(context, d, prefix):
-        key = (context[len(context) - d :], prefix)
-        z, o = counts[key]
-        here = (o + 0.5) / (z + o + 1)
-        if d == len(context):
-            return here
-        weight = math.exp(min(700, kt(key) - sum(map(mixed, children[key]))))
-        return (weight * here + one(context, d + 1, prefix)) / (weight + 1)
-
-    n, v = sum(words.values()), len(words)
-    for i, t in enumerate(rows):
-        score = 0.0
-        for context, byte in steps(t):
-            for k in range(8):
-                p = one(context, 0, (1 << k) | (byte >> (8 - k)))
-                score += math.log10(p if (byte >> (7 - k)) & 1 else 1 - p)
-        tokens = [*(t or "").lower().split(), "\n"]
-        base = sum(math.log10((words.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
-        x = got[i]
-        assert (x.n_tokens, x.n_known, x.train_tokens, x.held_out) == (len(tokens), sum(words.get(w, 0) > 0 for w in tokens), n, i not in train)
-        assert math.isclose(x.score, score, rel_tol=1e-9) and math.isclose(x.base_score, base, rel_tol=1e-9)
-    assert ctw.score_documents(empty(spark)).count() == 0 and ctw.score_documents(odd_rows(spark)).count() == 5
-
-
-def test_context_tree_runs_across_blanks(spark):
-    """Scores at depth 7 against a plain tree over the running bytes; word order matters."""
-    r = random.Random(5)
-    rows = [" ".join(r.choice(["red fox", "old dog", "Red cat"]) for _ in range(r.randint(1, 12))) for _ in range(25)] + [None, "", "red old fox dog", "red fox old dog", "red fox old dog"]
-    depth = 7
-    train = [i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 10]
+def plain_tree(rows, depth, train):
+    """log10 probability of each text from a tree over running bytes, by the definition."""
 
     def steps(text):
         z = b" " * depth + b"".join(w + b" " for w in (text or "").encode().lower().split()) + b"\n"
@@ -474,11 +401,11 @@ def test_context_tree_runs_across_blanks(spark):
 
     counts, children = defaultdict(lambda: [0, 0]), defaultdict(set)
     for i, t in enumerate(rows):
-        for context, byte in steps(t):
+        for context, byte in steps(t) if i in train else ():
             for d in range(len(context) + 1):
                 for k in range(8):
                     key = (context[len(context) - d :], (1 << k) | (byte >> (8 - k)))
-                    counts[key][(byte >> (7 - k)) & 1] += i in train
+                    counts[key][(byte >> (7 - k)) & 1] += 1
                     if d:
                         children[key[0][1:], key[1]].add(key)
 
@@ -495,30 +422,83 @@ def test_context_tree_runs_across_blanks(spark):
 
     def one(context, d, prefix):
         key = (context[len(context) - d :], prefix)
-        z, o = counts[key]
+        z, o = counts.get(key, (0, 0))
         here = (o + 0.5) / (z + o + 1)
-        if d == len(context):
+        longer = (context[len(context) - d - 1 :], prefix)
+        if d == len(context) or longer not in counts:  # an unseen context adds nothing
             return here
         weight = math.exp(min(700, kt(key) - sum(map(mixed, sorted(children[key])))))
         return (weight * here + one(context, d + 1, prefix)) / (weight + 1)
 
-    got = {x.doc_id: x for x in ctw.score_documents(frame(spark, rows), depth, running=True).collect()}
-    for i, t in enumerate(rows):
+    out = []
+    for t in rows:
         score = 0.0
         for context, byte in steps(t):
             for k in range(8):
                 p = one(context, 0, (1 << k) | (byte >> (8 - k)))
                 score += math.log10(p if (byte >> (7 - k)) & 1 else 1 - p)
-        assert math.isclose(got[i].score, score, rel_tol=1e-9)
-    assert len(got) == len(rows) and got[27].score < got[28].score - 1
-    assert ctw.score_documents(empty(spark), depth, running=True).count() == 0 and ctw.score_documents(odd_rows(spark), depth, running=True).count() == 5
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("depth", [2, 3, 5, 7])
+def test_context_tree_against_plain_version(spark, depth):
+    """Scores, base scores and counts; broadcast and joined words and steps; word order matters."""
+    r = random.Random(5)
+    rows = [" ".join(r.choice(["red fox", "old dog", "Red cat"]) for _ in range(r.randint(1, 12))) for _ in range(25)] + [None, "", "red old fox dog", "red fox old dog", "red fox old dog", "zebra \u00e9t\u00e9"]
+    train = {i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 10}
+    words = defaultdict(int)
+    for i in train:
+        for w in [*(rows[i] or "").lower().split(), "\n"]:
+            words[w] += 1
+    n, v = sum(words.values()), len(words)
+    want = plain_tree(rows, depth, train)
+    for few in ({}, {"frequent_words": 3, "frequent_steps": 20}):
+        got = {x.doc_id: x for x in ctw.score_documents(frame(spark, rows), depth, **few).collect()}
+        assert len(got) == len(rows) and (depth < 5 or got[27].score < got[28].score - 1)
+        for i, t in enumerate(rows):
+            tokens = [*(t or "").lower().split(), "\n"]
+            base = sum(math.log10((words.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
+            x = got[i]
+            assert (x.n_tokens, x.n_known, x.train_tokens, x.held_out) == (len(tokens), sum(words.get(w, 0) > 0 for w in tokens), n, i not in train)
+            assert math.isclose(x.score, want[i], rel_tol=1e-9) and math.isclose(x.base_score, base, rel_tol=1e-9)
+
+
+def test_context_tree_odd_tables(spark):
+    assert ctw.score_documents(empty(spark)).count() == 0 and ctw.score_documents(odd_rows(spark)).count() == 5
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    alone = ctw.score_documents(spark.createDataFrame([(held, "ab")], "doc_id long, text string")).first()
+    assert alone.train_tokens == 0 and math.isclose(alone.score, 4 * 8 * math.log10(0.5))
 
 
-def test_context_tree_is_a_distribution(spark):
-    """The probabilities of all next bytes in a context sum to one."""
-    counts = [(1, 32, b, c) for b, c in [(97, 5), (98, 2), (10, 1)] + [(x, 0) for x in range(256) if x not in (97, 98, 10)]]
-    tree = ctw.context_tree(spark.createDataFrame(counts, "len int, ctx long, byte int, n long"), 2)
-    assert math.isclose(tree.agg(F.sum(F.exp("logp"))).first()[0], 1.0, rel_tol=1e-9)
+def test_context_tree_cuts_long_texts(monkeypatch):
+    text = b"     " + b"some words in a row " * 50 + b"\n"
+    whole = np.concatenate([k for k, _ in ctw.step_keys([text, text], 5)])
+    parts = list(ctw.step_keys([text, text], 5, chunk=64))
+    assert len(parts) > 20 and sorted(np.concatenate([k for k, _ in parts])) == sorted(whole) and len(whole) == 2 * (len(text) - 5)
+    assert np.concatenate([o for _, o in parts]).sum() == len(text) - 5
+
+
+def test_context_tree_in_groups(spark):
+    """The cut and the number of groups do not change the tree; the probabilities of all next bytes sum to one."""
+    r = random.Random(2)
+    counts = {}
+    for _ in range(300):
+        counts[int.from_bytes(bytes(r.choice(b"ab ") for _ in range(5)), "big")] = r.randint(0, 9)
+    for byte in range(256):
+        counts.setdefault(int.from_bytes(b"abab", "big") << 8 | byte, 0)
+    frame_ = spark.createDataFrame(list(counts.items()), "key long, n long")
+    a, b, c = ({x.key: x.logp for x in ctw.context_tree(frame_, 4, **o).collect()} for o in ({}, {"group_steps": 40}, {"split": 1}))
+    assert a.keys() == b.keys() == c.keys() == counts.keys()
+    assert all(math.isclose(a[k], b[k], rel_tol=1e-9) and math.isclose(a[k], c[k], rel_tol=1e-9) for k in a)
+    assert math.isclose(sum(math.exp(a[int.from_bytes(b"abab", "big") << 8 | byte]) for byte in range(256)), 1.0, rel_tol=1e-9)
+
+
+def test_context_tree_beats_word_counts(spark):
+    """On held-out documents of the test table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = ctw.score_documents(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got.s > got.b
 
 
 def test_quality_classifier(spark):
