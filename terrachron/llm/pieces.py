@@ -2,7 +2,8 @@
 
 A text is cut only where the tokenizer's own splitting always cuts, so that the ids of the text are
 the ids of its pieces in order. Each distinct piece is encoded by the tokenizers library once and
-kept in flat arrays; the ids of a batch of texts are then one vectorised gather.
+kept in flat arrays; the ids of a batch of texts are then one vectorised gather. New pieces are encoded
+many in one string, whose ids are dealt out again by the number of bytes that each id stands for.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 FAR_LETTERS = re.compile("[^\\x00-\u012f\u0131-\u024f]")
 CACHE_PIECES = 300_000
 BATCH_CHARS = 2_000_000
+JOINED_PIECES = 64
+PIECE_CHARS = 32
 
 
 class _Index(dict):
@@ -50,8 +53,8 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarra
 class PieceStore:
     """Numbers pieces and keeps an array of values for each; ``values_of`` gives all values of some pieces in a row, and how many each has.
 
-    Once it holds ``limit`` pieces it starts anew, and keeps the former generation only to look up
-    pieces that come again: at most two generations are in memory."""
+    Once it holds ``limit`` pieces, or ``PIECE_CHARS`` times as many characters, it starts anew, and keeps the
+    former generation only to look up pieces that come again: at most two generations are in memory."""
 
     def __init__(self, values_of: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype, limit: int = CACHE_PIECES):
         self.values_of, self.dtype, self.limit = values_of, dtype, limit
@@ -60,6 +63,7 @@ class PieceStore:
 
     def clear(self) -> None:
         self.index = _Index()
+        self.chars = 0
         self.flat = np.empty(1 << 16, self.dtype)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lens = np.zeros(1 << 14, np.int64)
@@ -70,6 +74,7 @@ class PieceStore:
         pending = self.index.pending
         if pending:
             self.index.pending = []
+            self.chars += sum(map(len, pending))
             number = np.arange(len(self.index) - len(pending), len(self.index))
             if self.former is not None:
                 index, flat, starts, lens = self.former
@@ -104,7 +109,7 @@ class PieceStore:
         self.clear()
 
     def trim(self) -> None:
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self.chars > self.limit * PIECE_CHARS:
             self.former = (dict(self.index), self.flat, self.starts, self.lens)
             self.clear()
 
@@ -121,11 +126,49 @@ class TextEncoder:
         self.drops_white = "Removed" in str(self.tokenizer.pre_tokenizer)
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         self.store = PieceStore(self._encode, np.uint32)
+        self.id_bytes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.id_bytes[number] = len(token.removesuffix("</w>"))  # byte-level tokens have a letter for each byte
 
     def _encode(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        joins = [k for k, p in enumerate(pieces) if self._may_join(p)]
+        if len(joins) < 2:
+            return self._encode_each(pieces)
+        alone = sorted(set(range(len(pieces))).difference(joins))
+        ids, lens = self._encode_joined([pieces[k] for k in joins])
+        if not alone:
+            return ids, lens
+        more_ids, more_lens = self._encode_each([pieces[k] for k in alone])
+        order = np.argsort(np.array(joins + alone))
+        lens = np.concatenate([lens, more_lens])
+        starts = np.cumsum(lens) - lens
+        return _gather(np.concatenate([ids, more_ids]), starts[order], lens[order]), lens[order]
+
+    def _encode_each(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
+    def _may_join(self, piece: str) -> bool:
+        """Whether the piece is cut from others before and after it, and keeps its bytes in the tokenizer."""
+        if "<" in piece or not piece.isprintable():
+            return False
+        return piece != "" and not FAR_LETTERS.search(piece) if self.drops_white else piece[:1] == " " and piece[1:2] not in ("", " ")
+
+    def _encode_joined(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        between = " " if self.drops_white else ""
+        texts = [between.join(pieces[k : k + JOINED_PIECES]) for k in range(0, len(pieces), JOINED_PIECES)]
+        ids, _ = self._encode_each(texts)
+        ends = np.cumsum(np.fromiter((len(p) if p.isascii() else len((p.lower() if self.lowers else p).encode()) for p in pieces), np.int64, len(pieces)))
+        token_ends = np.cumsum(self.id_bytes[ids])
+        upto = np.searchsorted(token_ends, ends, side="right")
+        if len(ids) == upto[-1] and (token_ends[np.maximum(upto - 1, 0)] == ends).all():
+            return ids, np.diff(upto, prepend=0)
+        if len(pieces) <= JOINED_PIECES:  # some piece changes its bytes
+            return self._encode_each(pieces)
+        half = len(pieces) // 2
+        parts = self._encode_joined(pieces[:half]), self._encode_joined(pieces[half:])
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
     def _pieces(self, text: str) -> list:
         if self.drops_white:  # white space only separates; a special string has none
             if self.lowers and "<" not in text and not FAR_LETTERS.search(text):
