@@ -31,12 +31,13 @@ from .common import materialise, table
 
 DEPTH = 5
 SPLIT = 3
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
+COUNT_BYTES = 1 << 22
 MERGED_STEPS = 1 << 21
 GROUP_STEPS = 200_000
 FOLDS = 10
 SMOOTHING = 0.1
-FREQUENT_WORDS = 250_000
+FREQUENT_WORDS = 150_000
 FREQUENT_STEPS = 1 << 21
 FLUSH_WORDS = 250_000
 END = b"\n"
@@ -138,7 +139,7 @@ def _step_counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.R
     for batch in batches:
         rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         for flag in (False, True):
-            for found, _ in step_keys((running_text(words_of(t), depth) for t, held in rows if held == flag), depth):
+            for found, _ in step_keys((running_text(words_of(t), depth) for t, held in rows if held == flag), depth, COUNT_BYTES):
                 found.sort()
                 first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
                 times = np.zeros(len(first), np.int64) if flag else np.diff(np.r_[first, len(found)])
