@@ -32,8 +32,8 @@ from .common import materialise, table
 DEPTH = 5
 SPLIT = 3
 CHUNK_BYTES = 1 << 20
-COUNT_BYTES = 1 << 22
-MERGED_STEPS = 1 << 21
+COUNT_BYTES = 1 << 21
+MERGED_STEPS = 1 << 20
 GROUP_STEPS = 200_000
 FOLDS = 10
 SMOOTHING = 0.1
@@ -93,14 +93,18 @@ def _keys(pieces: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     A step is one word: the context, its last byte in the highest place, and the byte after it in the lowest."""
     joined = b"".join(pieces)
     back = joined[::-1] + bytes(7)
-    here = np.ndarray((len(joined),), ">u8", back, 0, (1,)).astype(np.uint64) >> np.uint64(8 * (7 - depth))
+    here = np.ndarray((len(joined),), ">u8", back, 0, (1,)).astype(np.uint64)
+    here >>= np.uint64(8 * (7 - depth))
     lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
     use = np.ones(len(joined), bool)
     use[((np.cumsum(lens) - lens)[:, None] + np.arange(depth)).ravel()] = False
-    owner = np.repeat(np.arange(len(pieces)), lens)[use][::-1]
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), lens)[use][::-1]
     here = here[use[::-1]]
-    context = here & np.uint64((1 << 8 * depth) - 1)
-    return context << np.uint64(8) | here >> np.uint64(8 * depth), owner
+    byte = here >> np.uint64(8 * depth)
+    here &= np.uint64((1 << 8 * depth) - 1)
+    here <<= np.uint64(8)
+    here |= byte
+    return here, owner
 
 
 def step_keys(texts: Iterable[bytes], depth: int, chunk: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -390,7 +394,9 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, frequent_words: int = F
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((([w.encode() for w in top["word"].to_pylist()], top["c"].to_numpy(), top["base"].to_numpy()), (keys[order], near["logp"].to_numpy()[order])))
     sums = "row struct<id:long,doc_id:long>, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, rare array<struct<word:string,times:long>>, ctw double, rare_steps array<struct<key:long,times:long>>"
-    rows = materialise(keyed.select(F.struct("id", "doc_id").alias("row"), "held_out", "text").mapInArrow(lambda b: _document_rows(b, shared, depth), sums))
+    rows = keyed.select(F.struct("id", "doc_id").alias("row"), "held_out", "text").mapInArrow(lambda b: _document_rows(b, shared, depth), sums)
+    rows = materialise(rows)
+    shared.destroy()  # the rows are written: workers let go of it
     none, times = F.lit(0.0), F.col("times")
     known = F.when(F.col("c") > 0, times).otherwise(0).alias("more_known")
     more_words = rows.select(F.col("row.id").alias("id"), F.inline("rare")).join(words, "word").select("id", known, (times * F.col("base")).alias("more_base"), none.alias("more_ctw"))
