@@ -39,7 +39,8 @@ FOLDS = 10
 SMOOTHING = 0.1
 FREQUENT_WORDS = 150_000
 FREQUENT_STEPS = 1 << 21
-FLUSH_WORDS = 250_000
+FLUSH_WORDS = 200_000
+SLICE_ROWS = 2000
 END = b"\n"
 
 
@@ -52,6 +53,12 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     train: Counter = Counter()
     held: Counter = Counter()
@@ -140,7 +147,7 @@ def _step_counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.R
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
-    for batch in batches:
+    for batch in _slices(batches):
         rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         for flag in (False, True):
             for found, _ in step_keys((running_text(words_of(t), depth) for t, held in rows if held == flag), depth, COUNT_BYTES):
@@ -318,9 +325,11 @@ def _document_rows(batches: Iterator[pa.RecordBatch], shared, depth: int) -> Ite
     """Sums over each document's frequent words and steps; its other words and steps with their counts."""
     (names, c, base), (steps, logs) = shared.value
     number = {w: i for i, w in enumerate(names)}
-    rare_kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
-    for batch in batches:
-        out: list[list] = [[], [], [], [], []]
+    for batch in _slices(batches):
+        out: list[list] = [[], [], [], []]
+        rare_words: list[bytes] = []
+        rare_times: list[int] = []
+        bounds = [0]
 
         def texts() -> Iterator[bytes]:
             for text in batch.column(2).to_pylist():
@@ -330,7 +339,10 @@ def _document_rows(batches: Iterator[pa.RecordBatch], shared, depth: int) -> Ite
                 got = np.fromiter(map(number.get, words, itertools.repeat(-1)), np.int64, len(words))
                 rare = Counter(words[i] for i in np.flatnonzero(got < 0).tolist())
                 got = got[got >= 0]
-                for values, v in zip(out, (len(words), len(run) - depth, int((c[got] > 0).sum()), float(base[got].sum()), [{"word": w.decode(), "times": n} for w, n in rare.items()]), strict=True):
+                rare_words.extend(rare)
+                rare_times.extend(rare.values())
+                bounds.append(len(rare_words))
+                for values, v in zip(out, (len(words), len(run) - depth, int((c[got] > 0).sum()), float(base[got].sum())), strict=True):
                     values.append(v)
                 yield run
 
@@ -351,9 +363,10 @@ def _document_rows(batches: Iterator[pa.RecordBatch], shared, depth: int) -> Ite
                 left = np.repeat(~hit, times)
                 rare_docs.append(owner[left])
                 rare_steps.append(keys[left])
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), rare_kind)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_times, pa.int64())], ["word", "times"])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(out, kinds, strict=True)), pa.array(ctw), _listed(rare_docs, rare_steps, len(batch))],
+            [batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(out, kinds, strict=True)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rare), pa.array(ctw), _listed(rare_docs, rare_steps, len(batch))],
             ["row", "held_out", "n_tokens", "n_bytes", "n_known", "base", "rare", "ctw", "rare_steps"],
         )
 
