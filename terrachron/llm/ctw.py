@@ -34,7 +34,7 @@ SPLIT = 3
 CHUNK_BYTES = 1 << 20
 COUNT_BYTES = 1 << 21
 MERGED_STEPS = 1 << 20
-GROUP_STEPS = 200_000
+GROUP_STEPS = 50_000
 FOLDS = 10
 SMOOTHING = 0.1
 FREQUENT_WORDS = 150_000

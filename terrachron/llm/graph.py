@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is one shuffle and a windowed minimum; the edge table is written to the
-shared folder after each round, so that no lineage grows and no edge passes the driver.
+Minima are combined before they are shuffled; the centre of a star may be the end of most edges, so
+its minimum goes back to its edges over several salted keys. The edge table is written to the shared
+folder after each round, so that no lineage grows and no edge passes the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +14,15 @@ from pyspark.sql.window import Window
 from .common import materialise
 
 
+SALTS = 16
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the least ``value`` of their ``key``; rows of one key are spread over SALTS joins."""
+    least = rows.groupBy(key).agg(F.min(value).alias(name)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")).join(least, [key, "salt"]).drop("salt")
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
@@ -30,7 +40,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u")))).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = with_least(both, "u", "v", "m").withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         small = large.withColumn("m", F.min("lo").over(Window.partitionBy("hi")))
         links = F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))
         stars = small.select(F.inline(links)).where("hi <> lo").distinct()

@@ -17,10 +17,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, whole_row
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -201,19 +201,26 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit(x, rows["label"].to_numpy(np.float64))
 
 
-def score_documents(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted), a row for each row of ``docs``, or the columns ``keep`` and the last two.
-
-    A null text is scored as an empty one. Null and repeated ids and repeated rows stay (a null id
-    is not held out); other columns are no input of a score; no rows give no rows."""
-
+def _score(model: AdditiveModel) -> Column:
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(model.score(feature_matrix(list(text))))
 
+    return score("text")
+
+
+def accepted(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with its columns, whose text scores ``threshold`` or more; rows are treated as in ``score_documents``, and columns of any name may come with them."""
+    return docs.select(whole_row(docs), _score(model).alias("score")).where(F.col("score") >= threshold).select("row.*")
+
+
+def score_documents(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, held_out, score, predicted), a row for each row of ``docs``.
+
+    A null text is scored as an empty one. Null and repeated ids and repeated rows stay (a null id
+    is not held out); other columns are no input of a score; no rows give no rows."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False)).alias("held_out")
-    first = keep if keep is not None else ["doc_id", held]
-    scored = docs.select(*first, score("text").alias("score"))
+    scored = docs.select("doc_id", held, _score(model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

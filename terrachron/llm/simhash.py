@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bits import majority
-from .common import materialise, table
+from .common import materialise, table, whole_row
 from .graph import connected_components
 
 MAX_BITS = 3
@@ -131,15 +131,19 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, size: int = SHING
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, size: int = SHINGLE_WORDS) -> DataFrame:
-    """One row of ``docs`` for each group: that of the smallest doc_id, then text hash, so rows that share an id but not a group do not stand for each other; documents without an id stay."""
+    """One row of ``docs`` for each group, with its columns: that of the smallest doc_id, then text hash.
+
+    Rows that share an id but not a group do not stand for each other; of rows that repeat an id and
+    its text one stays; documents without an id stay. Null and empty texts are one group (fingerprint
+    zero). Columns of any name may come with the documents; no rows give no rows."""
     found, by_fp = _groups(docs, max_bits, size)
     placed = found.where("doc_id IS NOT NULL").join(by_fp, "fp")
     kept = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"))
-    kept = kept.select(F.col("keep.doc_id").alias("_keep_id"), F.col("keep.text_hash").alias("_keep_hash"))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    one = Window.partitionBy("doc_id", "_hash").orderBy("_hash")
-    chosen = rows.join(kept, (F.col("doc_id").cast("long") == F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash")), "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
-    return chosen.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = kept.select(F.col("keep.doc_id").alias("id"), F.col("keep.text_hash").alias("hash"))
+    rows = docs.where("doc_id IS NOT NULL").select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    one = Window.partitionBy("id", "hash").orderBy("hash")
+    chosen = rows.join(kept, ["id", "hash"], "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    return chosen.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

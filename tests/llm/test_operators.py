@@ -147,7 +147,7 @@ def test_line_dedup(spark):
     for c, d, k in at:
         if keep[component[c]] != (d, k):
             drop[d].add(k)
-    got = {x.doc_id: x for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    got = {x.doc_id: x for x in line_dedup.marked_lines(frame(spark, rows)).select("row.doc_id", line_dedup.kept_text(F.col("row.text"), F.col("dropped")).alias("text"), F.col("dropped").alias("_dropped")).collect()}
     for d, t in enumerate(rows):
         want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[d])
         assert got[d].text == want and set(got[d]._dropped or ()) == drop[d]
