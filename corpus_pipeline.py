@@ -13,41 +13,58 @@ from terrachron.llm.common import materialise, table
 from terrachron.llm.decontam import drop_contaminated
 from terrachron.llm.line_dedup import dedup_lines
 from terrachron.llm.packing import pack_documents
-from terrachron.llm.quality import score_documents, train
+from terrachron.llm.quality import accepted, train
 from terrachron.llm.simhash import keep_one
 from terrachron.session import ship_package
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, with their columns.
+
+    A null text is judged as an empty one. Null ids and repeated rows are judged like any other;
+    columns of any name may come with the documents; without labels every score is one half and all
+    documents stay; no rows give no rows."""
     ship_package(spark)
-    model = train(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, model, keep=docs.columns).where("predicted = 1").select(docs.columns)
+    return accepted(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without repeated lines."""
+    """All documents, their texts without repeated lines; n_chars, where there is one, counts the text that stays.
+
+    Null and empty texts stay as they are, and a document may be left with an empty text. A null id
+    comes before all others, so its lines stay; rows that repeat an id and its text lose the same
+    lines. Columns of any name may come with the documents; no rows give no rows."""
     ship_package(spark)
-    out = dedup_lines(docs).select(docs.columns)
+    out = dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the smallest id, then text hash, and one of repeated rows.
+
+    Null and empty texts are one group; documents without an id all stay. Columns of any name may
+    come with the documents; no rows give no rows."""
     ship_package(spark)
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages, with their columns.
+
+    Null and empty texts hold none and stay. An id goes with all its rows when one of its texts is
+    contaminated; a null id is an id like any other. Columns of any name may come with the
+    documents; no rows, or an empty benchmark, change nothing."""
     ship_package(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
+    """Pieces of the documents, packed into sequences of at most 2048 tokens.
+
+    A null text is empty and packs as its end id alone; null and repeated ids and repeated rows are
+    packed each; other columns are ignored; no rows give no rows."""
     ship_package(spark)
     return pack_documents(docs)
 
