@@ -194,7 +194,7 @@ def test_line_dedup_recall_by_length(words, share, least):
         line = r.choices(WORDS + ["a", "of", "the"] * 60, k=words)
         near = edited(r, line, round(share * words))
         sides = [[w.encode() for w in x] for x in (line, near)]
-        sims, counts, blocks = line_dedup.line_blocks([words, words], sides[0] + sides[1], 0.8, none)
+        sims, counts, blocks, _ = line_dedup.line_blocks([words, words], sides[0] + sides[1], 0.8, none)
         hits += bool({*blocks[: counts[0]]} & {*blocks[counts[0] :]}) and int(sims[0] ^ sims[1]).bit_count() <= line_dedup.MAX_BITS
     assert hits >= least * 300
 
