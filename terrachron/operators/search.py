@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import spatial as S
 from ..functions import temporal as T
 from ..functions import text as X
+from ..session import settle
 
 MIN_QUERY = 2
 
@@ -194,27 +195,28 @@ def stem(word: str) -> Column:
     def stems(words: pd.Series) -> pd.Series:
         return words.map(stem_word)
 
-    return stems(F.col(word))
+    return stems.asNondeterministic()(F.col(word))  # filters on the stem stay above it: the distinct words alone are stemmed
 
 
 def build_postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(term, id, tf, length): stemmed terms of each text; only the distinct vocabulary is stemmed."""
-    words = docs.select(F.col(id_col).alias("id"), X.tokenize(text).alias("words"))
-    counted = words.select("id", F.size("words").alias("length"), F.explode("words").alias("word")).groupBy("id", "length", "word").agg(F.count("*").alias("tf"))
+    words = docs.select(F.col(id_col).alias("id"), X.tokenize(text).alias("words")).withColumn("length", F.size("words"))
+    counted = words.select("id", "length", F.explode("words").alias("word")).groupBy("id", "length", "word").agg(F.count("*").alias("tf"))
     stems = counted.select("word").distinct().withColumn("term", stem("word"))
     return counted.join(stems, "word").groupBy("term", "id", "length").agg(F.sum("tf").alias("tf"))
 
 
 def query_postings(postings: DataFrame, q: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score): texts with a term that begins with each stemmed query term, by BM25; an unknown term gives nothing."""
+    postings = settle(postings)  # read once for the totals and once for each term
     terms = list(dict.fromkeys(stem_word(t) for t in query_tokens(q)))
     lengths = postings.select("id", "length").distinct().agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     hits = None
     for i, t in enumerate(terms):
         some = postings.where((F.col("term") >= t) & (F.col("term") < t[:-1] + chr(ord(t[-1]) + 1))).groupBy("id", "length").agg(F.sum("tf").alias("tf")).withColumn("nth", F.lit(i))
         hits = some if hits is None else hits.unionByName(some)
-    frequency = F.count("*").over(Window.partitionBy("nth"))
-    scored = hits.withColumn("df", frequency).crossJoin(F.broadcast(lengths))  # one row of totals
+    frequency = hits.groupBy("nth").agg(F.count("*").alias("df"))
+    scored = hits.join(F.broadcast(frequency), "nth").crossJoin(F.broadcast(lengths))  # a row for each term; one row of totals
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return scored.groupBy("id").agg(F.count("*").alias("n_terms"), F.sum(weight).alias("score")).where(F.col("n_terms") == len(terms)).select("id", "score")
