@@ -63,7 +63,8 @@ def events(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFra
     )
     if with_text:
         texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_doc"), F.col("text").alias("extract"))
-        out = out.join(texts, F.col("_doc") == F.col("n") % 200, "left").drop("_doc")
+        size = F.broadcast(texts.agg(F.count("*").alias("_docs")))  # one row
+        out = out.crossJoin(size).join(texts, F.expr("_doc = n % nullif(_docs, 0)"), "left").drop("_doc", "_docs")
     return out
 
 
@@ -94,7 +95,7 @@ eb AS (
 )"""
 
 EVENTS_TEXT_SQL = EVENTS_SQL + """, evt AS (
-  SELECT ev.*, documents.text AS extract FROM ev LEFT JOIN documents ON doc_id = n % 200
+  SELECT ev.*, documents.text AS extract FROM ev LEFT JOIN documents ON doc_id = n % (SELECT count(*) FROM documents)
 )"""
 
 
