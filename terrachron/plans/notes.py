@@ -77,7 +77,7 @@ def _noted(spark, d):
         "needs_review": n % 2 == 0, "needs_manual_coordinates": n % 5 == 0, "category_label": F.when(n % 50 == 0, "x"),
         "extract_retrieved_at": F.when(n % 11 == 0, "2026-02-30").when(n % 11 > 1, "2026-10-01T00:00:00Z"),
         "wikipedia_revid": F.when(n % 4 != 0, n - 20), "wikipedia_revid_timestamp": F.when(n % 12 == 3, "2026-10-15").when(n % 4 != 1, "2026-10-15T19:38:37Z"),
-        "coordinate_source": F.when(n % 7 == 0, F.when(n % 2 == 1, "wikidata")).when(n % 7 == 1, words("country-fallback:NATION_", (n % 30).cast("string"))).when(n % 3 == 0, "manual").when(n % 3 == 1, "wikidata"),
+        "coordinate_source": F.when(n % 7 == 0, F.when(n % 2 == 1, "wikidata")).when(n % 7 == 1, words("country-fallback:NATION_", (n % 30).cast("string"))).when(n % 3 == 0, "manual-override").when(n % 3 == 1, "wikidata"),
         "wikipedia_url": F.when(n % 9 == 1, "http://x").when(n % 9 == 2, "https://fr.wikipedia.org/wiki/A").when(n % 9 > 2, "https://en.wikipedia.org/wiki/A"),
         "wikipedia_lead_dates": F.when(n % 10 == 0, F.array(F.lit("1990-01-01"))).when(n % 10 == 1, F.array(F.lit("1991"))),
     })
