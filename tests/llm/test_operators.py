@@ -15,7 +15,7 @@ import public_tokenizers  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from terrachron.llm import ann, chat, ctw, decontam, graph, line_dedup, packing, pieces, quality, simhash, token_counts, token_files  # noqa: E402
+from terrachron.llm import ann, chat, ctw, decontam, graph, line_dedup, packing, pieces, quality, simhash, token_counts, token_files, words  # noqa: E402
 from terrachron.llm.words import normal  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long"
@@ -162,6 +162,18 @@ def edited(r, line, edits):
     return near
 
 
+def test_text_hashes_do_not_depend_on_place_or_slab():
+    """A word has one hash wherever it stands, also in words longer than a slab and at a slab's end."""
+    draw = random.Random(3)
+    parts = [bytes(draw.choices(b"abcdefgh\xc3\xa9", k=draw.randrange(1, 12))) for _ in range(3000)]
+    parts[7:7] = [b"x" * (words.SLAB - 1), b"y" * words.SLAB, b"z" * (2 * words.SLAB + 5)]
+    apart = [int(words.text_hashes(w + b" ")[0]) for w in parts]
+    assert words.text_hashes(b" ".join([*parts, b""])).tolist() == apart
+    assert words.text_hashes(b"\n".join([*parts, b""])).tolist() == apart
+    assert len(set(apart)) == len(set(parts))
+    assert not len(words.text_hashes(b""))
+
+
 def test_line_dedup_finds_all_similar_short_lines(spark):
     """Against brute force over all pairs of lines of up to eleven words, without a fingerprint: edits of any kind down to a similarity of 0.8."""
     r = random.Random(12)
