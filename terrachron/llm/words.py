@@ -9,6 +9,8 @@ from .common import hold_only
 
 #: ASCII punctuation, removed from words (fixed values).
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Other ASCII white space as blanks; line feeds stay.
+BLANKS = bytes.maketrans(b"\t\r\x0b\x0c", b"    ")
 CACHE_WORDS = 250_000
 SLAB = 1 << 19
 BASE = 0x9E3779B97F4A7C15
@@ -21,6 +23,12 @@ def normal(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION)
 
 
+def normal_lines(text: str | None) -> list[bytes]:
+    """The lines of ``text`` in normal form, their words divided by single blanks; a line without words is empty."""
+    lines = normal(text).translate(BLANKS).split(b"\n")
+    return [b" ".join(line.split()) if b"  " in line else line.strip(b" ") for line in lines]
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh64_intdigest(word)
