@@ -192,3 +192,8 @@ def overlay_sets(features: DataFrame, year: int, key: str = "cell") -> DataFrame
 def placeholders(features: DataFrame, group: Column) -> DataFrame:
     """(grp, start_year, end_year, members): one outline for the members of each group that hold in the same years."""
     return features.withColumn("grp", group).groupBy("grp", "start_year", "end_year").agg(F.count("*").alias("members"))
+
+
+def with_additions(features: DataFrame, additions: DataFrame) -> DataFrame:
+    """The features and the entries that have no source record (``added``); columns that one side lacks are null there."""
+    return features.withColumn("added", F.lit(False)).unionByName(additions.withColumn("added", F.lit(True)), allowMissingColumns=True)

@@ -205,3 +205,33 @@ def predecessors(spark, d):
     tags = events(spark, d).select("id", T.year_of("date_start").alias("y"), F.explode("countries").alias("country"))
     k = F.element_at(F.split("country", "_"), 2).cast("int")
     return tags.select("id", "country", F.when(F.col("y") <= 1997 + k % 3, F.concat("country", F.lit(" (phase 1)"))).otherwise(F.col("country")).alias("state"))
+
+
+@query("c22_fallback_points", """
+, pl AS (SELECT n_name AS country, CAST(n_nationkey % 5 AS DOUBLE) * 10 AS lon, CAST(n_nationkey // 5 AS DOUBLE) * 8 - 4 AS lat, CASE WHEN n_nationkey % 4 <> 0 THEN 'City ' || n_nationkey END AS place FROM nation WHERE n_nationkey % 6 <> 5),
+t AS (SELECT id, unnest(countries) AS c, unnest(generate_series(1, len(countries))) AS nth FROM ev WHERE location_quality = 'none'),
+f AS (SELECT t.id, pl.*, row_number() OVER (PARTITION BY t.id ORDER BY nth) AS k FROM t JOIN pl ON c = country)
+SELECT id, country, lon, lat, 'country-fallback:' || country AS coordinate_source,
+       'Approximate location: no coordinates were found for this event, so its marker is placed at the one reference point used for every such event of ' || country || coalesce(' (' || place || ')', '')
+       || ', whatever its date. The marker shows the country, not where the event happened' || CASE WHEN place IS NOT NULL THEN ', and says nothing about the status of that city' ELSE '' END || '.' AS note
+FROM f WHERE k = 1""", "ev")
+def fallback_points(spark, d):
+    from ..operators import relate as R
+
+    k = F.col("n_nationkey")
+    places = table(spark, d, "nation").where(k % 6 != 5).select(
+        F.col("n_name").alias("country"), ((k % 5).cast("double") * 10).alias("lon"), (F.floor(k / 5).cast("double") * 8 - 4).alias("lat"), F.when(k % 4 != 0, F.concat(F.lit("City "), k.cast("string"))).alias("place")
+    )
+    return R.fallback_points(events(spark, d), places).select("id", "country", "lon", "lat", "coordinate_source", "note")
+
+
+@query("m03_added_entries", """
+SELECT name, CAST(start_year AS BIGINT) AS start_year, CAST(end_year AS BIGINT) AS end_year, status, false AS added FROM ft
+UNION ALL SELECT 'Added ' || c_custkey, 1992 + c_custkey % 5, 1994 + c_custkey % 5, CASE WHEN c_custkey % 3 = 0 THEN 'disputed' END, true FROM customer""", "ft")
+def added_entries(spark, d):
+    year = F.col("c_custkey").cast("long") % 5
+    entries = table(spark, d, "customer").select(
+        F.concat(F.lit("Added "), F.col("c_custkey").cast("string")).alias("name"), (year + 1992).alias("start_year"), (year + 1994).alias("end_year"), F.when(F.col("c_custkey") % 3 == 0, "disputed").alias("status")
+    )
+    found = features(spark, d).select("name", F.col("start_year").cast("long").alias("start_year"), F.col("end_year").cast("long").alias("end_year"), "status")
+    return B.with_additions(found, entries)
