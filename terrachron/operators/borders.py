@@ -82,17 +82,38 @@ def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column
 
 
 def crossings(features: DataFrame, size: float = CELL) -> DataFrame:
-    """(name, start_year, ring pair, segment pair): edges of one feature that properly cross, met in grid cells."""
+    """(name, start_year, end_year, sid, sid2, lon, lat): edges of one feature that properly cross, met in grid cells, and where they do."""
     s = segments(features)
     ends = lambda f, a, b: f(F.col(a), F.col(b))
     cells = J.box_cells(ends(F.least, "ax", "bx"), ends(F.least, "ay", "by"), ends(F.greatest, "ax", "bx"), ends(F.greatest, "ay", "by"), size)
     a = s.withColumn("_cell", F.explode(cells)).withColumn("sid", F.struct("part", "ring", "seg"))
-    b = a.select("name", "start_year", "_cell", F.col("sid").alias("sid2"), *(F.col(c).alias(f"{c}2") for c in ("ax", "ay", "bx", "by")))
-    pairs = a.join(b, ["name", "start_year", "_cell"]).where("sid < sid2")
+    b = a.select("name", "start_year", "end_year", "_cell", F.col("sid").alias("sid2"), *(F.col(c).alias(f"{c}2") for c in ("ax", "ay", "bx", "by")))
+    pairs = a.join(b, ["name", "start_year", "end_year", "_cell"]).where("sid < sid2")
     c = {n: F.col(n) for n in ("ax", "ay", "bx", "by", "ax2", "ay2", "bx2", "by2")}
     one = _side(c["ax"], c["ay"], c["bx"], c["by"], c["ax2"], c["ay2"]) * _side(c["ax"], c["ay"], c["bx"], c["by"], c["bx2"], c["by2"])
     two = _side(c["ax2"], c["ay2"], c["bx2"], c["by2"], c["ax"], c["ay"]) * _side(c["ax2"], c["ay2"], c["bx2"], c["by2"], c["bx"], c["by"])
-    return pairs.where((one < 0) & (two < 0)).select("name", "start_year", "sid", "sid2").distinct()
+    cross = (c["bx"] - c["ax"]) * (c["by2"] - c["ay2"]) - (c["by"] - c["ay"]) * (c["bx2"] - c["ax2"])  # not zero where edges cross
+    along = ((c["ax2"] - c["ax"]) * (c["by2"] - c["ay2"]) - (c["ay2"] - c["ay"]) * (c["bx2"] - c["ax2"])) / F.nullif(cross, F.lit(0.0))
+    at = (c["ax"] + along * (c["bx"] - c["ax"])).alias("lon"), (c["ay"] + along * (c["by"] - c["ay"])).alias("lat")
+    return pairs.where((one < 0) & (two < 0)).select("name", "start_year", "end_year", "sid", "sid2", *at).distinct()
+
+
+def ring_findings(features: DataFrame, accepted: DataFrame, size: float = CELL) -> DataFrame:
+    """(name, start_year, end_year, finding, n): crossings of a feature's rings with themselves, known or not, and with each other; accepted ones that are gone.
+
+    ``accepted`` (name, start_year, end_year, lon, lat) lists crossings within a ring that the source is known to have,
+    told by their place to six decimals. Crossings between two rings are never accepted."""
+    of, place = ["name", "start_year", "end_year"], [F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")]
+    met = crossings(features, size)
+    same = (F.col("sid.part") == F.col("sid2.part")) & (F.col("sid.ring") == F.col("sid2.ring"))
+    known = accepted.select(*of, *place).distinct()
+    alone = met.where(same).select(*of, *place)
+    by = [*of, "lon", "lat"]
+    found = alone.join(known.withColumn("is_known", F.lit(True)), by, "left")
+    rows = found.select(*of, F.when(F.col("is_known"), "accepted crossing").otherwise("ring crosses itself").alias("finding"))
+    rows = rows.unionByName(met.where(~same).select(*of, F.lit("rings cross").alias("finding")))
+    rows = rows.unionByName(known.join(alone, by, "left_anti").select(*of, F.lit("accepted crossing no longer found").alias("finding")))
+    return rows.groupBy(*of, "finding").agg(F.count("*").alias("n"))
 
 
 def same_year_overlaps(features: DataFrame, step: float = 0.5) -> DataFrame:

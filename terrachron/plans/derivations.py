@@ -235,3 +235,27 @@ def added_entries(spark, d):
     )
     found = features(spark, d).select("name", F.col("start_year").cast("long").alias("start_year"), F.col("end_year").cast("long").alias("end_year"), "status")
     return B.with_additions(found, entries)
+
+
+@query("k43_ring_findings", """
+WITH c AS (SELECT 'Area ' || c_custkey AS name, 1990 + c_custkey % 9 AS start_year, c_custkey AS k FROM customer)
+SELECT name, CAST(start_year AS BIGINT) AS start_year, CASE WHEN k % 2 = 0 THEN 'accepted crossing' ELSE 'ring crosses itself' END AS finding, 1 AS n FROM c WHERE k % 3 = 0
+UNION ALL SELECT name, start_year, 'rings cross', 2 FROM c WHERE k % 3 = 1
+UNION ALL SELECT name, start_year, 'accepted crossing no longer found', 1 FROM c WHERE k % 3 <> 0 AND k % 2 = 0""")
+def ring_findings(spark, d):
+    """Every third customer's area is a bow tie, the next one has a hole that leaves its outline; every second crossing is accepted."""
+    k = F.col("c_custkey").cast("long")
+    at = table(spark, d, "customer").select(
+        F.concat(F.lit("Area "), k.cast("string")).alias("name"), (k % 9 + 1990).alias("start_year"), k.alias("k"), ((k % 64) * 2.0 - 64).alias("x"), ((F.floor(k / 64) % 32) * 2.0 - 32).alias("y")
+    )
+
+    def ring(*points):
+        return F.array(*(F.struct((F.col("x") + px).alias("lon"), (F.col("y") + py).alias("lat")) for px, py in points))
+
+    tie = ring((0, 0), (1, 1), (1, 0), (0, 1), (0, 0))
+    square = ring((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))
+    hole = ring((0.5, 0.25), (1.5, 0.25), (1.5, 0.75), (0.5, 0.75), (0.5, 0.25))
+    shape = F.when(F.col("k") % 3 == 0, F.array(F.array(tie))).when(F.col("k") % 3 == 1, F.array(F.array(square, hole))).otherwise(F.array(F.array(square)))
+    areas = at.withColumns({"polygons": shape, "end_year": F.col("start_year") + 2})
+    accepted = areas.where("k % 2 = 0").select("name", "start_year", "end_year", (F.col("x") + 0.5).alias("lon"), (F.col("y") + 0.5).alias("lat"))
+    return B.ring_findings(areas, accepted).select("name", "start_year", "finding", "n")
