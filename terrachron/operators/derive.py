@@ -17,13 +17,12 @@ def kept_precision(claims: Column, kept: Column) -> Column:
     return F.coalesce(F.get(exact, F.lit(0)), F.get(filled, F.lit(0)))
 
 
-def reconcile_start(start: str, p585: str, p585_precision: str, p580: str, p580_precision: str, p582: str) -> Column:
+def reconcile_start(start: str, p585: str | Column, p585_precision: str | Column, p580: str | Column, p580_precision: str | Column, p582: str | Column) -> Column:
     """Where a point in time stands for a start: the start time to use and the rule that says so; else null.
 
     Rules in order: only a coarse point against a start to the year; the point is the end; the point lies inside; a year against a finer start in it."""
     norm = T.fill_zero_parts
-    a, b, c = F.col(p585), F.col(p580), F.col(p582)
-    pa, pb = F.col(p585_precision), F.col(p580_precision)
+    a, b, c, pa, pb = map(T.col, (p585, p580, p582, p585_precision, p580_precision))
     rule = (
         F.when((pa < 9) & (pb >= 9), "coarse").when((a == c) & (b != a), "end").when((pb >= 9) & (norm(b) < norm(a)) & (norm(a) < norm(c)), "inside")
         .when((pa == 9) & (pb >= 10) & (F.substring(b, 1, 4) == F.substring(a, 1, 4)), "year")
