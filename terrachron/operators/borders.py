@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import spatial as S
 from ..functions import temporal as T
+from ..session import settle
 from . import joins as J
 
 CELL = 4.0
@@ -53,7 +54,7 @@ def records_at(points: DataFrame, features: DataFrame, year: int) -> DataFrame:
 
 
 def pin_check(events: DataFrame, features: DataFrame, names_of: DataFrame, tolerance_km: float = 5.0, reach_deg: float = 1.0) -> DataFrame:
-    """(id, inside): precise pins against the shapes of their countries in their start year; inside, or within the tolerance of an edge.
+    """(id, inside): precise pins against the shapes of their countries in their start year; inside, or within the tolerance of an edge. Without a tolerance only inside counts.
 
     ``names_of``: (country, shape)."""
     pins = events.where(F.col("location_quality") == "precise").select("id", "lon", "lat", T.year_of("date_start").alias("year"), F.explode("countries").alias("country"))
@@ -64,7 +65,9 @@ def pin_check(events: DataFrame, features: DataFrame, names_of: DataFrame, toler
     near_box = F.col("lon").between(box["w"] - reach_deg, box["e"] + reach_deg) & F.col("lat").between(box["s"] - reach_deg, box["n"] + reach_deg)
     segments = F.flatten(F.transform(F.flatten("polygons"), S.edges))
     away = F.array_min(F.transform(segments, lambda s: S.segment_km(F.col("lon"), F.col("lat"), s["xj"], s["yj"], s["xi"], s["yi"])))
-    ok = near_box & (S.in_polygons(F.col("polygons"), F.col("lon"), F.col("lat")) | F.when(near_box, away <= tolerance_km).otherwise(False))
+    ok = near_box & S.in_polygons(F.col("polygons"), F.col("lon"), F.col("lat"))
+    if tolerance_km > 0:
+        ok = ok | (near_box & F.when(near_box, away <= tolerance_km).otherwise(False))
     return found.groupBy("id").agg(F.max(F.coalesce(ok, F.lit(False))).alias("inside"))
 
 
@@ -165,6 +168,49 @@ def measure_points(points: DataFrame, features: DataFrame, search_km: float = 10
     return points.select("id").join(best, "id", "left").select("id", F.col("best.d").alias("km"), F.col("best.name").alias("shape"))
 
 
+SHARED_KM = 0.3
+
+
+def shared_segments(edges: DataFrame, features: DataFrame, shared_km: float = SHARED_KM, size: float = CELL) -> DataFrame:
+    """``edges`` (as ``segments`` gives them) that another feature shares in some years: (other, first_year, last_year) for each such feature.
+
+    An edge is shared where its middle lies in the other feature, or no further than ``shared_km`` from one of its edges;
+    what is left over is coast, or the end of what is mapped. Middles meet features and edges by grid cell."""
+    key = ["name", "start_year", "end_year", "part", "ring", "seg"]
+    middles = edges.select(*key, ((F.col("ax") + F.col("bx")) / 2).alias("mx"), ((F.col("ay") + F.col("by")) / 2).alias("my"))
+    of = ("name", "start_year", "end_year")
+    theirs = features.select(*(F.col(c).alias(f"other_{c}") for c in of), "polygons")
+    inside = features_at(middles, theirs, "mx", "my", size).select(*key, *(f"other_{c}" for c in of))
+    pad = shared_km / 100
+    wide = pad / F.greatest(F.lit(0.02), F.cos(F.radians(F.greatest(F.abs("ay"), F.abs("by")) + pad)))
+    cells = J.box_cells(F.least("ax", "bx") - wide, F.least("ay", "by") - pad, F.greatest("ax", "bx") + wide, F.greatest("ay", "by") + pad, size)
+    lines = segments(features).withColumn("_cell", F.explode(cells)).select(*(F.col(c).alias(f"other_{c}") for c in of), "ax", "ay", "bx", "by", "_cell")
+    near = middles.withColumn("_cell", J.point_cell(F.col("mx"), F.col("my"), size)).join(lines, "_cell")
+    near = near.where(S.segment_km(F.col("mx"), F.col("my"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= shared_km).select(inside.columns)
+    years = F.greatest("start_year", "other_start_year").alias("first_year"), F.least("end_year", "other_end_year").alias("last_year")
+    both = inside.unionByName(near).where((F.col("other_name") != F.col("name")) | (F.col("other_start_year") != F.col("start_year")))
+    return both.select(*key, F.col("other_name").alias("other"), *years).where("first_year <= last_year").distinct()
+
+
+def measure_shared(points: DataFrame, features: DataFrame, search_km: float = 10.0, shared_km: float = SHARED_KM, size: float = CELL) -> DataFrame:
+    """(id, year, km, between): the nearest edge that two features share in a point's year, within ``search_km``, and which two meet there; nulls where there is none.
+
+    ``points``: (id, lon, lat, year). An edge that is nearer, but of one feature alone, is passed over. Each edge near
+    some point is looked at once, however many points and years it is near."""
+    s = segments(features)
+    pad = search_km / 100
+    wide = pad / F.greatest(F.lit(0.02), F.cos(F.radians(F.greatest(F.abs("ay"), F.abs("by")) + pad)))
+    cells = J.box_cells(F.least("ax", "bx") - wide, F.least("ay", "by") - pad, F.greatest("ax", "bx") + wide, F.greatest("ay", "by") + pad, size)
+    met = points.withColumn("_cell", J.point_cell(F.col("lon"), F.col("lat"), size)).join(s.withColumn("_cell", F.explode(cells)), "_cell").where(F.col("year").between(F.col("start_year"), F.col("end_year")))
+    near = met.withColumn("d", S.segment_km(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where(F.col("d") <= search_km).drop("_cell")
+    near = settle(near)
+    key = ["name", "start_year", "end_year", "part", "ring", "seg"]
+    shared = shared_segments(near.select(*key, "ax", "ay", "bx", "by").distinct(), features, shared_km, size)
+    found = near.join(shared, key).where(F.col("year").between(F.col("first_year"), F.col("last_year")))
+    best = found.groupBy("id", "year").agg(F.min(F.struct(F.round("d", 9).alias("d"), F.array_sort(F.array("name", "other")).alias("between"))).alias("best"))
+    return points.select("id", "year").join(best, ["id", "year"], "left").select("id", "year", F.col("best.d").alias("km"), F.col("best.between").alias("between"))
+
+
 def split_periods(features: DataFrame, cuts: DataFrame, key: str = "cell") -> DataFrame:
     """Features cut at the years of ``cuts`` (key, year): one row for each sub-interval (sub_start, sub_end)."""
     years = cuts.groupBy(key).agg(F.collect_set("year").alias("cut_years"))

@@ -160,3 +160,57 @@ def rederived_pins(spark, d):
     low = F.array_contains(R.codes(F.col("review_notes")), R.LOW_PRECISION)
     others = F.array_join(R.codes(R.without(F.col("review_notes"), R.LOW_PRECISION)), "|")
     return out.select("id", F.col("pin_outcome").alias("outcome"), F.col("pin_moved").alias("moved"), "lon", F.concat(others, F.when(low, "~low").otherwise("")).alias("review_codes"))
+
+
+def _title_sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(records when they were looked at, records now, leads, where stored titles lead)."""
+    n = F.col("n")
+    of = lambda head, k=None: F.concat(F.lit(head), (n if k is None else k).cast("string"))
+    url = lambda title: F.concat(F.lit("https://en.wikipedia.org/wiki/"), title)
+    differs = F.array(R.note(R.TITLE_DIFFERS), R.note("kept"))
+    e = events(spark, d).select("n", "id", "wikidata_qid", of("T").alias("title"), url(of("U")).alias("wikipedia_url"), F.when(n % 3 == 0, differs).otherwise(R.no_notes()).alias("review_notes"), R.no_notes().alias("date_notes"), (n % 3 == 0).alias("needs_review"))
+    case = n % 10
+    new = F.when(n % 20 == 11, of("Same", F.floor(n / 100))).when(case.isin(1, 2, 3, 4, 5), of("New")).when(case == 8, of("T", n - 7)).when(case == 9, of("T", n - 9)).otherwise(F.col("title"))
+    leads = e.where(case != 6).select(
+        of("U").alias("asked"), new.alias("title"), url(of("W")).alias("url"), F.when(case.isin(1, 4), of("U")).alias("redirected_from"), F.when(case == 4, "Part").alias("fragment"),
+        F.when(case == 5, "Q0").otherwise(F.col("wikidata_qid")).alias("item"), n.alias("page"),
+    )
+    former = e.where(case.isin(2, 8, 9) | (n % 20 == 3)).select(F.col("title").alias("old_title"), F.when(case == 3, -1).otherwise(n).alias("page"), F.lit(None).cast("string").alias("fragment"))
+    edited = F.when(n % 30 == 2, F.concat("title", F.lit(" edited"))).when(n % 30 == 22, of("New")).otherwise(F.col("title"))
+    now = e.where("n % 30 <> 12").withColumns({"title": edited, "wikipedia_url": F.when(n % 30 == 22, url(of("W"))).otherwise(F.col("wikipedia_url"))})
+    return e, now, leads, former
+
+
+TITLES_SQL = r"""
+, t AS (SELECT n, id, n % 10 AS c, 'T' || n AS title, CASE WHEN n % 20 = 11 THEN 'Same' || (n // 100) WHEN n % 10 IN (1, 2, 3, 4, 5) THEN 'New' || n WHEN n % 10 = 8 THEN 'T' || (n - 7) WHEN n % 10 = 9 THEN 'T' || (n - 9) ELSE 'T' || n END AS wanted FROM ev),
+h AS (SELECT *, CASE c WHEN 6 THEN 'lead_missing' WHEN 4 THEN 'section_redirect' WHEN 5 THEN 'qid_mismatch' WHEN 3 THEN 'title_not_redirected_here' END AS hold,
+  CASE WHEN n % 30 = 12 THEN 'unknown' WHEN n % 30 = 22 THEN 'already' WHEN n % 30 = 2 THEN 'stale' WHEN c IN (0, 7) THEN 'applied' END AS early FROM t),
+o AS (SELECT 'T' || n AS title, id FROM t WHERE n % 10 NOT IN (2)),
+one AS (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY id) AS nth FROM h WHERE c = 1),
+gone AS (SELECT id, title, nth = 1 AS done FROM one),
+two AS (SELECT h.*, CASE WHEN early IS NOT NULL THEN early WHEN c = 1 THEN CASE WHEN (SELECT done FROM gone WHERE gone.id = h.id) THEN 'applied' ELSE 'duplicate' END
+  WHEN c IN (8, 9) THEN CASE WHEN wanted NOT IN (SELECT title FROM o) THEN 'applied' WHEN EXISTS (SELECT 1 FROM gone WHERE gone.title = wanted AND done AND gone.id < h.id) THEN 'applied' ELSE 'duplicate' END
+  ELSE 'applied' END AS outcome FROM h WHERE hold IS NULL)"""
+
+
+@query("l12_title_outcomes", TITLES_SQL + r"""
+SELECT h.id, h.hold, CASE WHEN h.hold IS NULL OR h.c = 3 THEN CASE WHEN h.c IN (0, 7) THEN 'url_only' WHEN h.c = 1 THEN 'renamed_redirect' ELSE 'title_stale' END END AS kind, two.outcome FROM h LEFT JOIN two USING (id)""", "ev")
+def title_outcomes(spark, d):
+    from ..operators import titles as N
+
+    seen, now, leads, former = _title_sources(spark, d)
+    changes = N.second_look(N.detected(seen, leads), former)
+    judged = N.outcomes(now, changes).select("id", "outcome")
+    return changes.select("id", "hold", "kind").join(judged, "id", "left")
+
+
+@query("l12_titles_applied", TITLES_SQL + r"""
+SELECT h.id, CASE WHEN outcome = 'applied' THEN wanted WHEN n % 30 = 2 THEN title || ' edited' WHEN n % 30 = 22 THEN 'New' || n ELSE title END AS title,
+  'https://en.wikipedia.org/wiki/' || CASE WHEN outcome = 'applied' OR n % 30 = 22 THEN 'W' ELSE 'U' END || n AS url, CASE WHEN n % 3 <> 0 THEN '' WHEN outcome = 'applied' THEN 'kept' ELSE 'title_differs_from_article|kept' END AS notes
+FROM h LEFT JOIN (SELECT id, outcome FROM two) w USING (id) WHERE n % 30 <> 12""", "ev")
+def titles_applied(spark, d):
+    from ..operators import titles as N
+
+    seen, now, leads, former = _title_sources(spark, d)
+    out = N.applied(now, N.outcomes(now, N.second_look(N.detected(seen, leads), former)))
+    return out.select("id", "title", F.col("wikipedia_url").alias("url"), F.array_join(R.codes(F.col("review_notes")), "|").alias("notes"))
