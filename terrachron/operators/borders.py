@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import spatial as S
 from ..functions import temporal as T
+from ..functions.overlap import overlap_parts
 from ..session import settle
 from . import joins as J
 
@@ -143,6 +144,36 @@ def same_year_overlaps(features: DataFrame, step: float = 0.5) -> DataFrame:
     )
 
 
+OVERLAP_KM2 = 0.5
+#: Statuses of shapes that are drawn under others on purpose (fixed values).
+OVERLAYS = ("occupied-territory-included", "shared-sovereignty-included")
+
+
+def overlap_findings(features: DataFrame, least: float = OVERLAP_KM2, overlays: tuple[str, ...] = OVERLAYS, size: float = CELL) -> DataFrame:
+    """(a, b, first_year, last_year, km2, parts, slivers, intentional): pairs of features that hold in the same years and share area.
+
+    The area is that of an edge scan; ``slivers`` counts the shared parts under ``least``, and a pair that shares less
+    than that in all is one sliver, told by a null ``intentional``. An overlay over a shape with a status is meant. Each
+    pair is measured once, whatever its years and the cells in which the boxes meet."""
+    of = ("name", "status", "start_year", "end_year")
+    f = with_cells(features, size)
+    small = f.select(*of, "_box", "_cell")
+    other = small.select(*(F.col(c).alias(f"{c}2") for c in (*of, "_box")), "_cell")
+    years = (F.col("start_year") <= F.col("end_year2")) & (F.col("start_year2") <= F.col("end_year"))
+    touch = (F.col("_box.w") < F.col("_box2.e")) & (F.col("_box2.w") < F.col("_box.e")) & (F.col("_box.s") < F.col("_box2.n")) & (F.col("_box2.s") < F.col("_box.n"))
+    first = F.struct("name", "start_year") < F.struct(F.col("name2").alias("name"), F.col("start_year2").alias("start_year"))
+    pairs = small.join(other, "_cell").where(first & years & touch).select(*of, *(f"{c}2" for c in of)).distinct()
+    shapes = features.select("name", "start_year", "polygons")
+    both = pairs.join(shapes, ["name", "start_year"]).join(shapes.select(F.col("name").alias("name2"), F.col("start_year").alias("start_year2"), F.col("polygons").alias("polygons2")), ["name2", "start_year2"])
+    found = both.withColumn("found", overlap_parts(F.col("polygons"), F.col("polygons2"))).where(F.size("found") > 0)
+    km2 = F.aggregate("found", F.lit(0.0), lambda x, y: x + y)
+    over = F.coalesce(F.col("status").isin(*overlays), F.lit(False)) & F.col("status2").isNotNull() | F.coalesce(F.col("status2").isin(*overlays), F.lit(False)) & F.col("status").isNotNull()
+    return found.withColumn("km2", km2).where("km2 > 0").select(
+        F.col("name").alias("a"), F.col("name2").alias("b"), F.greatest("start_year", "start_year2").alias("first_year"), F.least("end_year", "end_year2").alias("last_year"), "km2",
+        F.size("found").alias("parts"), F.size(F.filter("found", lambda x: x < least)).alias("slivers"), F.when(F.col("km2") >= least, over).alias("intentional"),
+    )
+
+
 def continuity(features: DataFrame, base: Column) -> DataFrame:
     """(base, name, start_year, problem): overlaps and gaps between the periods of one name."""
     f = features.withColumn("base", base)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import spatial as S
 from ..functions import temporal as T
 from ..functions import text as X
+from ..session import settle
 
 #: Group of each class of the test view; the first groups that override all others (fixed values).
 GROUP_OF_CLASS = {"battle": "war", "war": "war", "treaty": "treaty", "election": "political", "bombing": "terrorism"}
@@ -132,22 +133,39 @@ def signal_score(parts: dict[str, tuple[Column, int]]) -> tuple[Column, Column]:
     return F.aggregate(points, F.lit(0), lambda a, b: a + b), names
 
 
-def minimum_years(features: DataFrame) -> DataFrame:
-    """(year): years that hit every period with as few as the greedy rule needs: by end, the end of each period not yet hit.
+def next_ends(periods: DataFrame) -> DataFrame:
+    """(end, next): for each end the smallest end among the periods that start after it; no row where none does.
 
-    Distinct periods are few whatever the number of features; they are one group."""
-    import pandas as pd
+    Starts and ends are laid out by range; each part works out its own minima, behind those of the parts after it, a row for each part."""
+    marks = periods.select(F.col("start_year").alias("at"), F.col("end_year").alias("value"), F.lit(None).cast("long").alias("asked"))
+    asked = periods.select("end_year").distinct().select(F.col("end_year").alias("at"), F.lit(None).cast("long").alias("value"), F.col("end_year").alias("asked"))
+    parts = settle(marks.unionByName(asked).repartitionByRange("at").withColumn("_part", F.spark_partition_id()))
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.groupBy("_part").agg(F.min("value").alias("_least")).select("_part", F.min("_least").over(later).alias("_base"))
+    after = Window.partitionBy("_part").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
+    own = parts.withColumn("_own", F.min("value").over(after)).where("asked IS NOT NULL")
+    return own.join(F.broadcast(bases), "_part").select(F.col("asked").alias("end"), F.least("_own", "_base").alias("next")).where("next IS NOT NULL")
 
-    periods = features.select("start_year", "end_year").distinct()
 
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[int] = []
-        for start, end in sorted(zip(frame["start_year"], frame["end_year"], strict=True), key=lambda p: (p[1], p[0])):
-            if not chosen or start > chosen[-1]:
-                chosen.append(int(end))
-        return pd.DataFrame({"year": chosen}, dtype="int64")
+def minimum_years(features: DataFrame, close_open: bool = False, rounds: int = 40) -> DataFrame:
+    """(year): years that hit every period with as few as the greedy rule needs: by end, the end of each period not yet hit.
 
-    return periods.groupBy(F.lit(1).alias("_one")).applyInPandas(pick, "year long")
+    An end leads to the next one that the rule takes; the years are those reached from the first end, found by doubling
+    the steps, so rounds grow with the logarithm of the years. With ``close_open`` no period goes on after the last one starts."""
+    spans = features.select(F.col("start_year").cast("long").alias("start_year"), F.col("end_year").cast("long").alias("end_year")).distinct()
+    last = spans.agg(F.max("start_year").alias("last"))  # one row
+    periods = settle(spans.crossJoin(F.broadcast(last)).select("start_year", (F.least("end_year", "last") if close_open else F.col("end_year")).alias("end_year")).distinct())
+    steps = settle(next_ends(periods))
+    reached, n = settle(periods.agg(F.min("end_year").alias("year")).where("year IS NOT NULL")), 1
+    for _ in range(rounds):
+        further = reached.join(steps, F.col("year") == F.col("end")).select(F.col("next").alias("year"))
+        reached = settle(reached.unionByName(further).distinct())
+        size = reached.count()
+        if size == n:
+            return reached
+        n = size
+        steps = settle(steps.join(steps.select(F.col("end").alias("next"), F.col("next").alias("after")), "next").select("end", F.col("after").alias("next")))
+    raise RuntimeError(f"years did not settle in {rounds} rounds")
 
 
 def edit_history(revisions: DataFrame) -> DataFrame:
