@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import spatial as S
 from ..functions import temporal as T
 from ..functions import text as X
+from ..functions.stemming import stem_word
 from ..session import settle
 
 MIN_QUERY = 2
@@ -169,28 +170,9 @@ def phrase_matches(names: DataFrame, q: str, column: str = "name", limit: int |
     return found.limit(limit) if limit else found
 
 
-_VOWEL = re.compile(r"[aeiouy]")
-
-
-def stem_word(word: str) -> str:
-    """A light English stemmer for index and query alike: plurals, -ed, -ing, -ly and a final e."""
-    w = word
-    if len(w) > 3 and w.endswith("ies"):
-        w = w[:-3] + "y"
-    elif len(w) > 3 and w.endswith("es") and w[-3] in "sxzh":
-        w = w[:-2]
-    elif len(w) > 3 and w.endswith("s") and w[-2] not in "su":
-        w = w[:-1]
-    for end in ("ing", "ed", "ly"):
-        if len(w) > len(end) + 2 and w.endswith(end) and _VOWEL.search(w[: -len(end)]):
-            w = w[: -len(end)]
-            if len(w) > 2 and w[-1] == w[-2] and w[-1] not in "lsz":
-                w = w[:-1]
-            break
-    return w[:-1] if len(w) > 4 and w.endswith("e") else w
-
-
 def stem(word: str) -> Column:
+    """Stems of distinct words, by the rules that a query's words go through."""
+
     @F.pandas_udf("string")
     def stems(words: pd.Series) -> pd.Series:
         return words.map(stem_word)
