@@ -22,7 +22,7 @@ _EXPECTED = (
     ("error", "stale_date_flag", "date_order_invalid: other values", "n % 7 = 1 AND rev"),
     ("error", "stale_date_flag", "date_start_year_not_in_lead: in lead", "n % 7 = 2 AND n % 4 = 0"),
     ("error", "stale_date_flag", "date_source_adjusted: other values", "n % 7 = 3 AND substr(s, 9, 2) <> '01'"),
-    ("error", "stale_date_flag", "date_end_coarse: in order", "n % 7 = 4 AND NOT rev"),
+    ("error", "stale_date_flag", "date_end_precision_coarse: in order", "n % 7 = 4 AND NOT rev"),
     ("warning", "stale_review_reason", "category_year_mismatch: other values", "n % 6 = 1 AND coalesce(y2, y1) <> y1"),
     ("warning", "stale_review_reason", "category_year_mismatch: listed", "n % 6 = 1 AND coalesce(y2, y1) = y1"),
     ("warning", "stale_review_reason", "unverified_date: other values", "n % 6 = 2 AND n % 4 = 2"),
@@ -61,7 +61,7 @@ def _noted(spark, d):
         .when(n % 7 == 1, words("date_order_invalid: date_end (1990-01-01) precedes date_start (", s, ")"))
         .when(n % 7 == 2, words("date_start_year_not_in_lead: start year ", y1, " (", s, ")"))
         .when(n % 7 == 3, words("date_source_adjusted: used P585 start time ", F.substring(s, 1, 8), "00"))
-        .when(n % 7 == 4, words("date_end_coarse: end time ", end, " is before the start (", s, ")"))
+        .when(n % 7 == 4, words("date_end_precision_coarse: end time ", end, " is before the start (", s, ")"))
         .when(n % 7 == 5, "")
     )
     reason = (
