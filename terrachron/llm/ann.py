@@ -30,7 +30,9 @@ FACTOR = 1.1
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 1024
 LEAF_ROWS = 256
-SPARE = 8
+SLACK = 1e-9
+CHUNK = 1 << 16
+SALTS = 16
 
 
 class VantagePointTree:
@@ -64,13 +66,17 @@ class VantagePointTree:
         self.nodes[number] = (start, end, int(vantage), inner, outer, ranges)
         return number
 
-    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, inner products) of the ``k`` nearest of each query, row -1 where there are fewer."""
+    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, inner product) of the ``k`` nearest of each query and of all rows that tie with the last of them.
+
+        Products of the walk are rounded otherwise than the exact ones, so rows within SLACK of the last are weighed again."""
         queries = np.ascontiguousarray(queries, np.float64)
         n = len(queries)
         best = np.full((n, k), -np.inf)
-        found = np.full((n, k), -1, np.int64)
-        base = np.einsum("ij,ij->i", queries, queries) + self.square
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        norms = np.einsum("ij,ij->i", queries, queries)
+        base = norms + self.square
+        slack = SLACK * (1 + np.sqrt(norms * self.square))
         home = np.full(n, -1)
 
         def away(who: np.ndarray, vantage: int) -> np.ndarray:
@@ -79,11 +85,11 @@ class VantagePointTree:
         def visit(who: np.ndarray, number: int) -> None:
             start, end = self.nodes[number][:2]
             rows = self.order[start:end]
-            scores = np.concatenate([best[who], queries[who] @ self.vectors[rows].T], axis=1)
-            names = np.concatenate([found[who], np.broadcast_to(rows, (len(who), len(rows)))], axis=1)
-            top = np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > k else np.broadcast_to(np.arange(k), (len(who), k))
-            best[who] = np.take_along_axis(scores, top, axis=1)
-            found[who] = np.take_along_axis(names, top, axis=1)
+            scores = queries[who] @ self.vectors[rows].T
+            both = np.concatenate([best[who], scores], axis=1)
+            best[who] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            q, r = np.nonzero(scores >= (best[who].min(axis=1) - slack[who])[:, None])
+            kept.append((who[q], rows[r], scores[q, r]))
 
         stack = [(0, np.arange(n))]
         while stack:  # every query first visits the leaf it falls in, for a close bound
@@ -101,7 +107,7 @@ class VantagePointTree:
         while stack:
             number, who, bound = stack.pop()
             start, end, vantage, inner, outer, ranges = self.nodes[number]
-            reach = np.sqrt(np.maximum(base[who] - 2 * best[who].min(axis=1), 0.0)) * (1 + 1e-12)
+            reach = np.sqrt(np.maximum(base[who] - 2 * (best[who].min(axis=1) - slack[who]), 0.0)) * (1 + 1e-12)
             open_ = bound * factor <= reach
             if vantage < 0:
                 open_ &= home[who] != number
@@ -116,7 +122,12 @@ class VantagePointTree:
             least_out = np.maximum(bound, np.maximum(d - ranges[3], ranges[2] - d))
             children = [(outer, who, least_out), (inner, who, least_in)]
             stack += children if least_in.sum() <= least_out.sum() else children[::-1]
-        return found, best
+        q, r, walked = (np.concatenate(x) for x in zip(*kept, strict=True))
+        last = best.min(axis=1) - slack
+        near = walked >= last[q]
+        q, r = q[near], r[near]
+        exact = np.concatenate([(self.vectors[r[at : at + CHUNK]] * queries[q[at : at + CHUNK]]).sum(axis=1) for at in range(0, len(q), CHUNK)]) if len(q) else np.zeros(0)
+        return q, r, exact
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -145,14 +156,15 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, factor: float) -> Iterato
             tree, ids = pickle.loads(row["tree"])
             names = [q["vec_id"] for q in row["queries"]]
             queries = np.array([q["vector"] for q in row["queries"]], np.float64)
-            found, _ = tree.search(queries, min(len(ids), k + 1 + SPARE), factor)
+            q, rows, scores = tree.search(queries, min(len(ids), k + 1), factor)
+            order = np.argsort(q, kind="stable")
+            q, rows, scores = q[order], rows[order], scores[order]
+            ends = np.searchsorted(q, np.arange(len(names) + 1))
             out = []
-            for name, query, rows in zip(names, queries, found, strict=True):
-                rows = rows[rows >= 0]
-                scores = (tree.vectors[rows] * query).sum(axis=1)
-                each = [ids[r] for r in rows]
+            for i, name in enumerate(names):
+                each = [ids[r] for r in rows[ends[i] : ends[i + 1]]]
                 flat = np.concatenate(each) if each else np.zeros(0, np.int64)
-                score = np.repeat(scores, [len(e) for e in each])
+                score = np.repeat(scores[ends[i] : ends[i + 1]], [len(e) for e in each])
                 score, flat = score[flat != name], flat[flat != name]
                 top = np.lexsort((flat, -score))[:k]
                 out.append((name, [{"vec_id": int(flat[t]), "score": float(score[t])} for t in top]))
@@ -168,8 +180,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, factor:
     first counts. Only vectors of the same length are compared. Other columns are ignored; no
     rows give no rows."""
     base = _usable(vectors, id_col, vector_col)
-    nth = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    few = base.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    for by in (["vector", "salt"], ["vector"]):  # copies of one vector are thinned out over several keys first
+        salted = salted.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    few = salted
     groups = materialise(few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("vector", "ids", F.element_at("ids", 1).alias("first_id"), F.size("vector").alias("dim")))
     asked = materialise(_usable(queries, id_col, vector_col).select("vec_id", "vector", F.size("vector").alias("dim")))
     shards = max(1, -(-groups.count() // shard_rows))

@@ -280,9 +280,9 @@ def test_vantage_point_search(spark):
     x = (centres[r.integers(0, 8, 900)] + r.normal(scale=0.3, size=(900, 16))) * r.uniform(0.5, 2, (900, 1))
     x[300:340] = x[300]  # copies
     tree = ann.VantagePointTree(x, 32)
-    found, best = tree.search(x[:50], 10, 1.0)
+    q, _, scores = tree.search(x[:50], 10, 1.0)
     want = np.sort(x[:50] @ x.T, axis=1)[:, ::-1][:, :10]
-    assert np.allclose(np.sort(best, axis=1)[:, ::-1], want)
+    assert all(np.allclose(np.sort(scores[q == i])[::-1][:10], want[i]) for i in range(50))
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] * 16, 0), (2003, [1.0, None] + [1.0] * 14, 0), (2004, [], 0), (None, x[1].tolist(), 0), (5, x[5].tolist(), 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     queries = df.where("vec_id % 20 = 0")
@@ -304,6 +304,23 @@ def test_vantage_point_search(spark):
     assert ann.nearest(df.where("vec_id < 5"), df.where("vec_id = 0")).count() == 4
 
 
+def test_vantage_point_ties_go_to_the_smaller_id(spark):
+    """Vectors of zeros and ones, where most products tie: every rank is that of brute force."""
+    r = np.random.default_rng(3)
+    x = r.integers(0, 2, (1500, 12)).astype(float)
+    x[:, 0] = 1
+    ids = r.permutation(1500)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for y in ann.nearest(df, df.where("vec_id % 20 = 0"), factor=1.0, shard_rows=400, block_queries=16, leaf_rows=32).orderBy("query_id", "rank").collect():
+        got[y.query_id].append((y.vec_id, y.score))
+    of = {int(i): v for i, v in zip(ids, x, strict=True)}
+    for q, found in got.items():
+        scores = {i: float(v @ of[q]) for i, v in of.items() if i != q}
+        assert found == [(i, scores[i]) for i in sorted(scores, key=lambda i: (-scores[i], i))[:20]]
+    assert len(got) == 75
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_piecewise_encoding(name):
     r = random.Random(1)
