@@ -201,14 +201,38 @@ def test_line_dedup_recall_by_length(words, share, least):
     """The share of pairs of lines, a part of their words replaced at random, that meet in a block."""
     r = random.Random(words)
     hits = 0
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for _ in range(300):
-        line = r.choices(WORDS + ["a", "of", "the"] * 60, k=words)
-        near = edited(r, line, round(share * words))
-        sides = [[w.encode() for w in x] for x in (line, near)]
-        sims, counts, blocks, _ = line_dedup.line_blocks([words, words], sides[0] + sides[1], 0.8, none)
-        hits += bool({*blocks[: counts[0]]} & {*blocks[counts[0] :]}) and int(sims[0] ^ sims[1]).bit_count() <= line_dedup.MAX_BITS
-    assert hits >= least * 300
+    usual = line_dedup.line_blocks([3], [b"a", b"of", b"the"], 0.5, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))[2]
+    known = np.unique(np.r_[usual, np.random.default_rng(1).integers(0, 1 << 62, 50).astype(np.uint64)])
+    for frequent in ((known[:0], np.zeros(0, np.int64)), (known, np.full(len(known), 9))):
+        for k in range(300):
+            line = r.choices(WORDS + ["a", "of", "the"] * 60, k=words)
+            near = edited(r, line, round(share * words))
+            if k % 3 == 1 and near != line:  # a changed word goes
+                del near[next(i for i, w in enumerate(near) if w.startswith("new"))]
+            elif k % 3 == 2:  # it comes in between
+                i = next((i for i, w in enumerate(near) if w.startswith("new")), 0)
+                near[i] = line[i]
+                near = near[:i] + ["new"] + near[i:-1]
+            if line_dedup.edit_similarity(line, near) < 0.8 - 1e-12:
+                hits += 1 if share == 0.2 else 0
+                continue
+            sides = [[w.encode() for w in x] for x in (line, near)]
+            sims, counts, blocks, _ = line_dedup.line_blocks([len(line), len(near)], sides[0] + sides[1], 0.8, frequent)
+            hits += bool({*blocks[: counts[0]]} & {*blocks[counts[0] :]}) and int(sims[0] ^ sims[1]).bit_count() <= line_dedup.MAX_BITS
+    assert hits >= least * 600
+
+
+def test_line_dedup_exact_way(spark):
+    """Without bounds on blocks and bits, all similar pairs of lines of any length are linked."""
+    r = random.Random(21)
+    rows = []
+    for n in (9, 14, 20, 33, 50, 90) * 4:
+        line = r.choices(WORDS + ["a", "of", "the"] * 60, k=n)
+        rows += [" ".join(line)] + [" ".join(edited(r, line, int(0.2 * n + 1e-9))) for _ in range(3)]
+    lines = [t.encode().split() for t in rows]
+    component = groups(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if line_dedup.edit_similarity(lines[i], lines[j]) >= 0.8 - 1e-12])
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(frame(spark, rows), exact=True).collect()}
+    assert [i for i in range(len(rows)) if got[i]] == [i for i in range(len(rows)) if component[i] == i]
 
 
 def test_line_dedup_long_text(spark):
