@@ -19,7 +19,10 @@ REGION = (-20.0, -15.0, 70.0, 41.0)
 QUALITIES = ("precise", "approximate", "none")
 RESERVED = ("index", "new", "search")
 #: Classes that describe a span of time (fixed values).
-DURATIVE = ("war", "civil war", "insurgency", "blockade", "protest movement", "social movement", "political movement")
+DURATIVE = (
+    "war", "civil war", "world war", "proxy war", "cold war", "war of independence", "war of national liberation", "series of wars", "attrition warfare", "low-intensity conflict", "insurgency",
+    "intifada", "military occupation", "ethnic conflict", "international conflict", "border conflict", "blockade", "protest movement", "social movement", "political movement", "civil resistance",
+)
 FINDING = "array<struct<level:string,code:string,msg:string>>"
 
 
@@ -160,6 +163,13 @@ def duplicate_keys(events: DataFrame, key: str, code: str) -> DataFrame:
     return rows.where("_n > 1 AND id <> _first").select("id", F.lit("error").alias("level"), F.lit(code).alias("code"), F.concat(F.lit(f"{code}: also "), "_first").alias("msg"))
 
 
+def duplicate_ids(events: DataFrame) -> DataFrame:
+    """(id, level, code, msg): an error for every further row of an id; rows are counted before they meet."""
+    many = events.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1")
+    again = many.select("id", F.explode(F.sequence(F.lit(2).cast("long"), F.col("_n"))).alias("_nth"), "_n")
+    return again.select("id", F.lit("error").alias("level"), F.lit("duplicate_id").alias("code"), F.concat(F.lit("duplicate_id: row "), "_nth", F.lit(" of "), "_n").alias("msg"))
+
+
 def findings(events: DataFrame, known_countries: list[str], retrieved: Column, end_precision: Column) -> DataFrame:
     """(id, level, code, msg): all row rules in a fixed order, then repeated ids and items."""
     known = F.array(*map(F.lit, known_countries))
@@ -168,7 +178,7 @@ def findings(events: DataFrame, known_countries: list[str], retrieved: Column, e
         *precision_rules(end_precision), *inclusion_rule(), *advisory_rules(), *lead_rules(), *other_item_rules(), *open_end_rule(),
     ]
     rows = events.select("id", F.inline(flatten_findings(rules)))
-    return rows.unionByName(duplicate_keys(events, "wikidata_qid", "duplicate_qid"))
+    return rows.unionByName(duplicate_ids(events)).unionByName(duplicate_keys(events, "wikidata_qid", "duplicate_qid"))
 
 
 def gate(found: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -178,6 +188,13 @@ def gate(found: DataFrame, baseline: DataFrame) -> DataFrame:
     return counts.crossJoin(fresh.agg(F.count("*").alias("fresh_warnings")))  # one row each
 
 
+def enforce(found: DataFrame, baseline: DataFrame) -> None:
+    """Raise unless the gate is open: no errors, and no warning that the baseline does not have."""
+    row = gate(found, baseline).first()
+    if row["errors"] or row["fresh_warnings"]:
+        raise ValueError(f"{row['errors']} errors and {row['fresh_warnings']} warnings that are not in the baseline")
+
+
 def shared_articles(events: DataFrame, text: str = "extract") -> DataFrame:
     """(sha, n, n_items, explained): texts that several records share; explained where all their articles belong to one item."""
     rows = events.where(F.col(text).isNotNull()).select(X.text_sha1(text).alias("sha"), "resolved_qid")

@@ -214,3 +214,24 @@ def titles_applied(spark, d):
     seen, now, leads, former = _title_sources(spark, d)
     out = N.applied(now, N.outcomes(now, N.second_look(N.detected(seen, leads), former)))
     return out.select("id", "title", F.col("wikipedia_url").alias("url"), F.array_join(R.codes(F.col("review_notes")), "|").alias("notes"))
+
+
+@query("k01_duplicate_ids", """
+, r AS (SELECT id FROM ev UNION ALL SELECT id FROM ev WHERE n % 50 = 1 UNION ALL SELECT id FROM ev WHERE n % 100 = 1), c AS (SELECT id, count(*) AS k FROM r GROUP BY id), u AS (SELECT id, k, unnest(generate_series(2, k)) AS i FROM c WHERE k > 1)
+SELECT id, 'error' AS level, 'duplicate_id' AS code, 'duplicate_id: row ' || i || ' of ' || k AS msg FROM u""", "ev")
+def duplicate_ids(spark, d):
+    from ..operators import quality as K
+
+    e = events(spark, d).select("n", "id")
+    return K.duplicate_ids(e.unionByName(e.where("n % 50 = 1")).unionByName(e.where("n % 100 = 1")))
+
+
+@query("k46_gate", """
+, f AS (SELECT id, CASE WHEN n % 40 = 0 THEN 'error' ELSE 'warning' END AS level, 'c' || n % 3 AS code FROM ev WHERE n % 4 = 0)
+SELECT (SELECT count(*) FROM f WHERE level = 'error') AS errors, (SELECT count(*) FROM f WHERE level = 'warning' AND NOT (CAST(replace(id, 'o-', '') AS BIGINT) % 8 = 0 AND code = 'c1')) AS fresh_warnings""", "ev")
+def gate(spark, d):
+    from ..operators import quality as K
+
+    n = F.col("n")
+    found = events(spark, d).where(n % 4 == 0).select("n", "id", F.when(n % 40 == 0, "error").otherwise("warning").alias("level"), F.concat(F.lit("c"), (n % 3).cast("string")).alias("code"))
+    return K.gate(found, found.where(n % 8 == 0).select("id", F.lit("c1").alias("code")))
