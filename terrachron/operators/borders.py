@@ -120,6 +120,33 @@ def ring_findings(features: DataFrame, accepted: DataFrame, size: float = CELL)
     return rows.groupBy(*of, "finding").agg(F.count("*").alias("n"))
 
 
+def geometry_findings(features: DataFrame, accepted: DataFrame, size: float = CELL) -> DataFrame:
+    """(name, start_year, end_year, finding, n): the structure of rings, then their crossings as ``ring_findings`` tells them; shapes that are not well formed are not looked at for crossings."""
+    told = features.withColumn("problems", S.ring_problems(F.col("polygons")))
+    broken = told.where(F.size("problems") > 0).select("name", "start_year", "end_year", F.explode("problems").alias("p"))
+    count = F.substring_index("p", " ", 1).cast("long")
+    rows = broken.select("name", "start_year", "end_year", F.expr("substring(p, instr(p, ' ') + 1)").alias("finding"), count.alias("n"))
+    return rows.unionByName(ring_findings(told.where(F.size("problems") == 0).drop("problems"), accepted, size))
+
+
+def border_checks(features: DataFrame, baseline: DataFrame, accepted: DataFrame, base: Column, size: float = CELL) -> DataFrame:
+    """(check, name, start_year, finding): geometry, continuity of names, overlaps that are not meant, and the baseline of geometries, in one table.
+
+    ``baseline`` (key, vertices, fine, sha) is keyed by ``name@start_year``. Slivers are counted in one row a feature."""
+    from .compare import geometry_baseline
+
+    geometry = geometry_findings(features, accepted, size).where("finding <> 'accepted crossing'").select(F.lit("geometry").alias("check"), "name", "start_year", F.concat_ws(" ", "n", "finding").alias("finding"))
+    names = continuity(features, base).select(F.lit("continuity").alias("check"), "name", "start_year", F.col("problem").alias("finding"))
+    pairs = overlap_findings(features, size=size).where("intentional IS NULL OR NOT intentional")
+    meet = pairs.select(F.lit("overlap").alias("check"), F.col("a").alias("name"), F.col("first_year").alias("start_year"), F.concat(F.when(F.col("intentional").isNull(), "sliver with ").otherwise("overlaps "), "b").alias("finding"))
+    p = F.col("polygons")
+    now = features.select(F.concat_ws("@", "name", F.col("start_year").cast("string")).alias("key"), S.vertex_count(p).alias("vertices"), S.fine_count(p).alias("fine"), S.geometry_hash(p).alias("sha"))
+    changed = geometry_baseline(now, baseline)
+    at = F.regexp_extract("key", r"@(-?\d+)$", 1).cast("int")
+    told = changed.select(F.lit("baseline").alias("check"), F.regexp_replace("key", r"@-?\d+$", "").alias("name"), at.alias("start_year"), F.col("problem").alias("finding"))
+    return geometry.unionByName(names).unionByName(meet).unionByName(told)
+
+
 def same_year_overlaps(features: DataFrame, step: float = 0.5) -> DataFrame:
     """(a, b, first_year, last_year, area, intentional): features that hold in the same years and share area.
 

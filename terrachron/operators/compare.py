@@ -134,3 +134,13 @@ def drift(events: DataFrame, entities: DataFrame, fields: dict[str, str], explai
         return long.withColumn("state", F.lit("listed"))
     known = explained.select("id", "field", F.lit("explained").alias("_known"))
     return long.join(known, ["id", "field"], "left").withColumn("state", F.coalesce("_known", F.lit("listed"))).drop("_known")
+
+
+def same_geometries(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(same, only_left, only_right): whether two sets of shapes are equal, each as often; one row."""
+    from ..functions import spatial as S
+
+    both = left.select(S.geometry_hash(F.col("polygons")).alias("h"), F.lit(1).alias("side")).unionByName(right.select(S.geometry_hash(F.col("polygons")).alias("h"), F.lit(-1).alias("side")))
+    sums = both.groupBy("h").agg(F.sum("side").alias("s"))
+    counts = sums.agg(F.coalesce(F.sum(F.greatest("s", F.lit(0))), F.lit(0)).alias("only_left"), F.coalesce(F.sum(F.greatest(-F.col("s"), F.lit(0))), F.lit(0)).alias("only_right"))
+    return counts.select(((F.col("only_left") == 0) & (F.col("only_right") == 0)).alias("same"), "only_left", "only_right")

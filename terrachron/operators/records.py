@@ -116,6 +116,24 @@ def years_of_note(notes: Column) -> Column:
     return F.transform(F.split(F.try_element_at(found, F.lit("years")), ", "), lambda y: y.try_cast("int"))
 
 
+UNVERIFIED, START_YEAR, END_YEAR = "unverified_date", "date_year_mismatch", "date_end_year_mismatch"
+
+
+def cross_check_notes(category_years: Column, start: str = "date_start", end: str = "date_end", extract: str = "extract") -> Column:
+    """Dates against the years that the text and the article's year categories name: a reversed pair, then one of the text's notes, then the categories'.
+
+    Without a year in the text a date is unverified, unless a category has it; else the start, or then the end, may be a year the text lacks."""
+    years, first, last = X.years_in(extract), T.year_of(start), T.year_of(end)
+    near = lambda found, year: F.exists(found, lambda y: F.abs(y - year) <= NEAR_YEARS)
+    reversed_ = when_note(F.col(end) < F.col(start), note(REVERSED, start=F.col(start), end=F.col(end)))
+    confirmed = first.isNotNull() & (F.size(category_years) > 0) & near(category_years, first)
+    unverified = when_note((F.size(years) == 0) & ~F.coalesce(confirmed, F.lit(False)), note(UNVERIFIED, start_year=first, categories=F.coalesce(listed(category_years), F.lit(""))))
+    lacks_start = (F.size(years) > 0) & first.isNotNull() & ~near(years, first)
+    lacks_end = (F.size(years) > 0) & last.isNotNull() & ~near(years, last)
+    text = F.when(F.coalesce(lacks_start, F.lit(False)), F.array(note(START_YEAR, start_year=first, years=listed(years)))).when(F.coalesce(lacks_end, F.lit(False)), F.array(note(END_YEAR, end_year=last, years=listed(years)))).otherwise(unverified)
+    return F.concat(reversed_, text, category_years_note(category_years, start, end))
+
+
 def far_note(points: Column, lon: str = "lon", lat: str = "lat", countries: str = "countries", limit: float = FAR_KM) -> Column:
     """A place further than ``limit`` from every one of its countries' points; ``points``: a map from country to struct<lon, lat>."""
     known = F.array_compact(F.transform(countries, lambda c: F.try_element_at(points, c)))

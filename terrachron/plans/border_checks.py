@@ -133,3 +133,61 @@ def predecessor_tags(spark, d):
     out = P.predecessor_tags(events(spark, d).select("id", "lon", "lat", states.alias("states")), former, at, claims, f, names, 2005)
     told = F.transform("via", lambda v: F.concat(v["kind"], F.lit(" "), F.when(v["kind"] == "point", "").otherwise(v["value"]), F.lit("="), F.array_join(v["countries"], "+")))
     return out.select("id", F.array_join("predecessors", ",").alias("predecessors"), F.array_join(F.concat(F.filter(told, lambda t: F.startswith(t, F.lit("point"))), F.filter(told, lambda t: F.startswith(t, F.lit("place")))), ";").alias("via"), F.array_join("countries", ",").alias("countries"))
+
+
+def _areas(spark, d):
+    """An area for each customer, over two spans of years: whole squares, bow ties, rings left open and rings of three positions; every fifth name has a gap, every seventh an overlap in years."""
+    k = F.col("c_custkey").cast("long")
+    at = table(spark, d, "customer").select(k.alias("k"), ((k % 64) * 2.0 - 64).alias("x"), ((F.floor(k / 64) % 32) * 2.0 - 32).alias("y"))
+
+    def ring(*points):
+        return F.array(*(F.struct((F.col("x") + px).alias("lon"), (F.col("y") + py).alias("lat")) for px, py in points))
+
+    square, tie = ring((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)), ring((0, 0), (1, 1), (1, 0), (0, 1), (0, 0))
+    open_, short = ring((0, 0), (1, 0), (1, 1), (0, 1)), ring((0, 0), (1, 0), (0, 0))
+    shape = F.when(F.col("k") % 11 == 3, tie).when(F.col("k") % 11 == 5, open_).when(F.col("k") % 11 == 7, short).otherwise(square)
+    first = F.struct(F.lit(1990).alias("start_year"), F.lit(1994).alias("end_year"))
+    second = F.struct(F.when(F.col("k") % 5 == 0, 1996).when(F.col("k") % 7 == 0, 1994).otherwise(1995).alias("start_year"), F.lit(1999).alias("end_year"))
+    return at.select("k", F.concat(F.lit("Area "), F.col("k").cast("string")).alias("name"), F.lit(None).cast("string").alias("status"), F.array(F.array(shape)).alias("polygons"), F.inline(F.array(first, second)))
+
+
+AREAS_SQL = """
+WITH c AS (SELECT c_custkey AS k, 'Area ' || c_custkey AS name, CASE WHEN c_custkey % 5 = 0 THEN 1996 WHEN c_custkey % 7 = 0 THEN 1994 ELSE 1995 END AS second FROM customer),
+a AS (SELECT k, name, 1990 AS start_year FROM c UNION ALL SELECT k, name, second FROM c),
+g AS (SELECT name, start_year, CASE k % 11 WHEN 3 THEN '1 ring crosses itself' WHEN 5 THEN '1 rings not closed' WHEN 7 THEN '1 rings with fewer than 4 positions' END AS finding FROM a)"""
+
+
+@query("k43_geometry_findings", AREAS_SQL + " SELECT name, start_year, finding FROM g WHERE finding IS NOT NULL")
+def geometry_findings(spark, d):
+    areas = _areas(spark, d)
+    none = areas.where("false").select("name", "start_year", "end_year", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
+    return B.geometry_findings(areas, none).select("name", "start_year", F.concat_ws(" ", "n", "finding").alias("finding"))
+
+
+@query("k44_border_checks", AREAS_SQL + """
+SELECT 'geometry' AS "check", name, start_year, finding FROM g WHERE finding IS NOT NULL
+UNION ALL SELECT 'continuity', name, second, CASE WHEN second = 1996 THEN 'gap' ELSE 'overlap' END FROM c WHERE second <> 1995
+UNION ALL SELECT 'overlap', name, 1994, 'overlaps ' || name FROM c WHERE second = 1994 AND k % 11 <> 7
+UNION ALL SELECT 'baseline', name, start_year, CASE WHEN k % 13 = 0 THEN 'new' WHEN k % 13 = 1 THEN 'fewer vertices' ELSE 'changed' END FROM a WHERE k % 13 < 3
+UNION ALL SELECT 'baseline', 'Lost ' || k, 1980, 'gone' FROM c WHERE k % 13 = 5""")
+def border_checks(spark, d):
+    from ..functions import spatial as S
+
+    areas, p, k = _areas(spark, d), F.col("polygons"), F.col("k")
+    none = areas.where("false").select("name", "start_year", "end_year", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
+    then = areas.where(k % 13 != 0).select(
+        F.concat_ws("@", "name", F.col("start_year").cast("string")).alias("key"), (S.vertex_count(p) + F.when(k % 13 == 1, 1).otherwise(0)).alias("vertices"), S.fine_count(p).alias("fine"), F.when(k % 13 == 2, "x").otherwise(S.geometry_hash(p)).alias("sha")
+    )
+    gone = table(spark, d, "customer").where("c_custkey % 13 = 5").select(F.concat(F.lit("Lost "), F.col("c_custkey").cast("string"), F.lit("@1980")).alias("key"), F.lit(5).alias("vertices"), F.lit(0).alias("fine"), F.lit("y").alias("sha"))
+    return B.border_checks(areas.drop("k"), then.unionByName(gone), none, F.col("name"))
+
+
+@query("j09_changed_geometry", "WITH c AS (SELECT count(*) AS n FROM customer WHERE c_custkey % 10 = 0) SELECT n = 0 AS same, 2 * n AS only_left, n AS only_right FROM c")
+def changed_geometry(spark, d):
+    """Areas against the same ones, of which every tenth is missing in both spans and has another shape once."""
+    from ..operators import compare as C
+
+    areas = _areas(spark, d)
+    moved = F.transform("polygons", lambda rings: F.transform(rings, lambda r: F.transform(r, lambda q: F.struct((q["lon"] + 0.25).alias("lon"), q["lat"].alias("lat")))))
+    other = areas.where("k % 10 <> 0").unionByName(areas.where("k % 10 = 0 AND start_year = 1990").withColumn("polygons", moved))
+    return C.same_geometries(areas, other)

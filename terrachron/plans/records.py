@@ -235,3 +235,40 @@ def gate(spark, d):
     n = F.col("n")
     found = events(spark, d).where(n % 4 == 0).select("n", "id", F.when(n % 40 == 0, "error").otherwise("warning").alias("level"), F.concat(F.lit("c"), (n % 3).cast("string")).alias("code"))
     return K.gate(found, found.where(n % 8 == 0).select("id", F.lit("c1").alias("code")))
+
+
+@query("k38_cross_checks", """
+, s AS (SELECT id, date_start AS s, date_end AS e, CAST(substr(date_start, 1, 4) AS INT) AS a, CAST(substr(date_end, 1, 4) AS INT) AS b, n FROM ev),
+t AS (SELECT *, CASE n % 4 WHEN 0 THEN [] WHEN 1 THEN [a] WHEN 2 THEN [a - 5] ELSE [a, a - 9] END AS ys, CASE n % 3 WHEN 0 THEN [] WHEN 1 THEN [a + 1] ELSE [a - 20] END AS cs FROM s)
+SELECT id, array_to_string(list_filter([CASE WHEN e < s THEN 'date_order_invalid' END,
+  CASE WHEN len(ys) = 0 THEN CASE WHEN n % 3 <> 1 THEN 'unverified_date' END WHEN n % 4 = 2 THEN 'date_year_mismatch' WHEN b IS NOT NULL AND len(list_filter(ys, lambda y: abs(y - b) <= 1)) = 0 THEN 'date_end_year_mismatch' END,
+  CASE WHEN len(list_filter(cs, lambda y: y < least(a, coalesce(b, a)) - 1 OR y > coalesce(b, a) + 1)) > 0 AND len(list_filter(cs, lambda y: y BETWEEN a - 1 AND coalesce(b, a) + 1)) = 0 THEN 'category_year_mismatch' END], lambda z: z IS NOT NULL), '|') AS codes FROM t""", "ev")
+def cross_checks(spark, d):
+    n, y = F.col("n"), T.year_of("date_start")
+    years = F.when(n % 4 == 0, F.array().cast("array<int>")).when(n % 4 == 1, F.array(y)).when(n % 4 == 2, F.array(y - 5)).otherwise(F.array(y, y - 9))
+    categories = F.when(n % 3 == 0, F.array().cast("array<int>")).when(n % 3 == 1, F.array(y + 1)).otherwise(F.array(y - 20))
+    e = events(spark, d).withColumns({"extract": F.concat(F.lit("In "), R.listed(years)), "categories": categories})
+    return e.select("id", F.array_join(R.codes(R.cross_check_notes(F.col("categories"))), "|").alias("codes"))
+
+
+@query("k30_lead_dates", """
+, s AS (SELECT id, n, date_start AS s, date_end AS e, CAST(substr(date_start, 1, 4) AS INT) AS y FROM ev), t AS (SELECT *, coalesce(e < s, false) AS rev FROM s)
+SELECT id, CASE WHEN n % 5 <> 1 AND NOT rev THEN 'lead_dates_without_flag' ELSE 'lead_dates_differ' END AS code FROM t WHERE (n % 5 <> 1 AND NOT rev) OR (n % 5 = 2 AND rev)""", "ev")
+def lead_dates(spark, d):
+    """Stored lead dates against those that the text gives: none, another list, or the right one."""
+    from ..operators import notes as N
+
+    n, y = F.col("n"), T.year_of("date_start")
+    text = F.concat(F.lit("From 3 May "), y.cast("string"), F.lit(" to June 20, "), (y + 1).cast("string"), F.lit("; and 5–7 May 1950, of which the last day counts."))
+    right = F.array(F.lit("1950-05-07"), F.concat(y.cast("string"), F.lit("-05-03")), F.concat((y + 1).cast("string"), F.lit("-06-20")))
+    stored = F.when(n % 5 == 1, F.lit(None).cast("array<string>")).when(n % 5 == 2, F.array(F.lit("1950-05-07"))).otherwise(right)
+    flags = F.when(F.col("date_end") < F.col("date_start"), F.array(F.lit("date_order_invalid: x"))).otherwise(F.array().cast("array<string>"))
+    e = events(spark, d).withColumns({"extract": text, "wikipedia_lead_dates": stored, "date_flags": flags})
+    return e.select("id", F.inline(F.array_compact(F.array(*N.lead_dates_rule(X.lead_dates("extract")))))).select("id", "code")
+
+
+@query("a08_bucket_counts", """
+, h AS (SELECT list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, length(id) + 1), lambda i: CAST(ascii(id[i]) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM ev)
+SELECT CAST(h % 64 AS INT) AS bucket, count(*) AS n FROM h GROUP BY 1""", "ev")
+def bucket_counts(spark, d):
+    return events(spark, d).select(X.hash_bucket("id", 64).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
