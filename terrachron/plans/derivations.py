@@ -212,8 +212,7 @@ def predecessors(spark, d):
 t AS (SELECT id, unnest(countries) AS c, unnest(generate_series(1, len(countries))) AS nth FROM ev WHERE location_quality = 'none'),
 f AS (SELECT t.id, pl.*, row_number() OVER (PARTITION BY t.id ORDER BY nth) AS k FROM t JOIN pl ON c = country)
 SELECT id, country, lon, lat, 'country-fallback:' || country AS coordinate_source,
-       'Approximate location: no coordinates were found for this event, so its marker is placed at the one reference point used for every such event of ' || country || coalesce(' (' || place || ')', '')
-       || ', whatever its date. The marker shows the country, not where the event happened' || CASE WHEN place IS NOT NULL THEN ', and says nothing about the status of that city' ELSE '' END || '.' AS note
+       'At the point of ' || country || coalesce(', ' || place, '') AS note
 FROM f WHERE k = 1""", "ev")
 def fallback_points(spark, d):
     from ..operators import relate as R
@@ -222,7 +221,8 @@ def fallback_points(spark, d):
     places = table(spark, d, "nation").where(k % 6 != 5).select(
         F.col("n_name").alias("country"), ((k % 5).cast("double") * 10).alias("lon"), (F.floor(k / 5).cast("double") * 8 - 4).alias("lat"), F.when(k % 4 != 0, F.concat(F.lit("City "), k.cast("string"))).alias("place")
     )
-    return R.fallback_points(events(spark, d), places).select("id", "country", "lon", "lat", "coordinate_source", "note")
+    told = F.concat(F.lit("At the point of "), "country", F.coalesce(F.concat(F.lit(", "), "place"), F.lit("")))
+    return R.fallback_points(events(spark, d), places, told).select("id", "country", "lon", "lat", "coordinate_source", "note")
 
 
 @query("m03_added_entries", """

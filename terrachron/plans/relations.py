@@ -10,6 +10,7 @@ from ..operators import borders as B
 from ..operators import duplicates as D
 from ..operators import joins as J
 from ..operators import relate as R
+from ..session import settle
 from .registry import query
 
 _EDGES = ", ed AS (SELECT DISTINCT id, parent_qid FROM ev WHERE parent_qid IS NOT NULL AND parent_qid <> wikidata_qid)"
@@ -195,12 +196,14 @@ def class_closure(spark, d):
     edges = spark.createDataFrame(list(CLASS_EDGES), "child string, parent string")
     known = front = edges
     while not front.isEmpty():
-        front = front.join(edges.select(F.col("child").alias("parent"), F.col("parent").alias("up")), "parent").select("child", F.col("up").alias("parent")).distinct().join(known, ["child", "parent"], "left_anti")
-        known = known.unionByName(front)
+        up = edges.select(F.col("child").alias("parent"), F.col("parent").alias("up"))
+        front = settle(front.join(up, "parent").select("child", F.col("up").alias("parent")).distinct().join(known, ["child", "parent"], "left_anti"))
+        known = settle(known.unionByName(front))
     from ..adapters import _class_label
 
     parts = table(spark, d, "part").select(_class_label(F.col("p_type")).alias("child"))
-    return parts.join(F.broadcast(known), "child").groupBy(F.col("parent").alias("class")).agg(F.count("*").alias("n"))  # the closed class table is small
+    counted = parts.groupBy("child").agg(F.count("*").alias("k"))  # a row for each class: joined as it is, whatever the size of the closed table
+    return counted.join(known, "child").groupBy(F.col("parent").alias("class")).agg(F.sum("k").alias("n"))
 
 
 @query("f36_location_union", """

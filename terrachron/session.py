@@ -29,12 +29,20 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED[sc.applicationId] = path
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one on this machine, but only if all tasks run on it too."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
+    return sc.getCheckpointDir()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: a step used several times is worked out once, and survives lost executors."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-"))
-    path = f"{sc.getCheckpointDir()}/settled/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/settled/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -166,9 +166,10 @@ def markdown_table(spark: SparkSession, path: str, required: tuple[str, ...]) ->
 def known_gaps(spark: SparkSession, path: str, event: str = "Event (QID)", reason: str = "Why the rule misses it") -> DataFrame:
     """(name, qid, reason) of a table whose first column reads "Name (Q123)"."""
     rows = markdown_table(spark, path, (event, reason))
-    pattern = r"^(.+?)\s*\(\s*(?:\[(Q\d+)\]\([^)\s]+\)|(Q\d+))\s*\)$"
-    cell = F.col("cells")[event]
-    out = rows.select(F.regexp_extract(cell, pattern, 1).alias("name"), F.concat(F.regexp_extract(cell, pattern, 2), F.regexp_extract(cell, pattern, 3)).alias("qid"), F.col("cells")[reason].alias("reason"))
+    cell = F.regexp_replace(F.col("cells")[event], r"\[([^\]]*)\]\([^)]*\)", "$1")  # links as their texts
+    item = F.regexp_extract(cell, r"\(\s*(Q\d+)\s*\)$", 1)
+    name = F.when(item != "", F.rtrim(F.regexp_replace(cell, r"\([^(]*\)$", ""))).otherwise("")
+    out = rows.select(name.alias("name"), item.alias("qid"), F.col("cells")[reason].alias("reason"))
     if bad := out.where("name = '' OR reason = ''").count():
         raise ValueError(f"{bad} rows without a name, an item or a reason")
     return out
