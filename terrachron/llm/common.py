@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 
 _HELD: list = []
 
@@ -20,16 +20,6 @@ def hold_only(cache) -> None:
         _HELD[:] = [cache]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-"))
-        found = sc.getCheckpointDir()
-    return found
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -23,9 +23,8 @@ from .pieces import encoder
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 15
-PART_BYTES = 32 << 20
 VOCABULARY = "word_bpe_49k.json"
-BLOCKS = "part int, block int, bits int, n_tokens long, doc_ids array<long>, doc_starts array<long>, payload binary"
+BLOCKS = "part int, block int, bits int, n_tokens long, first_id long, last_id long, doc_ids array<long>, doc_starts array<long>, payload binary"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -62,12 +61,12 @@ def unpack_ids(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
 
 def _block(part: int, number: int, docs: list, ids: list, bits: int) -> tuple:
     lens = np.fromiter(map(len, ids), np.int64, len(ids))
-    return part, number, bits, int(lens.sum()), docs, (np.cumsum(lens) - lens).tolist(), pack_ids(np.concatenate(ids), bits)
+    return part, number, bits, int(lens.sum()), docs[0], docs[-1], docs, (np.cumsum(lens) - lens).tolist(), pack_ids(np.concatenate(ids), bits)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, bits: int, end_id: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
     encode = encoder(path).encode
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("bits", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("payload", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("bits", pa.int32()), ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("payload", pa.binary())])
     docs: list = []
     ids: list = []
     waiting = number = part = 0
@@ -92,8 +91,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, bits: int, end_id: int
 def write_token_files(docs: DataFrame, out: str, path: str | None = None, parts: int | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> str:
     """Write the ids of all documents, ``end_id`` after each, to folder ``out`` in ascending doc_id order (null ids first).
 
-    A null text is empty and is written as its end id alone. Rows with equal ids keep no fixed
-    order among each other. No rows give no blocks. Other columns are ignored."""
+    A null text is empty and is written as its end id alone. Rows with equal ids are written in the order of
+    their texts' hashes, then their texts. No rows give no blocks. Other columns are ignored."""
     path = path or public_tokenizers.path(VOCABULARY)
     bits = bits_for(encoder(path).tokenizer.get_vocab_size(with_added_tokens=True))
     spark = docs.sparkSession
@@ -101,7 +100,7 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, parts:
         files = docs.inputFiles()
         parts = max(1, spark.sparkContext.defaultParallelism, 2 * len(files), int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id())
-    blocks = ranged.sortWithinPartitions("doc_id").mapInArrow(lambda b: _encode(b, path, bits, end_id, block_tokens), BLOCKS)
+    blocks = ranged.sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(lambda b: _encode(b, path, bits, end_id, block_tokens), BLOCKS)
     blocks.write.mode("overwrite").parquet(out)
     return out
 
@@ -141,8 +140,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document_ids(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
-    """The ids of one document, read by its offset from its block alone."""
-    rows = spark.read.schema(BLOCKS).parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).collect()
+    """The ids of one document, read by its offset from its block alone: files and row groups are pruned by the first and last id of their blocks."""
+    rows = spark.read.schema(BLOCKS).parquet(path).where((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id)).collect()
     out = []
     for row in rows:
         bounds = [*row["doc_starts"], row["n_tokens"]]

@@ -393,7 +393,10 @@ def test_token_files(spark, tmp_path):
         start += len(ids)
     assert token_files.read_document_ids(spark, out, 4)[0].tolist() == [*tokenizer.encode(rows[4], add_special_tokens=False).ids, 1]
     assert token_files.read_digests(spark, token_files.write_token_files(empty(spark), str(tmp_path / "none"), parts=2)).count() == 0
-    assert token_files.read_digests(spark, token_files.write_token_files(odd_rows(spark), str(tmp_path / "odd"), parts=2)).count() == 5
+    odd = [token_files.write_token_files(odd_rows(spark).repartition(n), str(tmp_path / f"odd{n}"), parts=2) for n in (1, 5)]
+    first, second = (sorted(map(tuple, token_files.read_digests(spark, o).collect()), key=str) for o in odd)
+    assert len(first) == 5 and first == second
+    assert len(token_files.read_document_ids(spark, odd[0], 2)) == 3 and len(token_files.read_document_ids(spark, odd[0], 1)) == 1 and not token_files.read_document_ids(spark, odd[0], 9)
 
 
 def test_keep_one_with_an_id_of_two_texts(spark):
