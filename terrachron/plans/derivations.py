@@ -18,7 +18,15 @@ def order_flags(spark, d):
     return events(spark, d).select("id", F.array_join(L.order_flags(), "|").alias("flags"))
 
 
-@query("l05_finalized")
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+
+
+@query("l05_finalized", rf"""
+, r AS (SELECT id, wikidata_classes AS c, location_quality, coalesce(date_end < date_start, false) AS rev, coalesce(extract, '') AS t FROM evt),
+g AS (SELECT *, list_distinct(list_transform(list_filter(c, lambda x: x <> 'protest movement'), lambda x: CASE WHEN x IN ('battle', 'war') THEN 'war' WHEN x = 'election' THEN 'political' WHEN x = 'bombing' THEN 'terrorism' ELSE x END)) AS gs,
+  list_concat(regexp_extract_all(t, '\b\d{{1,2}} (?:{_MONTHS}) \d{{4}}\b'), regexp_extract_all(t, '\b(?:{_MONTHS}) \d{{1,2}}, \d{{4}}\b')) AS days, len(list_distinct(regexp_extract_all(t, '\b(?:1[0-9]{{3}}|20[0-9]{{2}})\b'))) AS years FROM r)
+SELECT id, CASE WHEN list_contains(gs, 'terrorism') THEN 'terrorism' WHEN len(gs) = 0 THEN 'unclassified' WHEN len(gs) = 1 THEN gs[1] ELSE 'mixed' END AS category, CASE WHEN rev THEN 1 ELSE 0 END AS n_flags,
+  CASE WHEN len(days) > 0 THEN len(list_distinct(days[1:4])) ELSE least(6, years) END AS n_lead_dates, rev AS needs_review, location_quality = 'none' AS needs_manual_coordinates FROM g""", "evt")
 def finalized(spark, d):
     return L.finalize(events(spark, d, with_text=True)).select("id", "category", F.size("date_flags").alias("n_flags"), F.size("lead_dates").alias("n_lead_dates"), "needs_review", "needs_manual_coordinates")
 

@@ -74,7 +74,10 @@ def row_notes(spark, d):
     return events(spark, d).select("id", F.array_join(A.row_notes(1997, 1998, NOW), "; ").alias("notes"))
 
 
-@query("a07_point_features")
+@query("a07_point_features", """
+, y AS (SELECT *, CAST(substr(date_start, 1, 4) AS INT) AS s, CASE WHEN date_end IS NULL AND date_end_open IS NOT NULL THEN greatest(CAST(substr(date_start, 1, 4) AS INT), 2001) ELSE CAST(substr(coalesce(date_end, date_start), 1, 4) AS INT) END AS e FROM ev)
+SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || lon || ',' || lat || ']},"properties":{"id":"' || id || '","title":"' || title || '","y":"' || substr(date_start, 1, 4) || '","m":'
+  || CASE WHEN CASE WHEN e < s THEN s BETWEEN 1997 AND 1998 OR e BETWEEN 1997 AND 1998 ELSE s <= 1998 AND e >= 1997 END THEN 1 ELSE 0 END || ',"s":0,"a":' || CASE WHEN location_quality = 'approximate' THEN 1 ELSE 0 END || '}}' AS value FROM y""", "ev")
 def point_features(spark, d):
     return A.point_features(events(spark, d), T.overlaps(1997, 1998, NOW), F.lit(False))
 

@@ -265,10 +265,3 @@ def lead_dates(spark, d):
     flags = F.when(F.col("date_end") < F.col("date_start"), F.array(F.lit("date_order_invalid: x"))).otherwise(F.array().cast("array<string>"))
     e = events(spark, d).withColumns({"extract": text, "wikipedia_lead_dates": stored, "date_flags": flags})
     return e.select("id", F.inline(F.array_compact(F.array(*N.lead_dates_rule(X.lead_dates("extract")))))).select("id", "code")
-
-
-@query("a08_bucket_counts", """
-, h AS (SELECT list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, length(id) + 1), lambda i: CAST(ascii(id[i]) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM ev)
-SELECT CAST(h % 64 AS INT) AS bucket, count(*) AS n FROM h GROUP BY 1""", "ev")
-def bucket_counts(spark, d):
-    return events(spark, d).select(X.hash_bucket("id", 64).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
