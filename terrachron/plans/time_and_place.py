@@ -49,7 +49,16 @@ def decades_and_texts(spark, d):
     return events(spark, d).select("id", decade.alias("decade"), T.decade_label(decade).alias("label"), T.years_text(T.ongoing_signal()).alias("years_text"), T.coarse_period_label("date_start", F.lit("century")).alias("century"))
 
 
-@query("b11_event_dates")
+@query("b11_event_dates", """
+, t AS (SELECT id, date_precision AS p, CAST(date_start AS DATE) AS s, CAST(date_end AS DATE) AS e, date_end_open IS NOT NULL AS open FROM ev),
+f AS (SELECT *, CASE p WHEN 'day' THEN strftime(s, '%-d %B %Y') WHEN 'month' THEN strftime(s, '%B %Y') ELSE strftime(s, '%Y') END AS a, CASE p WHEN 'day' THEN strftime(e, '%-d %B %Y') WHEN 'month' THEN strftime(e, '%B %Y') ELSE strftime(e, '%Y') END AS b FROM t)
+SELECT id, CASE WHEN e IS NULL THEN a || CASE WHEN NOT open THEN '' WHEN p = 'year' THEN '–ongoing (per source)' ELSE ' – ongoing (per source)' END
+  WHEN e = s THEN a
+  WHEN e < s OR p = 'year' THEN CASE WHEN year(e) = year(s) THEN '' || year(s) ELSE year(s) || '–' || year(e) END
+  WHEN a = b THEN a
+  WHEN year(e) <> year(s) THEN a || ' – ' || b
+  WHEN p = 'day' AND month(e) = month(s) THEN day(s) || '–' || b
+  ELSE left(a, length(a) - 5) || ' – ' || b END AS date_text FROM f""", "ev")
 def event_dates(spark, d):
     rows = events(spark, d).withColumn("date_end_precision", F.col("date_precision"))
     return rows.select("id", T.format_event_date(ongoing=T.ongoing_signal().isNotNull()).alias("date_text"))
