@@ -1,28 +1,23 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (lower case, no ASCII punctuation, single blanks). Equal normal lines are one
-class. A line has a SimHash of all its words, 128 bits (a repeated word counts as another), and up to BLOCKS
-blocks of 64 bits, the SimHashes of some of its runs of up to RUN_WORDS neighbouring words. Classes that share a
-block and whose SimHashes differ in at most MAX_BITS bits are candidates; they are verified by edit
-similarity over words, and one occurrence of each connected group stays: the first by document, then line.
-
-At a word similarity of 0.8 a fifth of the bits of a SimHash differ, 26 on average, too many for blocks of its
-bits to meet: so lines meet by the blocks of their runs, and the whole SimHash tells whether a meeting is worth a
-look. It differs in more than MAX_BITS bits in three of a thousand pairs of similarity 0.8; lines that share two
-fifths of their words differ in 47 on average. ``exact`` takes both bounds off: every run is a block, and no pair
-is dropped by its SimHash.
-
-Blocks are chosen in one order for all lines (by hash, runs that are frequent in a part of the
-documents last). An edit changes at most RUN_WORDS runs, so lines of m words at most that are d edits apart
-share m - RUN_WORDS + 1 - RUN_WORDS * d runs or more. A line of up to eleven words has as many blocks as make such lines
-meet in one (pigeonhole; with runs of fewer words where lines are too short). Longer lines have
-BLOCKS blocks: two that share a part p of all their runs meet with probability 1 - (1 - p) ** BLOCKS
-at least, which is 0.96 for edits at random places at a similarity of 0.8, and more above it.
-
-Candidate pairs do not grow with the square of a group: the classes of a bucket are first compared
-with four leading classes of it, and after these links only classes of different groups are paired.
-Pairs whose lengths, or words before and after the shared run, already need too many edits are not
-verified. Only candidates' texts are fetched; documents without a dropped line are never shuffled.
+class. Classes whose edit similarity over words reaches 0.8 are linked, and one occurrence of each
+connected group stays: the first by document, then line. No link is lost.
+
+Candidates: an edit changes at most RUN_WORDS runs of RUN_WORDS neighbouring words, so of the runs of a line of m
+words at most RUN_WORDS * d - (n - m) are missing in a line of n >= m words that is d edits apart. All runs have one order
+(frequent in a part of the documents last, then long words first, then by hash), and a line has its first runs in it as
+blocks, one more than can be missing: similar lines share a block, since the block of either that comes first and is
+in the other line is a block there too. In lines too short for a common run of RUN_WORDS words, runs have fewer.
+
+The numbers of a block's classes meet in a bucket of blocks; there each is written with two leaders, the least and the
+greatest class of the block. A line's signature has MAX_BITS bits, each the parity of the number of its words that
+hash there (the n-th occurrence of a word being a word of its own): a changed word changes two bits at most, a word more or
+less one, so pairs that differ in more bits than that for the edits allowed are not similar. What is left is verified by word edits.
+
+Candidate pairs do not grow with the square of a group: classes are first compared with their leaders, and
+after these links only classes of different groups that share a block are paired, once, at the least block they share. Only candidates' texts are
+fetched; documents without a dropped line are never shuffled.
 """
 
 from __future__ import annotations
@@ -38,28 +33,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bits import majority
 from .common import materialise, table, whole_row
 from .graph import connected_components, with_least
 from .words import normal_lines, text_hashes
 
 SIMILARITY = 0.8
 RUN_WORDS = 3
-BLOCKS = 8
-#: The most bits in which the SimHashes of similar lines differ, whatever their lengths.
-MAX_BITS = 39
+#: The bits of a line's signature.
+MAX_BITS = 256
+WORD_BITS = 40
+SIGNS = ["s0", "s1", "s2", "s3"]
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 SAMPLE_PARTS = 16
 FREQUENT_RUNS = 1 << 16
 COUNT_RUNS = 2_000_000
 KNOWN_BITS = 20
 BUCKET_BITS = 20
+BLOCK_BUCKETS = 1 << 10
+BATCH_BLOCKS = 1_000_000
 FILTER_BITS = 22
 TEXT_ROWS = 1000
 BATCH_WORDS = 200_000
-WORD_BITS = 40
+LONGEST = 31
 SEEN_LINES = 200_000
-LINES = "doc_id long, text_hash long, line int, a long, b long, words int, sim long, sim2 long, keys array<long>, places array<int>"
+LINES = "doc_id long, text_hash long, line int, a long, b long, n int, s0 long, s1 long, s2 long, s3 long"
+BLOCKS = "bucket int, keys array<int>, names array<long>"
+SHARED = "key long, a long, n int, x1 long, x2 long"
 
 
 def most_edits(words: int, similarity: float) -> int:
@@ -87,20 +86,16 @@ def chosen_runs(words: int, similarity: float) -> tuple[int, ...]:
 
 
 def run_prints(hashes: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, fingerprint) of each run of ``size`` words within a line: the SimHash of its words, told apart by size."""
+    """(first word, fingerprint) of each run of ``size`` words within a line, told apart by size."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     first = np.flatnonzero(owner[:n] == owner[size - 1 :])
     if size == 1:
         return first, hashes[first]
-    if size == 2:
-        prints = hashes[first] & hashes[first + 1]
-    elif size == 3:
-        a, b, c = (hashes[first + i] for i in range(3))
-        prints = (a & b) | (a & c) | (b & c)
-    else:
-        prints = majority(hashes[(first[:, None] + np.arange(size)).ravel()], np.full(len(first), size))
+    prints = hashes[first]
+    for i in range(1, size):
+        prints = prints * MIX ^ hashes[first + i]
     return first, prints ^ np.uint64(0x9E3779B97F4A7C15 * size & (1 << 64) - 1)
 
 
@@ -162,8 +157,13 @@ def frequent_runs(docs: DataFrame, similarity: float) -> tuple[np.ndarray, np.nd
     return keys[order], n[order]
 
 
-def line_hashes(hashes: np.ndarray, owner: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """The SimHash of each line in two words of 64 bits, the n-th occurrence of a word being a word of its own, so that no repeated word outweighs the others; words go by WORD_BITS of their hash."""
+def line_signs(hashes: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The signature of each line in four words of 64 bits; words go by WORD_BITS of their hash."""
+    out = np.zeros((len(lens), 4), np.uint64)
+    full = np.flatnonzero(lens)
+    if not len(full):
+        return out
+    owner = np.repeat(np.arange(len(lens)), lens)
     words = hashes >> np.uint64(64 - WORD_BITS)
     if len(lens) >> (64 - WORD_BITS):
         words = words[np.lexsort((words, owner))]
@@ -175,104 +175,153 @@ def line_hashes(hashes: np.ndarray, owner: np.ndarray, lens: np.ndarray) -> np.n
     again = np.zeros(len(words), bool)
     again[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
     nth = at - np.maximum.accumulate(np.where(again, 0, at))
-    words = (words ^ (nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * MIX
-    for shift, factor in ((31, 0xD6E8FEB86659FD93), (32, 0x9E3779B97F4A7C15)):
-        words ^= words >> np.uint64(shift)
-        words *= np.uint64(factor)
-    low = words ^ words >> np.uint64(29)
-    words *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return np.stack([majority(low, lens), majority(words ^ words >> np.uint64(32), lens)], axis=1)
+    words = (words ^ nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * MIX
+    words ^= words >> np.uint64(32)
+    words *= MIX
+    bits = np.zeros((len(words), 4), np.uint64)
+    bits[at, (words >> np.uint64(56) & np.uint64(3)).astype(np.int64)] = np.uint64(1) << (words >> np.uint64(58))
+    out[full] = np.bitwise_xor.reduceat(bits, (np.cumsum(lens) - lens)[full], axis=0)
+    return out
 
 
-def line_blocks(sizes: list[int], words: list[bytes], similarity: float, frequent: tuple[np.ndarray, np.ndarray], exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(SimHash of each line, how many blocks each has, all blocks in a row, and where they begin in their line, -1 if at several places) of lines of ``sizes`` words; ``words``: these words, or the normal texts of the lines, in order."""
+def run_blocks(sizes: list[int], text: bytes, hashes: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray], exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(line, block) of all blocks of lines of ``sizes`` words; ``text``: these words, each followed by a blank, ``hashes``: theirs. ``exact``: every run is a block."""
     known, counts = frequent
     ranks = np.minimum(4 * np.log2(np.maximum(counts, 1)), 63).astype(np.uint64)
     there = np.zeros(1 << KNOWN_BITS, bool)
     there[known >> np.uint64(64 - KNOWN_BITS)] = True
     lens = np.array(sizes, np.int64)
     owner = np.repeat(np.arange(len(lens)), lens)
-    hashes = text_hashes(b" ".join([*words, b""]))
-    wanted = np.array([chosen_runs(n, similarity) for n in sizes], np.int64).reshape(-1, RUN_WORDS)
-    begin = np.cumsum(lens) - lens
-    lines, blocks, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    ends = np.r_[-1, np.flatnonzero(np.frombuffer(text, np.uint8) == 32)]
+    kinds, kind = np.unique(lens, return_inverse=True)
+    wanted = np.array([chosen_runs(n, similarity) for n in kinds.tolist()], np.int64).reshape(-1, RUN_WORDS)[kind]
+    lines, blocks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for q in range(1, RUN_WORDS + 1):
-        some = wanted[:, q - 1] > 0
-        if not some.any():
-            continue
-        mine = np.flatnonzero(some[owner])
+        mine = np.flatnonzero((wanted[:, q - 1] > 0)[owner])
         at, prints = run_prints(hashes[mine], owner[mine], q)
+        if not len(at):
+            continue
         at = mine[at]
         line = owner[at]
-        if not len(line):
-            continue
         rank = np.zeros(len(line), np.uint64)
         if len(known):
             maybe = np.flatnonzero(there[prints >> np.uint64(64 - KNOWN_BITS)])
             near = np.minimum(np.searchsorted(known, prints[maybe]), len(known) - 1)
             rank[maybe] = np.where(known[near] == prints[maybe], ranks[near], 0)
-        place = rank << np.uint64(36) | prints * MIX >> np.uint64(28)
+        short = (LONGEST - np.minimum(ends[at + q] - ends[at] - q, LONGEST)).astype(np.uint64)
+        place = rank << np.uint64(36) | short << np.uint64(31) | prints * MIX >> np.uint64(33)
         order = np.lexsort((place, line)) if len(lens) >> 22 else np.argsort(line.astype(np.uint64) << np.uint64(42) | place)
-        line, prints, at = line[order], prints[order], at[order]
-        lead = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (prints[1:] != prints[:-1])])
-        times = np.diff(np.r_[lead, len(line)])
-        line, prints, at = line[lead], prints[lead], at[lead]
-        nth = np.arange(len(line)) - np.searchsorted(line, line)
-        keep = nth < (wanted[line, q - 1] if exact else np.minimum(wanted[line, q - 1], BLOCKS))
-        lines.append(line[keep])
-        blocks.append(prints[keep])
-        places.append(np.where(times > 1, -1, at - begin[line])[keep])
-    line = np.concatenate(lines)
+        line, prints, place = line[order], prints[order], place[order]
+        if not exact:  # runs that tie with the last block are blocks
+            many = np.bincount(line, minlength=len(lens))
+            last = np.cumsum(many) - many + np.minimum(many, wanted[:, q - 1]) - 1
+            keep = place <= place[last[line]]
+            line, prints = line[keep], prints[keep]
+        new = np.r_[True, (line[1:] != line[:-1]) | (prints[1:] != prints[:-1])]
+        lines.append(line[new])
+        blocks.append(prints[new])
+    return np.concatenate(lines), np.concatenate(blocks)
+
+
+def line_blocks(sizes: list[int], words: list[bytes], similarity: float, frequent: tuple[np.ndarray, np.ndarray], exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature of each line, how many blocks each has, all blocks in a row, the line of each) of lines of ``sizes`` words; ``words``: these words, or the normal texts of the lines, in order."""
+    text = b" ".join([*words, b""])
+    hashes = text_hashes(text)
+    line, blocks = run_blocks(sizes, text, hashes, similarity, frequent, exact)
     order = np.argsort(line, kind="stable")
-    return line_hashes(hashes, owner, lens), np.bincount(line, minlength=len(lens)), np.concatenate(blocks)[order], np.concatenate(places)[order]
+    return line_signs(hashes, np.array(sizes, np.int64)), np.bincount(line, minlength=len(sizes)), blocks[order], line[order]
 
 
-def _lines(batches: Iterator[pa.RecordBatch], similarity: float, frequent: tuple[np.ndarray, np.ndarray], exact: bool) -> Iterator[pa.RecordBatch]:
-    """Every line that has words: where it is, a 128-bit hash of its normal form, the number of its words, its SimHash and blocks (none if it came shortly before)."""
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line that has words: where it is, a 128-bit hash of its normal form, the number of its words and its signature (null if it came shortly before)."""
     digest = xxhash.xxh3_128_digest
     seen: set[bytes] = set()
     for batch in batches:
         texts = batch.column(2).to_pylist()
-        at = 0
-        while at < len(texts):
+        for at in range(0, len(texts), TEXT_ROWS):
             row: list[int] = []
             number: list[int] = []
             digests: list[bytes] = []
             new: list[int] = []
-            sizes: list[int] = []
             normals: list[bytes] = []
-            held = 0
-            while at < len(texts) and held < BATCH_WORDS:
-                for k, line in enumerate(normal_lines(texts[at])):
+            for k, text in enumerate(texts[at : at + TEXT_ROWS], at):
+                for i, line in enumerate(normal_lines(text)):
                     if line:
                         name = digest(line)
                         if name not in seen:
                             seen.add(name)
                             new.append(len(row))
-                            sizes.append(line.count(b" ") + 1)
                             normals.append(line)
-                            held += sizes[-1]
-                        row.append(at)
-                        number.append(k)
+                        row.append(k)
+                        number.append(i)
                         digests.append(name)
-                at += 1
-            sims, counts, blocks, places = line_blocks(sizes, normals, similarity, frequent, exact)
-            each = np.zeros((4, len(row) + 1), np.int64)
-            each[0, new], each[1, new], each[3, new], each[2, np.array(new, np.int64) + 1] = sizes, sims[:, 0].view(np.int64), sims[:, 1].view(np.int64), counts
-            hashes = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            rows = pa.array(np.array(row, np.int64))
-            offsets = pa.array(np.cumsum(each[2]).astype(np.int32))
+            lens = np.array([line.count(b" ") + 1 for line in normals], np.int64)
+            each = np.zeros((5, len(row)), np.int64)
+            each[0, new] = lens
+            each[1:, new] = line_signs(text_hashes(b" ".join([*normals, b""])) if normals else np.zeros(0, np.uint64), lens).view(np.int64).T
+            names = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            rows, came = pa.array(np.array(row, np.int64)), each[0] == 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.array(number, np.int32)), pa.array(np.ascontiguousarray(hashes[:, 0])), pa.array(np.ascontiguousarray(hashes[:, 1])),
-                    pa.array(each[0, :-1].astype(np.int32)), pa.array(each[1, :-1]), pa.array(each[3, :-1]), pa.ListArray.from_arrays(offsets, pa.array(blocks.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int32))),
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.array(number, np.int32)), pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])),
+                    pa.array(each[0].astype(np.int32), mask=came), *(pa.array(x, mask=came) for x in each[1:]),
                 ],
-                ["doc_id", "text_hash", "line", "a", "b", "words", "sim", "sim2", "keys", "places"],
+                ["doc_id", "text_hash", "line", "a", "b", "n", *SIGNS],
             )
             if len(seen) > SEEN_LINES:
                 seen.clear()
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], similarity: float, frequent: tuple[np.ndarray, np.ndarray], exact: bool) -> Iterator[pa.RecordBatch]:
+    """For each bucket the blocks of some lines, and the classes that have them."""
+    held: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
+
+    def dealt() -> pa.RecordBatch:
+        mixed, names = np.concatenate(held), np.concatenate(owners)
+        held.clear()
+        owners.clear()
+        bucket = (mixed & np.uint64(BLOCK_BUCKETS - 1)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        counts = np.bincount(bucket, minlength=BLOCK_BUCKETS)
+        full = np.flatnonzero(counts)
+        offsets = pa.array(np.r_[0, np.cumsum(counts[full])].astype(np.int32))
+        keys = (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(keys[order])), pa.ListArray.from_arrays(offsets, pa.array(names[order]))], ["bucket", "keys", "names"])
+
+    for digests, sizes, texts in _line_words(batches):
+        text = b" ".join([*texts, b""])
+        line, blocks = run_blocks(sizes, text, text_hashes(text), similarity, frequent, exact)
+        mixed = blocks * MIX
+        held.append(mixed ^ mixed >> np.uint64(29))
+        owners.append(np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)[line, 0])
+        if sum(map(len, held)) >= BATCH_BLOCKS:
+            yield dealt()
+    if held:
+        yield dealt()
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """(key, a, n, x1, x2) of the blocks of a bucket that several classes have: each class with the number of them, the least and the greatest; of two classes one row."""
+    keys, names = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("keys", "names"))
+    order = np.argsort(keys)
+    keys, names = keys[order], names[order]
+    same = keys[1:] == keys[:-1]
+    some = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    keys, names = keys[some], names[some]
+    order = np.lexsort((names, keys))
+    keys, names = keys[order], names[order]
+    new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])][: len(keys)])
+    keys, names = keys[new], names[new]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    sizes = np.diff(np.r_[first, len(keys)])
+    n, x1, x2 = (np.repeat(x, sizes) for x in (sizes, names[first], names[first + sizes - 1]))
+    keep = np.flatnonzero((n > 2) | (n == 2) & (names != x1))
+    bucket = rows.column("bucket")[0].as_py()
+    key = np.int64(bucket) << np.int64(32) | keys.view(np.uint32).astype(np.int64)
+    return pa.table([pa.array(key[keep]), pa.array(names[keep]), pa.array(n[keep].astype(np.int32)), pa.array(x1[keep]), pa.array(x2[keep])], names=["key", "a", "n", "x1", "x2"])
+
+
 def _line_texts(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
     """(a, words) of the lines whose class passes the bitmap; of those that come again shortly, one."""
     there = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool)
@@ -371,38 +420,41 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def _may_match(one: str, other: str, similarity: float, exact: bool) -> F.Column:
-    """Whether two lines that share a block can be similar, from their lengths, SimHashes, and the words before and after the block's run."""
-    of = lambda side, name: F.col(f"{side}.{name}" if side else name)
-    words, words2, at, at2 = of(one, "words"), of(other, "words"), of(one, "at"), of(other, "at")
-    most = F.floor(F.greatest(words, words2) * (1 - similarity + 1e-12) + 1e-9)
-    placed = F.when((at < 0) | (at2 < 0), F.abs(words - words2)).otherwise(F.abs(at - at2) + F.abs((words - at) - (words2 - at2))) <= most
-    may = (of(one, "a") != of(other, "a")) & placed
-    bits = F.bit_count(of(one, "sim").bitwiseXOR(of(other, "sim"))) + F.bit_count(of(one, "sim2").bitwiseXOR(of(other, "sim2")))
-    return may if exact else may & (bits <= MAX_BITS)
-
-
-def line_links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
-    """(a, component) of the classes that are linked to another one."""
-    bucket = Window.partitionBy("key")
-    me, other = F.struct("a", "words", "sim", "sim2", "at"), F.struct("words", "a", "sim", "sim2", "at")
-    near = lambda lead: _may_match("", lead, similarity, exact)
-    keys = lines.select(F.inline(F.arrays_zip("keys", "places")), "a", "words", "sim", "sim2").withColumnsRenamed({"keys": "key", "places": "at"})
-    led = keys.select("key", "a", "words", "sim", "sim2", "at", F.count("*").over(bucket).alias("n"), F.min(me).over(bucket).alias("l1"), F.max(me).over(bucket).alias("l2")).where("n > 1 AND l1.a <> l2.a")
-    # up to three classes: the two leaders are in every pair; chance meetings end here
-    led = materialise(led.where((F.col("n") > 3) | near("l1") | near("l2")).select("key", "a", "words", "sim", "sim2", "at", "n", F.when(near("l1"), F.col("l1.a")).alias("x1"), F.when(near("l2"), F.col("l2.a")).alias("x2")))
-    shared = materialise(led.where("n > 3").select("key", "a", "words", "sim", "sim2", "at").distinct())
-    more = shared.select("a", "words", "sim", "sim2", "at", F.min(other).over(bucket).alias("l3"), F.max(other).over(bucket).alias("l4")).select("a", F.when(near("l3"), F.col("l3.a")).alias("x1"), F.when(near("l4"), F.col("l4.a")).alias("x2"))
-    ties = led.select("a", "x1", "x2").unionByName(more).select("a", F.explode(F.array_compact(F.array("x1", "x2"))).alias("lead"))
-    stars = materialise(ties.select(F.greatest("a", "lead").alias("x"), F.least("a", "lead").alias("y")).distinct())
-    ends = materialise(stars.select(F.explode(F.array("x", "y")).alias("a")).distinct())
+    """Whether two lines can be similar, from their lengths and signatures."""
+    of = lambda side, name: F.col(f"{side}.{name}")
+    most = F.floor(F.greatest(of(one, "n"), of(other, "n")) * (1 - similarity + 1e-12) + 1e-9)
+    bits = sum((F.bit_count(of(one, c).bitwiseXOR(of(other, c))) for c in SIGNS), F.abs(of(one, "n") - of(other, "n")))
+    near = F.abs(of(one, "n") - of(other, "n")) <= most
+    return near if exact else near & (bits <= 2 * most)
+
+
+def shared_blocks(docs: DataFrame, similarity: float, exact: bool) -> DataFrame:
+    """(key, a, n, x1, x2) of the blocks of several classes, see ``_shared``."""
+    frequent = frequent_runs(docs, similarity)
+    blocks = docs.select("text").mapInArrow(lambda b: _blocks(b, similarity, frequent, exact), BLOCKS)
+    return blocks.groupBy("bucket").applyInArrow(_shared, SHARED)
+
+
+def line_links(classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+    """(a, component) of the ``classes`` (a, n, signature) that are linked to another one."""
+    one, two = classes.alias("one"), classes.alias("two")
+    may = _may_match("one", "two", similarity, exact)
+    shared = materialise(shared_blocks(docs, similarity, exact))
+    ties = shared.select("a", F.explode(F.array("x1", "x2")).alias("lead")).where("a <> lead")
+    stars = ties.select(F.greatest("a", "lead").alias("x"), F.least("a", "lead").alias("y")).distinct()
+    near = materialise(stars.join(one, F.col("x") == F.col("one.a")).join(two, (F.col("y") == F.col("two.a")) & may).select("x", "y"))
+    ends = materialise(near.select(F.explode(F.array("x", "y")).alias("a")).distinct())
     texts = materialise(line_texts(ends, docs))
-    first = materialise(verified(stars, texts, similarity))
+    first = materialise(verified(near, texts, similarity))
     groups = connected_components(first).withColumnRenamed("node", "a")
-    placed = materialise(shared.join(groups, "a", "left").select("key", "a", "words", "sim", "sim2", "at", F.coalesce("component", "a").alias("c")))
-    left, right = placed.alias("one"), placed.alias("two")
-    differ = (F.col("one.key") == F.col("two.key")) & (F.col("one.c") != F.col("two.c")) & (F.col("one.a") > F.col("two.a")) & _may_match("one", "two", similarity, exact)
-    rest = left.join(right, differ).select(F.col("one.a").alias("x"), F.col("two.a").alias("y")).distinct()
-    rest = materialise(rest.join(stars, ["x", "y"], "left_anti"))
+    placed = materialise(shared.where("n > 2").select("key", "a").join(groups, "a", "left").select("key", "a", F.coalesce("component", "a").alias("c")))
+    split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
+    apart = materialise(placed.join(split, "key", "left_semi").groupBy("a", "c").agg(F.collect_list("key").alias("keys")).join(classes, "a"))
+    open_ = apart.select("*", F.explode("keys").alias("key"))
+    least = F.array_min(F.array_intersect("one.keys", "two.keys")) == F.col("one.key")
+    differ = (F.col("one.key") == F.col("two.key")) & (F.col("one.c") != F.col("two.c")) & (F.col("one.a") > F.col("two.a")) & may & least
+    rest = open_.alias("one").join(open_.alias("two"), differ).select(F.col("one.a").alias("x"), F.col("two.a").alias("y")).distinct()
+    rest = materialise(rest.join(near, ["x", "y"], "left_anti"))
     unread = materialise(rest.select(F.explode(F.array("x", "y")).alias("a")).distinct().join(ends, "a", "left_anti"))
     texts = texts.unionByName(materialise(line_texts(unread, docs)))
     second = verified(rest, texts, similarity)
@@ -412,12 +464,11 @@ def line_links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
     """(doc_id, text_hash, dropped): the numbers of the lines that go, for each text that loses any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    frequent = frequent_runs(docs, similarity)
-    lines = materialise(docs.mapInArrow(lambda b: _lines(b, similarity, frequent, exact), LINES))
+    lines = materialise(docs.mapInArrow(_lines, LINES))
     place = F.struct("doc_id", "text_hash", "line")
-    classes = materialise(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    links = materialise(line_links(lines, docs, similarity, exact))
-    linked = classes.join(links, "a", "left").where("n > 1 OR component IS NOT NULL")
+    classes = materialise(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.max(c).alias(c) for c in ("n", *SIGNS))))
+    links = materialise(line_links(classes.select("a", "n", *SIGNS), docs, similarity, exact))
+    linked = classes.join(links, "a", "left").where("times > 1 OR component IS NOT NULL")
     alone = linked.where("component IS NULL").select("a", "b", F.col("first").alias("keep"))
     grouped = materialise(linked.where("component IS NOT NULL").select("a", "b", "first", "component"))
     marked = materialise(with_least(grouped, "component", "first", "keep").select("a", "b", "keep").unionByName(alone))
@@ -432,7 +483,7 @@ def marked_lines(docs: DataFrame, similarity: float = SIMILARITY, exact: bool =
     stay where they are, as does a null or empty text. Of a connected group the occurrence
     with the smallest doc_id (null first), text hash and line number stays; rows that repeat an id
     and its text are one document and lose the same lines. Columns of any name may come with the
-    documents. No rows give no rows. ``exact``: no bound on blocks or on the bits of a SimHash."""
+    documents. No rows give no rows. ``exact`` is for checks: every run is a block and no signature is asked, with the same result."""
     found = materialise(_near(repeated_lines(docs, similarity, exact), ["doc_id", "text_hash"]))
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines")
     full = _near(docs.select(whole_row(docs), lines, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")), ["doc_id", "text_hash"])

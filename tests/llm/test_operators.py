@@ -235,6 +235,46 @@ def test_line_dedup_exact_way(spark):
     assert [i for i in range(len(rows)) if got[i]] == [i for i in range(len(rows)) if component[i] == i]
 
 
+def test_line_dedup_loses_no_pair_of_long_lines():
+    """Lines of up to 300 words with as many edits as a similarity of 0.8 allows, of one kind or mixed: each pair shares a block, and its signatures differ in no more bits than the edits explain."""
+    r = random.Random(31)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for k in range(1500):
+        line = r.choices(WORDS + ["a", "of", "the"] * 60, k=r.choice([6, 12, 20, 33, 56, 90, 150, 300]))
+        near, kind = list(line), k % 4
+        for _ in range(line_dedup.most_edits(len(line), 0.8)):
+            i = r.randrange(len(near))
+            near[i : i + (kind != 2)] = [] if kind == 1 or kind == 3 and r.random() < 0.3 else [r.choice(WORDS)]
+        n = max(len(line), len(near))
+        most, edits = line_dedup.most_edits(n, 0.8), line_dedup.word_edits([w.encode() for w in line], [w.encode() for w in near])
+        assert edits <= most
+        if edits:
+            sims, counts, blocks, _ = line_dedup.line_blocks([len(line), len(near)], [w.encode() for w in line + near], 0.8, none)
+            assert {*blocks[: counts[0]].tolist()} & {*blocks[counts[0] :].tolist()}
+            assert sum(int(x).bit_count() for x in sims[0] ^ sims[1]) + abs(len(line) - len(near)) <= 2 * edits
+
+
+def test_line_dedup_links_all_long_lines(spark):
+    """The way of the query, against brute force: pairs at 0.8, chains and a group whose leaders are far from most of it; all ways agree."""
+    r = random.Random(17)
+    rows = []
+    for _ in range(250):
+        line = r.choices(WORDS, k=r.choice([40, 60, 100]))
+        rows += [" ".join(line), " ".join(edited(r, line, len(line) // 5))]
+    line = r.choices(WORDS, k=60)
+    for _ in range(60):
+        rows.append(" ".join(line))
+        line = edited(r, line, 8)
+    r.shuffle(rows)
+    lines = [t.encode().split() for t in rows]
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if len({*lines[i]} & {*lines[j]}) > 20 and line_dedup.edit_similarity(lines[i], lines[j]) >= 0.8 - 1e-12]
+    component = groups(len(rows), close)
+    want = [i for i in range(len(rows)) if component[i] == i]
+    for exact in (False, True):
+        got = {x.doc_id: x.text for x in line_dedup.dedup_lines(frame(spark, rows), exact=exact).collect()}
+        assert [i for i in range(len(rows)) if got[i]] == want
+
+
 def test_line_dedup_long_text(spark):
     """One line of 60,000 words and its copy with every hundredth word changed."""
     r = random.Random(3)
