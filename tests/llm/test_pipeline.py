@@ -1,6 +1,7 @@
 """The pipeline's stages: columns, effects of their decisions, whole inputs."""
 
 import os
+import random
 
 import pytest
 
@@ -53,6 +54,18 @@ def test_stages_on_odd_tables(spark):
     assert packed.where("start = 0").count() == len(rows) and corpus_pipeline.STAGES[-1][1](spark, none, SF).count() == 0
 
 
+def test_line_dedup_stage_loses_no_link(spark):
+    """Of each pair of long lines at a similarity of 0.8 the second goes."""
+    r = random.Random(8)
+    rows = []
+    for k in range(300):
+        line = [f"w{r.randrange(10**6)}" for _ in range(100)]
+        near = [f"new{r.randrange(10**6)}" if i in picked else w for picked in [{*r.sample(range(100), 20)}] for i, w in enumerate(line)]
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(near))]
+    got = {x.doc_id: x.text for x in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert all(got[i] == (text if i % 2 == 0 else "") for i, text in rows)
+
+
 def test_registered():
     every = __spark_entry__.queries()
     assert "pipeline" in every and all(any(n.startswith(f"op{k}_") for n in every) for k in range(1, 11))
