@@ -17,10 +17,13 @@ from .common import materialise
 SALTS = 16
 
 
-def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """``rows`` with the least ``value`` of their ``key``; rows of one key are spread over SALTS joins."""
-    least = rows.groupBy(key).agg(F.min(value).alias(name)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")).join(least, [key, "salt"]).drop("salt")
+def with_least(rows: DataFrame, key: str | list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the least ``value`` of their ``key``; rows of one key are spread over at most SALTS joins, as many as they have salts."""
+    keys = [key] if isinstance(key, str) else key
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    least = salted.groupBy(*keys).agg(F.min(value).alias(name), F.bit_or(F.expr("shiftleft(1, salt)")).alias("salts"))
+    there = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1)
+    return salted.join(least.withColumn("salt", F.explode(there)).drop("salts"), [*keys, "salt"]).drop("salt")
 
 
 def _state(edges: DataFrame) -> tuple:

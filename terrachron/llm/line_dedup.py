@@ -10,14 +10,15 @@ words at most RUN_WORDS * d - (n - m) are missing in a line of n >= m words that
 blocks, one more than can be missing: similar lines share a block, since the block of either that comes first and is
 in the other line is a block there too. In lines too short for a common run of RUN_WORDS words, runs have fewer.
 
-The numbers of a block's classes meet in a bucket of blocks; there each is written with two leaders, the least and the
-greatest class of the block. A line's signature has MAX_BITS bits, each the parity of the number of its words that
-hash there (the n-th occurrence of a word being a word of its own): a changed word changes two bits at most, a word more or
-less one, so pairs that differ in more bits than that for the edits allowed are not similar. What is left is verified by word edits.
+The classes of a block meet in a bucket of blocks with their numbers of words. A block is split where, in order of these, the
+next class is too long to be similar to any before it; in each part the classes are written with two leaders, the least and the
+greatest class. A line's signature has MAX_BITS bits, each the parity of the number of its words that hash there: a changed
+word changes two bits at most, a word more or less one, so pairs that differ in more bits than that for the edits allowed are
+not similar. What is left is verified by word edits.
 
 Candidate pairs do not grow with the square of a group: classes are first compared with their leaders, and
-after these links only classes of different groups that share a block are paired, once, at the least block they share. Only candidates' texts are
-fetched; documents without a dropped line are never shuffled.
+after these links only classes of different groups that share a block are paired, once, at the least block they share, and of these
+links components are made over whole groups. Only candidates' texts are fetched; documents without a dropped line are never shuffled.
 """
 
 from __future__ import annotations
@@ -41,7 +42,6 @@ SIMILARITY = 0.8
 RUN_WORDS = 3
 #: The bits of a line's signature.
 MAX_BITS = 256
-WORD_BITS = 40
 SIGNS = ["s0", "s1", "s2", "s3"]
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 SAMPLE_PARTS = 16
@@ -57,7 +57,9 @@ BATCH_WORDS = 200_000
 LONGEST = 31
 SEEN_LINES = 200_000
 LINES = "doc_id long, text_hash long, line int, a long, b long, n int, s0 long, s1 long, s2 long, s3 long"
-BLOCKS = "bucket int, keys array<int>, names array<long>"
+#: Lines of more words count as this many where blocks are split by length.
+MOST_WORDS = (1 << 15) - 1
+BLOCKS = "bucket int, keys binary, names binary, sizes binary"
 SHARED = "key long, a long, n int, x1 long, x2 long"
 
 
@@ -158,29 +160,18 @@ def frequent_runs(docs: DataFrame, similarity: float) -> tuple[np.ndarray, np.nd
 
 
 def line_signs(hashes: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """The signature of each line in four words of 64 bits; words go by WORD_BITS of their hash."""
+    """The signature of each line in four words of 64 bits: each bit is the parity of the number of words that hash there."""
     out = np.zeros((len(lens), 4), np.uint64)
     full = np.flatnonzero(lens)
     if not len(full):
         return out
-    owner = np.repeat(np.arange(len(lens)), lens)
-    words = hashes >> np.uint64(64 - WORD_BITS)
-    if len(lens) >> (64 - WORD_BITS):
-        words = words[np.lexsort((words, owner))]
-    else:
-        words |= owner.astype(np.uint64) << np.uint64(WORD_BITS)
-        words.sort()
-        words &= np.uint64((1 << WORD_BITS) - 1)
-    at = np.arange(len(words))
-    again = np.zeros(len(words), bool)
-    again[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
-    nth = at - np.maximum.accumulate(np.where(again, 0, at))
-    words = (words ^ nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * MIX
+    words = hashes * MIX
     words ^= words >> np.uint64(32)
     words *= MIX
-    bits = np.zeros((len(words), 4), np.uint64)
-    bits[at, (words >> np.uint64(56) & np.uint64(3)).astype(np.int64)] = np.uint64(1) << (words >> np.uint64(58))
-    out[full] = np.bitwise_xor.reduceat(bits, (np.cumsum(lens) - lens)[full], axis=0)
+    part, bits = (words >> np.uint64(56) & np.uint64(3)).astype(np.uint8), np.uint64(1) << (words >> np.uint64(58))
+    starts = (np.cumsum(lens) - lens)[full]
+    for k in range(4):
+        out[full, k] = np.bitwise_xor.reduceat(np.where(part == k, bits, np.uint64(0)), starts)
     return out
 
 
@@ -273,21 +264,24 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], similarity: float, frequent: tuple[np.ndarray, np.ndarray], exact: bool) -> Iterator[pa.RecordBatch]:
-    """For each bucket the blocks of some lines, and the classes that have them."""
+    """For each bucket the blocks of some lines, the classes that have them and the numbers of their words."""
     held: list[np.ndarray] = []
     owners: list[np.ndarray] = []
+    words: list[np.ndarray] = []
 
     def dealt() -> pa.RecordBatch:
-        mixed, names = np.concatenate(held), np.concatenate(owners)
-        held.clear()
-        owners.clear()
+        mixed, names, lens = np.concatenate(held), np.concatenate(owners), np.concatenate(words)
+        for x in (held, owners, words):
+            x.clear()
         bucket = (mixed & np.uint64(BLOCK_BUCKETS - 1)).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
         counts = np.bincount(bucket, minlength=BLOCK_BUCKETS)
         full = np.flatnonzero(counts)
-        offsets = pa.array(np.r_[0, np.cumsum(counts[full])].astype(np.int32))
-        keys = (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(keys[order])), pa.ListArray.from_arrays(offsets, pa.array(names[order]))], ["bucket", "keys", "names"])
+        offsets = np.r_[0, np.cumsum(counts[full])]
+        packed = []
+        for x in ((mixed >> np.uint64(32)).astype(np.uint32), names, lens):
+            packed.append(pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((offsets * x.itemsize).astype(np.int32)), pa.py_buffer(x[order])]))
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *packed], ["bucket", "keys", "names", "sizes"])
 
     for digests, sizes, texts in _line_words(batches):
         text = b" ".join([*texts, b""])
@@ -295,30 +289,41 @@ def _blocks(batches: Iterator[pa.RecordBatch], similarity: float, frequent: tupl
         mixed = blocks * MIX
         held.append(mixed ^ mixed >> np.uint64(29))
         owners.append(np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)[line, 0])
+        words.append(np.minimum(sizes, MOST_WORDS).astype(np.int16)[line])
         if sum(map(len, held)) >= BATCH_BLOCKS:
             yield dealt()
     if held:
         yield dealt()
 
 
-def _shared(rows: pa.Table) -> pa.Table:
-    """(key, a, n, x1, x2) of the blocks of a bucket that several classes have: each class with the number of them, the least and the greatest; of two classes one row."""
-    keys, names = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("keys", "names"))
+def _shared(rows: pa.Table, similarity: float) -> pa.Table:
+    """(key, a, n, x1, x2) of the blocks of a bucket that several classes have: each class with the number of them, the least and the greatest; of two classes one row.
+
+    A block's classes are taken by their numbers of words, and the block is split where the next one is too long to be similar to any before it."""
+    keys, names, lens = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint32), ("names", np.int64), ("sizes", np.int16)))
     order = np.argsort(keys)
-    keys, names = keys[order], names[order]
+    keys, names, lens = keys[order], names[order], lens[order].astype(np.int64)
     same = keys[1:] == keys[:-1]
     some = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
-    keys, names = keys[some], names[some]
-    order = np.lexsort((names, keys))
-    keys, names = keys[order], names[order]
+    keys, names, lens = keys[some], names[some], lens[some]
+    order = np.lexsort((names, lens, keys))
+    keys, names, lens = keys[order], names[order], lens[order]
     new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])][: len(keys)])
-    keys, names = keys[new], names[new]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    keys, names, lens = keys[new], names[new], lens[new]
+    least = lens - np.floor((1 - similarity + 1e-12) * lens + 1e-9).astype(np.int64)
+    block = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+    part = block | np.r_[True, lens[:-1] < least[1:]][: len(keys)]
+    first = np.flatnonzero(part)
     sizes = np.diff(np.r_[first, len(keys)])
-    n, x1, x2 = (np.repeat(x, sizes) for x in (sizes, names[first], names[first + sizes - 1]))
+    at = np.cumsum(part) - 1
+    if len(first):
+        n, x1, x2 = sizes[at], np.minimum.reduceat(names, first)[at], np.maximum.reduceat(names, first)[at]
+        nth = at - np.maximum.accumulate(np.where(block, at, 0))
+    else:
+        n, x1, x2, nth = at, names, names, at
     keep = np.flatnonzero((n > 2) | (n == 2) & (names != x1))
     bucket = rows.column("bucket")[0].as_py()
-    key = np.int64(bucket) << np.int64(32) | keys.view(np.uint32).astype(np.int64)
+    key = nth << 42 | np.int64(bucket) << np.int64(32) | keys.astype(np.int64)
     return pa.table([pa.array(key[keep]), pa.array(names[keep]), pa.array(n[keep].astype(np.int32)), pa.array(x1[keep]), pa.array(x2[keep])], names=["key", "a", "n", "x1", "x2"])
 
 
@@ -384,12 +389,10 @@ def similar(left: list[bytes], right: list[bytes], similarity: float) -> bool:
 
 
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The rows whose last two columns, two lines, are similar, without these."""
     for batch in batches:
-        keep = [
-            similar(x.split(), y.split(), similarity)
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        ]
-        yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+        keep = [similar(x.split(), y.split(), similarity) for x, y in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_())).select(list(range(batch.num_columns - 2)))
 
 
 def _near(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -402,21 +405,24 @@ def _matches(left: DataFrame, right: DataFrame):
 
 
 def line_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, words): the normal texts of the classes ``wanted`` (a, distinct).
+    """(a, words): the normal texts of the classes ``wanted`` (a, doc), distinct; ``doc``: the id of a document that has the class.
 
-    A bitmap of fixed size keeps most other lines where they are; a join with ``wanted`` drops the rest."""
+    Documents outside the buckets of these ids are not read into lines, and a bitmap of fixed size keeps most other
+    lines where they are; a join with ``wanted`` drops the rest."""
     top = wanted.select(F.shiftrightunsigned("a", 64 - FILTER_BITS).alias("bit")).distinct()  # at most 2**FILTER_BITS rows
     there = np.zeros(1 << FILTER_BITS, np.uint8)
     there[top.toArrow()["bit"].to_numpy()] = 1
     bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(there).tobytes())
-    found = docs.select("text").mapInArrow(lambda b: _line_texts(b, bitmap), "a long, words binary")
+    buckets = F.broadcast(_near(wanted, ["doc"]).select("bucket").distinct())  # at most 2**BUCKET_BITS rows
+    read = _near(docs, ["doc_id"]).join(buckets, "bucket", "left_semi").select("text")
+    found = read.mapInArrow(lambda b: _line_texts(b, bitmap), "a long, words binary")
     return found.join(wanted, "a", "left_semi").dropDuplicates(["a"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The (x, y) of ``pairs`` whose lines are similar enough."""
+    """The rows of ``pairs`` (x, y, ..) whose lines are similar enough."""
     both = pairs.join(texts.select(F.col("a").alias("x"), F.col("words").alias("words_x")), "x").join(texts.select(F.col("a").alias("y"), F.col("words").alias("words_y")), "y")
-    return both.select("x", "y", "words_x", "words_y").mapInArrow(lambda b: _similar(b, similarity), "x long, y long")
+    return both.select(*pairs.columns, "words_x", "words_y").mapInArrow(lambda b: _similar(b, similarity), pairs.schema)
 
 
 def _may_match(one: str, other: str, similarity: float, exact: bool) -> F.Column:
@@ -432,47 +438,55 @@ def shared_blocks(docs: DataFrame, similarity: float, exact: bool) -> DataFrame:
     """(key, a, n, x1, x2) of the blocks of several classes, see ``_shared``."""
     frequent = frequent_runs(docs, similarity)
     blocks = docs.select("text").mapInArrow(lambda b: _blocks(b, similarity, frequent, exact), BLOCKS)
-    return blocks.groupBy("bucket").applyInArrow(_shared, SHARED)
+    return blocks.groupBy("bucket").applyInArrow(lambda rows: _shared(rows, similarity), SHARED)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The classes of pairs (x, y, dx, dy), each with a document that has it."""
+    return pairs.select(F.inline(F.array(F.struct(F.col("x").alias("a"), F.col("dx").alias("doc")), F.struct(F.col("y").alias("a"), F.col("dy").alias("doc"))))).distinct()
 
 
 def line_links(classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
-    """(a, component) of the ``classes`` (a, n, signature) that are linked to another one."""
+    """(a, component) of the ``classes`` (a, doc, n, signature) that are linked to another one."""
     one, two = classes.alias("one"), classes.alias("two")
     may = _may_match("one", "two", similarity, exact)
     shared = materialise(shared_blocks(docs, similarity, exact))
     ties = shared.select("a", F.explode(F.array("x1", "x2")).alias("lead")).where("a <> lead")
     stars = ties.select(F.greatest("a", "lead").alias("x"), F.least("a", "lead").alias("y")).distinct()
-    near = materialise(stars.join(one, F.col("x") == F.col("one.a")).join(two, (F.col("y") == F.col("two.a")) & may).select("x", "y"))
-    ends = materialise(near.select(F.explode(F.array("x", "y")).alias("a")).distinct())
+    docs_of = F.col("one.doc").alias("dx"), F.col("two.doc").alias("dy")
+    near = materialise(stars.join(one, F.col("x") == F.col("one.a")).join(two, (F.col("y") == F.col("two.a")) & may).select("x", "y", *docs_of))
+    ends = materialise(_ends(near))
     texts = materialise(line_texts(ends, docs))
-    first = materialise(verified(near, texts, similarity))
-    groups = connected_components(first).withColumnRenamed("node", "a")
-    placed = materialise(shared.where("n > 2").select("key", "a").join(groups, "a", "left").select("key", "a", F.coalesce("component", "a").alias("c")))
+    groups = materialise(connected_components(verified(near.select("x", "y"), texts, similarity)).select(F.col("node").alias("a"), F.col("component").alias("c")))
+    placed = materialise(shared.where("n > 2").select("key", "a").join(groups, "a", "left").select("key", "a", F.coalesce("c", "a").alias("c")))
     split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
     apart = materialise(placed.join(split, "key", "left_semi").groupBy("a", "c").agg(F.collect_list("key").alias("keys")).join(classes, "a"))
     open_ = apart.select("*", F.explode("keys").alias("key"))
     least = F.array_min(F.array_intersect("one.keys", "two.keys")) == F.col("one.key")
     differ = (F.col("one.key") == F.col("two.key")) & (F.col("one.c") != F.col("two.c")) & (F.col("one.a") > F.col("two.a")) & may & least
-    rest = open_.alias("one").join(open_.alias("two"), differ).select(F.col("one.a").alias("x"), F.col("two.a").alias("y")).distinct()
+    rest = open_.alias("one").join(open_.alias("two"), differ)
+    rest = rest.select(F.col("one.a").alias("x"), F.col("two.a").alias("y"), F.col("one.c").alias("cx"), F.col("two.c").alias("cy"), *docs_of).distinct()
     rest = materialise(rest.join(near, ["x", "y"], "left_anti"))
-    unread = materialise(rest.select(F.explode(F.array("x", "y")).alias("a")).distinct().join(ends, "a", "left_anti"))
+    unread = materialise(_ends(rest).join(ends, "a", "left_anti"))
     texts = texts.unionByName(materialise(line_texts(unread, docs)))
-    second = verified(rest, texts, similarity)
-    return connected_components(first.unionByName(second)).withColumnRenamed("node", "a")
+    second = materialise(verified(rest.select("x", "y", "cx", "cy"), texts, similarity))
+    merged = connected_components(second.select("cx", "cy"))
+    sides = F.array(F.struct(F.col("x").alias("a"), F.col("cx").alias("c")), F.struct(F.col("y").alias("a"), F.col("cy").alias("c")))
+    every = groups.unionByName(second.select(F.inline(sides))).distinct()
+    return every.join(merged, every["c"] == merged["node"], "left").select("a", F.coalesce("component", "c").alias("component"))
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
     """(doc_id, text_hash, dropped): the numbers of the lines that go, for each text that loses any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     lines = materialise(docs.mapInArrow(_lines, LINES))
-    place = F.struct("doc_id", "text_hash", "line")
-    classes = materialise(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.max(c).alias(c) for c in ("n", *SIGNS))))
-    links = materialise(line_links(classes.select("a", "n", *SIGNS), docs, similarity, exact))
+    classes = materialise(lines.groupBy("a", "b").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"), *(F.max(c).alias(c) for c in ("n", *SIGNS))))
+    links = line_links(classes.select("a", "doc", "n", *SIGNS), docs, similarity, exact)
     linked = classes.join(links, "a", "left").where("times > 1 OR component IS NOT NULL")
-    alone = linked.where("component IS NULL").select("a", "b", F.col("first").alias("keep"))
-    grouped = materialise(linked.where("component IS NOT NULL").select("a", "b", "first", "component"))
-    marked = materialise(with_least(grouped, "component", "first", "keep").select("a", "b", "keep").unionByName(alone))
-    drops = lines.join(marked, ["a", "b"]).where(~F.struct("doc_id", "text_hash", "line").eqNullSafe(F.col("keep")))
+    marked = linked.select("a", "b", F.coalesce("component", "a").alias("group"), F.when(F.col("component").isNull(), F.col("b")).otherwise(F.lit(0)).alias("alone"))
+    place = F.struct("doc_id", "text_hash", "line").alias("place")
+    found = materialise(lines.select("a", "b", place).join(marked, ["a", "b"]).select("group", "alone", "place"))
+    drops = with_least(found, ["group", "alone"], "place", "keep").where("place <> keep").select("place.*")
     return drops.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
@@ -485,7 +499,8 @@ def marked_lines(docs: DataFrame, similarity: float = SIMILARITY, exact: bool =
     and its text are one document and lose the same lines. Columns of any name may come with the
     documents. No rows give no rows. ``exact`` is for checks: every run is a block and no signature is asked, with the same result."""
     found = materialise(_near(repeated_lines(docs, similarity, exact), ["doc_id", "text_hash"]))
-    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines")
+    text = F.coalesce("text", F.lit(""))
+    lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines")
     full = _near(docs.select(whole_row(docs), lines, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")), ["doc_id", "text_hash"])
     buckets = F.broadcast(found.select("bucket").distinct())  # at most 2**BUCKET_BITS rows
     same = full.join(buckets, "bucket", "left_anti").select("row", "n_lines", F.lit(None).cast("array<int>").alias("dropped"))

@@ -12,7 +12,7 @@ PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Other ASCII white space as blanks; line feeds stay.
 BLANKS = bytes.maketrans(b"\t\r\x0b\x0c", b"    ")
 CACHE_WORDS = 250_000
-SLAB = 1 << 19
+SLAB = 1 << 17
 BASE = 0x9E3779B97F4A7C15
 #: A number for each byte; blanks and line feeds, which end words, count for nothing.
 BYTES = np.array([0 if b in b" \n" else xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
@@ -25,7 +25,7 @@ def normal(text: str | None) -> bytes:
 
 def normal_lines(text: str | None) -> list[bytes]:
     """The lines of ``text`` in normal form, their words divided by single blanks; a line without words is empty."""
-    lines = normal(text).translate(BLANKS).split(b"\n")
+    lines = (text or "").lower().encode("utf-8", "surrogatepass").translate(BLANKS, PUNCTUATION).split(b"\n")
     return [b" ".join(line.split()) if b"  " in line else line.strip(b" ") for line in lines]
 
 

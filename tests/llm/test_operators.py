@@ -7,6 +7,7 @@ from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -254,6 +255,39 @@ def test_line_dedup_loses_no_pair_of_long_lines():
             assert sum(int(x).bit_count() for x in sims[0] ^ sims[1]) + abs(len(line) - len(near)) <= 2 * edits
 
 
+def test_line_dedup_splits_blocks_by_length():
+    """Classes of one block that can be similar by their numbers of words stay together, others only where a chain of such joins them; lines beyond MOST_WORDS count as that long."""
+    r = random.Random(41)
+    entries = [(r.randrange(40), k // 2, min(n, line_dedup.MOST_WORDS)) for k in range(1200) for n in [int(1.01 ** r.uniform(0, 1100))]]
+    sizes = {name: n for _, name, n in entries}
+    entries = [(key, name, sizes[name]) for key, name, _ in entries]
+    packed = [np.array(x, kind).tobytes() for x, kind in zip(zip(*entries, strict=True), (np.uint32, np.int64, np.int16), strict=True)]
+    got = line_dedup._shared(pa.table([pa.array([5], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["bucket", "keys", "names", "sizes"]), 0.8).to_pylist()
+    together = defaultdict(set)
+    for x in got:
+        together[x["key"]] |= {x["a"], x["x1"], x["x2"]}
+        assert x["x1"] < x["x2"] and (x["n"] > 2 or x["a"] == x["x2"])
+    assert all(len(together[x["key"]]) == x["n"] for x in got)
+    by_key = defaultdict(set)
+    for key, name, _ in entries:
+        by_key[key].add(name)
+    want = defaultdict(set)
+    for key, names in by_key.items():
+        near = [(x, y) for x in names for y in names if x < y and abs(sizes[x] - sizes[y]) <= line_dedup.most_edits(max(sizes[x], sizes[y]), 0.8)]
+        for name, of in enumerate(groups(600, near)):
+            if name in names:
+                want[key, of].add(name)
+    assert sorted(map(sorted, together.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+    assert len(together) > 2 * len(by_key)
+
+
+def test_least_of_a_key_is_joined_to_its_salts_alone(spark):
+    """Rows of small keys are not copied for salts they do not have; several columns may be the key."""
+    rows = [(k, k % 3, v) for k in range(500) for v in ([k + 7] if k else range(9, 400))]
+    out = graph.with_least(spark.createDataFrame(rows, "k long, m int, v long"), ["k", "m"], "v", "least")
+    assert sorted(map(tuple, out.collect())) == sorted((k, m, v, k + 7 if k else 9) for k, m, v in rows)
+
+
 def test_line_dedup_links_all_long_lines(spark):
     """The way of the query, against brute force: pairs at 0.8, chains and a group whose leaders are far from most of it; all ways agree."""
     r = random.Random(17)
