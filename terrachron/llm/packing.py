@@ -24,6 +24,8 @@ from .pieces import encoder
 
 SEQUENCE_TOKENS = 2048
 BLOCK_TOKENS = 1_000_000
+#: So many texts of an Arrow batch are Python strings at a time.
+TEXT_ROWS = 250
 END_ID = 1
 LINEAR_COST, QUADRATIC_COST = 1.0, 1.0 / 1024
 VOCABULARY = "byte_bpe_50k.json"
@@ -96,8 +98,8 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, size: int, block: int)
         rows.clear()
         return out
 
-    for batch in batches:
-        for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+    for part in (batch.slice(at, TEXT_ROWS) for batch in batches for at in range(0, batch.num_rows, TEXT_ROWS)):
+        for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
             ids = np.append(ids, np.uint32(END_ID)).astype(np.uint32)
             tokens = len(ids)
             whole = tokens - tokens % size
@@ -105,7 +107,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, size: int, block: int)
                 rows.append((doc, at, size, crc(ids[at : at + size]), tokens, serial, 0, attention_cost(size)))
                 serial += 1
             if tokens > whole:
-                rest.append((doc, whole, ids[whole:], tokens))
+                rest.append((doc, whole, ids[whole:].copy(), tokens))  # a view would keep all ids of the document
                 waiting += tokens - whole
             if waiting >= block:
                 close()

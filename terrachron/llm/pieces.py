@@ -25,6 +25,9 @@ CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 FAR_LETTERS = re.compile("[^\\x00-\u012f\u0131-\u024f]")
 CACHE_PIECES = 300_000
 BATCH_CHARS = 2_000_000
+#: Texts are cut into pieces and encoded this many characters at a time: what a batch takes beside the store is over ten times its text.
+ENCODE_CHARS = 250_000
+ENCODE_PIECES = 150_000
 JOINED_PIECES = 64
 PIECE_CHARS = 32
 
@@ -125,7 +128,7 @@ class TextEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops_white = "Removed" in str(self.tokenizer.pre_tokenizer)
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
-        self.store = PieceStore(self._encode, np.uint32)
+        self.store = PieceStore(self._encode, np.uint32, ENCODE_PIECES)
         self.id_bytes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.id_bytes[number] = len(token.removesuffix("</w>"))  # byte-level tokens have a letter for each byte
@@ -179,12 +182,12 @@ class TextEncoder:
         return CHUNK.findall(text)
 
     def encode(self, texts: list) -> Iterator[np.ndarray]:
-        """An array of ids for each text; None counts as empty."""
+        """An array of ids for each text; None counts as empty. An array holds the ids of its neighbours too: copy what is to stay."""
         hold_only(self.store)
         at = 0
         while at < len(texts):
             end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= BATCH_CHARS):
+            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= ENCODE_CHARS):
                 chars += len(texts[end] or "")
                 end += 1
             pieces: list = []

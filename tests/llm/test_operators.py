@@ -505,6 +505,26 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark)).count() == 0 and packing.pack_documents(odd_rows(spark)).count() == 5
 
 
+def test_packing_holds_little_beside_its_batch(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    r = random.Random(5)
+    texts = [" ".join(f"{r.randrange(10**6):x}" for _ in range(1500)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces.encoder(path)
+    del texts
+    tracemalloc.start()
+    try:
+        ids = sum(sum(b["length"].to_pylist()) for b in packing._packed(iter([batch]), path, 2048, 1_000_000))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        pieces.encoder(path).store.release()
+    assert ids > 1_000_000 and peak < 70_000_000, (ids, peak)
+
+
 def test_pack_lengths_fills_sequences():
     r = random.Random(3)
     for _ in range(50):
