@@ -17,7 +17,7 @@ word changes two bits at most, a word more or less one, so pairs that differ in
 not similar. What is left is verified by word edits.
 
 Candidate pairs do not grow with the square of a group: classes are first compared with their leaders, and
-after these links only classes of different groups that share a block are paired, once, at the least block they share, and of these
+after these links only classes of different groups that share a block are paired, each pair once, and of these
 links components are made over whole groups. Only candidates' texts are fetched; documents without a dropped line are never shuffled.
 """
 
@@ -460,10 +460,8 @@ def line_links(classes: DataFrame, docs: DataFrame, similarity: float = SIMILARI
     groups = materialise(connected_components(verified(near.select("x", "y"), texts, similarity)).select(F.col("node").alias("a"), F.col("component").alias("c")))
     placed = materialise(shared.where("n > 2").select("key", "a").join(groups, "a", "left").select("key", "a", F.coalesce("c", "a").alias("c")))
     split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    apart = materialise(placed.join(split, "key", "left_semi").groupBy("a", "c").agg(F.collect_list("key").alias("keys")).join(classes, "a"))
-    open_ = apart.select("*", F.explode("keys").alias("key"))
-    least = F.array_min(F.array_intersect("one.keys", "two.keys")) == F.col("one.key")
-    differ = (F.col("one.key") == F.col("two.key")) & (F.col("one.c") != F.col("two.c")) & (F.col("one.a") > F.col("two.a")) & may & least
+    open_ = materialise(placed.join(split, "key", "left_semi").join(classes, "a"))
+    differ = (F.col("one.key") == F.col("two.key")) & (F.col("one.c") != F.col("two.c")) & (F.col("one.a") > F.col("two.a")) & may
     rest = open_.alias("one").join(open_.alias("two"), differ)
     rest = rest.select(F.col("one.a").alias("x"), F.col("two.a").alias("y"), F.col("one.c").alias("cx"), F.col("two.c").alias("cy"), *docs_of).distinct()
     rest = materialise(rest.join(near, ["x", "y"], "left_anti"))
