@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 from .words import normal, word_hashes
 
 MIN_MATCH = 5
@@ -27,6 +27,7 @@ FILTER_BITS = 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 BATCH_WORDS = 200_000
+TEXT_ROWS = 500
 
 
 def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -62,7 +63,7 @@ def _document_runs(batches: Iterator[pa.RecordBatch], sizes: list[int], bitmap,
     """The runs of documents that pass the bitmap: (doc_id, text_hash, size, run, doc_pos)."""
     there = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool)
     shift = np.uint64(64 - bits)
-    for batch in batches:
+    for batch in slices(batches, TEXT_ROWS):
         ids, marks, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
         at = 0
         while at < len(texts):

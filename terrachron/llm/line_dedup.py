@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, table, whole_row
+from .common import hold_only, materialise, slices, table, whole_row
 from .graph import connected_components, with_least
 from .words import normal_lines, text_hashes
 
@@ -109,7 +109,8 @@ def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes]
     sizes: list[int] = []
     texts: list[bytes] = []
     held = 0
-    for batch in batches:
+    hold_only()
+    for batch in slices(batches, TEXT_ROWS):
         for text in batch.column(0).to_pylist():
             for line in normal_lines(text):
                 if line:
@@ -227,40 +228,39 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every line that has words: where it is, a 128-bit hash of its normal form, the number of its words and its signature (null if it came shortly before)."""
     digest = xxhash.xxh3_128_digest
     seen: set[bytes] = set()
-    for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for at in range(0, len(texts), TEXT_ROWS):
-            row: list[int] = []
-            number: list[int] = []
-            digests: list[bytes] = []
-            new: list[int] = []
-            normals: list[bytes] = []
-            for k, text in enumerate(texts[at : at + TEXT_ROWS], at):
-                for i, line in enumerate(normal_lines(text)):
-                    if line:
-                        name = digest(line)
-                        if name not in seen:
-                            seen.add(name)
-                            new.append(len(row))
-                            normals.append(line)
-                        row.append(k)
-                        number.append(i)
-                        digests.append(name)
-            lens = np.array([line.count(b" ") + 1 for line in normals], np.int64)
-            each = np.zeros((5, len(row)), np.int64)
-            each[0, new] = lens
-            each[1:, new] = line_signs(text_hashes(b" ".join([*normals, b""])) if normals else np.zeros(0, np.uint64), lens).view(np.int64).T
-            names = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            rows, came = pa.array(np.array(row, np.int64)), each[0] == 0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.array(number, np.int32)), pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])),
-                    pa.array(each[0].astype(np.int32), mask=came), *(pa.array(x, mask=came) for x in each[1:]),
-                ],
-                ["doc_id", "text_hash", "line", "a", "b", "n", *SIGNS],
-            )
-            if len(seen) > SEEN_LINES:
-                seen.clear()
+    hold_only()
+    for batch in slices(batches, TEXT_ROWS):
+        row: list[int] = []
+        number: list[int] = []
+        digests: list[bytes] = []
+        new: list[int] = []
+        normals: list[bytes] = []
+        for k, text in enumerate(batch.column(2).to_pylist()):
+            for i, line in enumerate(normal_lines(text)):
+                if line:
+                    name = digest(line)
+                    if name not in seen:
+                        seen.add(name)
+                        new.append(len(row))
+                        normals.append(line)
+                    row.append(k)
+                    number.append(i)
+                    digests.append(name)
+        lens = np.array([line.count(b" ") + 1 for line in normals], np.int64)
+        each = np.zeros((5, len(row)), np.int64)
+        each[0, new] = lens
+        each[1:, new] = line_signs(text_hashes(b" ".join([*normals, b""])) if normals else np.zeros(0, np.uint64), lens).view(np.int64).T
+        names = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        rows, came = pa.array(np.array(row, np.int64)), each[0] == 0
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.array(number, np.int32)), pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])),
+                pa.array(each[0].astype(np.int32), mask=came), *(pa.array(x, mask=came) for x in each[1:]),
+            ],
+            ["doc_id", "text_hash", "line", "a", "b", "n", *SIGNS],
+        )
+        if len(seen) > SEEN_LINES:
+            seen.clear()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], similarity: float, frequent: tuple[np.ndarray, np.ndarray], exact: bool) -> Iterator[pa.RecordBatch]:
@@ -332,23 +332,22 @@ def _line_texts(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.Record
     there = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool)
     digest = xxhash.xxh3_128_digest
     seen: set[bytes] = set()
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for at in range(0, len(texts), TEXT_ROWS):
-            digests, lines = [], []
-            for text in texts[at : at + TEXT_ROWS]:
-                for line in normal_lines(text):
-                    if line:
-                        name = digest(line)
-                        if name not in seen:
-                            seen.add(name)
-                            digests.append(name)
-                            lines.append(line)
-            names = np.ascontiguousarray(np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)[:, 0])
-            hit = np.flatnonzero(there[names.view(np.uint64) >> np.uint64(64 - FILTER_BITS)])
-            yield pa.RecordBatch.from_arrays([pa.array(names[hit]), pa.array([lines[k] for k in hit.tolist()], pa.binary())], ["a", "words"])
-            if len(seen) > SEEN_LINES:
-                seen.clear()
+    hold_only()
+    for batch in slices(batches, TEXT_ROWS):
+        digests, lines = [], []
+        for text in batch.column(0).to_pylist():
+            for line in normal_lines(text):
+                if line:
+                    name = digest(line)
+                    if name not in seen:
+                        seen.add(name)
+                        digests.append(name)
+                        lines.append(line)
+        names = np.ascontiguousarray(np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)[:, 0])
+        hit = np.flatnonzero(there[names.view(np.uint64) >> np.uint64(64 - FILTER_BITS)])
+        yield pa.RecordBatch.from_arrays([pa.array(names[hit]), pa.array([lines[k] for k in hit.tolist()], pa.binary())], ["a", "words"])
+        if len(seen) > SEEN_LINES:
+            seen.clear()
 
 
 def word_edits(left: list[bytes], right: list[bytes]) -> int:

@@ -19,13 +19,11 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import slices, table
 from .pieces import encoder
 
 SEQUENCE_TOKENS = 2048
 BLOCK_TOKENS = 1_000_000
-#: So many texts of an Arrow batch are Python strings at a time.
-TEXT_ROWS = 250
 END_ID = 1
 LINEAR_COST, QUADRATIC_COST = 1.0, 1.0 / 1024
 VOCABULARY = "byte_bpe_50k.json"
@@ -98,7 +96,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, size: int, block: int)
         rows.clear()
         return out
 
-    for part in (batch.slice(at, TEXT_ROWS) for batch in batches for at in range(0, batch.num_rows, TEXT_ROWS)):
+    for part in slices(batches):
         for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
             ids = np.append(ids, np.uint32(END_ID)).astype(np.uint32)
             tokens = len(ids)

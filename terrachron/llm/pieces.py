@@ -23,11 +23,11 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Letters outside Latin blocks, and the one Latin capital whose small form is two letters.
 FAR_LETTERS = re.compile("[^\\x00-\u012f\u0131-\u024f]")
-CACHE_PIECES = 300_000
+CACHE_PIECES = 450_000
 BATCH_CHARS = 2_000_000
 #: Texts are cut into pieces and encoded this many characters at a time: what a batch takes beside the store is over ten times its text.
 ENCODE_CHARS = 250_000
-ENCODE_PIECES = 150_000
+ENCODE_PIECES = 250_000
 JOINED_PIECES = 64
 PIECE_CHARS = 32
 
@@ -56,20 +56,20 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarra
 class PieceStore:
     """Numbers pieces and keeps an array of values for each; ``values_of`` gives all values of some pieces in a row, and how many each has.
 
-    Once it holds ``limit`` pieces, or ``PIECE_CHARS`` times as many characters, it starts anew, and keeps the
-    former generation only to look up pieces that come again: at most two generations are in memory."""
+    Once it holds ``limit`` pieces, or ``PIECE_CHARS`` times as many characters, it keeps those that came most often, up to
+    half of either bound, with half their counts, and lets go of the others: most pieces of a text come once."""
 
     def __init__(self, values_of: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype, limit: int = CACHE_PIECES):
         self.values_of, self.dtype, self.limit = values_of, dtype, limit
-        self.former: tuple | None = None
-        self.clear()
+        self.release()
 
-    def clear(self) -> None:
+    def release(self) -> None:
         self.index = _Index()
         self.chars = 0
         self.flat = np.empty(1 << 16, self.dtype)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lens = np.zeros(1 << 14, np.int64)
+        self.times = np.zeros(1 << 14, np.int64)
         self.used = 0
 
     def codes(self, pieces: list) -> np.ndarray:
@@ -78,27 +78,20 @@ class PieceStore:
         if pending:
             self.index.pending = []
             self.chars += sum(map(len, pending))
-            number = np.arange(len(self.index) - len(pending), len(self.index))
-            if self.former is not None:
-                index, flat, starts, lens = self.former
-                known = np.fromiter((index.get(p, -1) for p in pending), np.int64, len(pending))
-                again = known >= 0
-                lens = lens[known[again]]
-                self._append(number[again], _gather(flat, starts[known[again]], lens), lens)
-                pending = [p for p, k in zip(pending, again.tolist(), strict=True) if not k]
-                number = number[~again]
-            self._append(number, *self.values_of(pending))
+            self._append(len(self.index) - len(pending), *self.values_of(pending))
+        np.add.at(self.times, out, 1)
         return out
 
-    def _append(self, numbers: np.ndarray, values: np.ndarray, lens: np.ndarray) -> None:
-        total = self.used + len(values)
-        while len(self.index) > len(self.lens):
-            self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+    def _append(self, first: int, values: np.ndarray, lens: np.ndarray) -> None:
+        """Values of the pieces from number ``first`` on."""
+        total, end = self.used + len(values), first + len(lens)
+        while end > len(self.lens):
+            self.lens, self.starts, self.times = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lens, self.starts, self.times))
         while total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.lens[numbers] = lens
-        self.starts[numbers] = self.used + np.cumsum(lens) - lens
+        self.lens[first:end] = lens
+        self.starts[first:end] = self.used + np.cumsum(lens) - lens
+        self.times[first:end] = 0
         self.flat[self.used : total] = values
         self.used = total
 
@@ -107,14 +100,20 @@ class PieceStore:
         lens = self.lens[codes]
         return _gather(self.flat, self.starts[codes], lens), lens
 
-    def release(self) -> None:
-        self.former = None
-        self.clear()
-
     def trim(self) -> None:
-        if len(self.index) > self.limit or self.chars > self.limit * PIECE_CHARS:
-            self.former = (dict(self.index), self.flat, self.starts, self.lens)
-            self.clear()
+        if len(self.index) <= self.limit and self.chars <= self.limit * PIECE_CHARS:
+            return
+        pieces, times = list(self.index), self.times
+        often = np.argsort(-times[: len(pieces)], kind="stable")[: self.limit // 2]
+        sizes = np.fromiter((len(pieces[k]) for k in often.tolist()), np.int64, len(often))
+        often = np.sort(often[np.cumsum(sizes) <= self.limit * PIECE_CHARS // 2])
+        values, lens = self.gather(often)
+        self.release()
+        for k in often.tolist():
+            self.index[pieces[k]] = len(self.index)
+            self.chars += len(pieces[k])
+        self._append(0, values, lens)
+        self.times[: len(often)] = times[often] >> 1
 
 
 class TextEncoder:
@@ -133,6 +132,12 @@ class TextEncoder:
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.id_bytes[number] = len(token.removesuffix("</w>"))  # byte-level tokens have a letter for each byte
 
+    def release(self) -> None:
+        """Let go of the pieces, and of the tokenizer unless it is in use; ``encoder`` loads it again."""
+        self.store.release()
+        for path in [p for p, e in _ENCODERS.items() if e is self]:
+            del _ENCODERS[path]
+
     def _encode(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         joins = [k for k, p in enumerate(pieces) if self._may_join(p)]
         if len(joins) < 2:
@@ -183,7 +188,7 @@ class TextEncoder:
 
     def encode(self, texts: list) -> Iterator[np.ndarray]:
         """An array of ids for each text; None counts as empty. An array holds the ids of its neighbours too: copy what is to stay."""
-        hold_only(self.store)
+        hold_only(self)
         at = 0
         while at < len(texts):
             end, chars = at, 0

@@ -17,10 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_row
+from .common import TEXT_ROWS, hold_only, table, whole_row
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -202,9 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def _score(model: AdditiveModel) -> Column:
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(feature_matrix(list(text))))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        hold_only()
+        parts = [feature_matrix(text.slice(at, TEXT_ROWS).to_pylist()) for at in range(0, len(text), TEXT_ROWS)]
+        return pa.array(model.score(np.concatenate([feature_matrix([]), *parts])))
 
     return score("text")
 

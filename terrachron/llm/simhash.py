@@ -17,14 +17,14 @@ number of nodes, not the square of a group's size:
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bits import majority
-from .common import materialise, table, whole_row
+from .common import TEXT_ROWS, hold_only, materialise, table, whole_row
 from .graph import connected_components
 
 MAX_BITS = 3
@@ -61,9 +61,11 @@ def fingerprints(texts: list, size: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame, size: int = SHINGLE_WORDS, text_col: str = "text", name: str = "fp") -> DataFrame:
-    @F.pandas_udf("long")
-    def of(text: pd.Series) -> pd.Series:
-        return pd.Series(fingerprints([t if isinstance(t, str) else None for t in text], size).view(np.int64))
+    @F.arrow_udf("long")
+    def of(text: pa.Array) -> pa.Array:
+        hold_only()
+        texts = (t for at in range(0, len(text), TEXT_ROWS) for t in text.slice(at, TEXT_ROWS).to_pylist())
+        return pa.array(fingerprints(texts, size).view(np.int64))
 
     return docs.withColumn(name, of(F.col(text_col)))
 

@@ -16,7 +16,7 @@ import public_tokenizers  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from terrachron.llm import ann, chat, ctw, decontam, graph, line_dedup, packing, pieces, quality, simhash, token_counts, token_files, words  # noqa: E402
+from terrachron.llm import ann, chat, common, ctw, decontam, graph, line_dedup, packing, pieces, quality, simhash, token_counts, token_files, words  # noqa: E402
 from terrachron.llm.words import normal  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long"
@@ -433,6 +433,34 @@ def test_piecewise_encoding(name):
         assert token_counts.MergeCounter(path).counts(rows).tolist() == [len(w) for w in want]
 
 
+def test_workers_let_go_of_what_other_stages_left(monkeypatch):
+    """Lines, fingerprints and scores need no cache: the tokenizer and its pieces, or words, of an earlier stage go."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array(["a few words"])], ["doc_id", "text_hash", "text"])
+    assert list(pieces.encoder(path).encode(["a few words"])) and path in pieces._ENCODERS
+    assert [b.num_rows for b in line_dedup._lines(iter([batch]))] == [1]
+    assert path not in pieces._ENCODERS and not common._HELD
+
+
+def test_texts_become_strings_a_part_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1001))], ["doc_id"])
+    parts = list(common.slices(iter([batch, batch.slice(0, 0), batch.slice(0, 3)]), 250))
+    assert [p.num_rows for p in parts] == [250, 250, 250, 250, 1, 3] and parts[1].column(0)[0].as_py() == 250
+
+
+def test_store_keeps_the_pieces_that_come_often():
+    seen = []
+    store = pieces.PieceStore(lambda found: (seen.extend(found), (np.fromiter(map(int, found), np.int64), np.ones(len(found), np.int64)))[1], np.int64, 100)
+    often = [str(k) for k in range(40)]
+    for k in range(50):
+        once = [str(1000 * k + 1000 + i) for i in range(20)]
+        values, lens = store.gather(store.codes([*often, *once]))
+        assert values.tolist() == [int(x) for x in [*often, *once]] and len(values) == lens.sum()
+        store.trim()
+        assert len(store.index) <= 100 and set(often) <= set(store.index)
+    assert len(seen) == len(set(seen)) == 40 + 50 * 20
+
+
 def test_token_counts(spark):
     rows = texts()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
