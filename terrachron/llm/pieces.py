@@ -21,6 +21,12 @@ from .common import hold_only
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of other characters with at most one blank before it, or white space as the pattern of byte-level BPE takes it.
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Letters of Latin blocks that stay letters when small, and ASCII punctuation.
+NEAR_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
+MARKS = "!-/:-@\\[-`{-~"
+#: Chunks whose leading letters are a piece of their own where white space, a mark or nothing follows: both tokenizers end a run of letters there.
+FINE_CHUNK = re.compile(f" ?[{NEAR_LETTERS}]+(?![^{WHITE}{MARKS}])|{CHUNK.pattern}")
+FINE_WORD = re.compile(f"[{NEAR_LETTERS}]+(?![^ {MARKS}])|[^ ]+")
 #: Letters outside Latin blocks, and the one Latin capital whose small form is two letters.
 FAR_LETTERS = re.compile("[^\\x00-\u012f\u0131-\u024f]")
 CACHE_PIECES = 450_000
@@ -179,12 +185,14 @@ class TextEncoder:
 
     def _pieces(self, text: str) -> list:
         if self.drops_white:  # white space only separates; a special string has none
+            if any(s in text for s in self.special):
+                return text.replace("\n", " ").split(" ")
             if self.lowers and "<" not in text and not FAR_LETTERS.search(text):
                 text = text.lower()  # fewer distinct pieces; the tokenizer does the same to these letters
-            return text.replace("\n", " ").split(" ")
+            return FINE_WORD.findall(text.replace("\n", " "))
         if any(s in text for s in self.special):  # such a string ends the run of white space before it: leave the text whole
             return [text]
-        return CHUNK.findall(text)
+        return FINE_CHUNK.findall(text)
 
     def encode(self, texts: list) -> Iterator[np.ndarray]:
         """An array of ids for each text; None counts as empty. An array holds the ids of its neighbours too: copy what is to stay."""

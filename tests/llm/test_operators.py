@@ -433,6 +433,22 @@ def test_piecewise_encoding(name):
         assert token_counts.MergeCounter(path).counts(rows).tolist() == [len(w) for w in want]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_before_marks_are_encoded_once(name, monkeypatch):
+    path = public_tokenizers.path(name)
+    rows = ["a word, a word. a (word) word; don't word's WORD'S", "a\nword\u0130, \u0130's word\u0301, x\u2028word<\u0338 \u00e9t\u00e9's <|endoftext|>word, word12, 12word.", "word", "word,<|endoftext|>."]
+    encoder = pieces.TextEncoder(path)
+    seen = []
+    encode = encoder.store.values_of
+    monkeypatch.setattr(encoder.store, "values_of", lambda found: (seen.extend(found), encode(found))[1])
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(rows, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(rows)] == want
+    seen.clear()
+    encoder.store.release()
+    list(encoder.encode([" word, word. word! word; word: word? word) word"]))
+    assert sum("word" in p for p in seen) == 1, seen
+
+
 def test_workers_let_go_of_what_other_stages_left(monkeypatch):
     """Lines, fingerprints and scores need no cache: the tokenizer and its pieces, or words, of an earlier stage go."""
     path = public_tokenizers.path("byte_bpe_50k.json")
