@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, table
+from .common import shared_dir, slices, table
 from .pieces import encoder
 
 END_ID = 1
@@ -75,8 +75,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, bits: int, end_id: int
         row = _block(part, number, docs, ids, bits)
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-    for batch in batches:
-        part = batch.column(2)[0].as_py() if len(batch) else part
+    for batch in slices(batches):
+        part = batch.column(2)[0].as_py()
         for doc, found in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
             docs.append(doc)
             ids.append(np.append(found, np.uint32(end_id)).astype(np.uint32))
