@@ -16,3 +16,29 @@ def test_same_time_sums_without_pairs(spark):
     crowd = spark.range(200_000).select(F.col("id").cast("string").alias("id"), F.lit("2000-02-03").alias("date_start"), F.lit("day").alias("date_precision"))
     sums = relate.same_time_sums(crowd).agg(F.count("*"), F.min("n"), F.max("n"), F.max("d")).first()
     assert tuple(sums) == (200_000, 199_999, 199_999, 0.0)
+
+
+def test_related_is_brute_force_and_follows_records(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(120):
+        day = f"{rnd.choice((1999, 2000))}-{rnd.randrange(1, 13):02}-{rnd.randrange(1, 28):02}" if i % 3 else "2000-05-05"
+        at = (10.0 + rnd.randrange(3) / 100, 50.0) if i % 4 else (rnd.uniform(9, 11), rnd.uniform(49, 51))
+        rows.append((f"e{i}", f"Q{i + 1}", f"Q{rnd.choice((1, 2, 3, 7 + i // 9))}" if i % 5 else None, "t", day, rnd.choice(("day", "day", "year")), *at, rnd.choice(("precise", "precise", "none"))))
+    columns = "id string, wikidata_qid string, parent_qid string, title string, date_start string, date_precision string, lon double, lat double, location_quality string"
+    df = spark.createDataFrame(rows, columns)
+    pairs = lambda found: {(r.id, r.other): r.d for r in found.collect()}
+    groups = {"shared_parent": pairs(relate.shared_parent(df)), "nearby": pairs(relate.nearby(df)), "same_time": pairs(relate.same_time(df))}
+    item = {r[1]: r[0] for r in rows}
+    own = {(r[0], item[r[2]]) for r in rows if r[2] in item and r[2] != r[1]}
+    taken, want = own | {(b, a) for a, b in own}, set()
+    for name, found in groups.items():
+        shown = set()
+        for i in {a for a, _ in found}:
+            fit = sorted(((float("inf") if d is None else d), o) for (a, o), d in found.items() if a == i and (a, o) not in taken)
+            shown |= {(i, o, name, k + 1) for k, (_, o) in enumerate(fit[:5])}
+        taken, want = taken | {x[:2] for x in shown}, want | shown
+    out = relate.related(df)
+    assert {tuple(r) for r in out.select("id", "other", "grp", "place").collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
