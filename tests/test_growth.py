@@ -2,8 +2,10 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from terrachron.functions.masks import met_by_year
 from terrachron.operators import relate
 
 
@@ -42,3 +44,20 @@ def test_related_is_brute_force_and_follows_records(spark):
     assert {tuple(r) for r in out.select("id", "other", "grp", "place").collect()} == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_neighbours_in_crowded_years(spark):
+    rnd = random.Random(6)
+    names = [f"c{k}" for k in range(14)]
+    rows = [(f"e{i}", f"{rnd.randint(1990, 1994)}-01-01", [*rnd.sample(names, rnd.choice((0, 1, 3, 9, 12))), None][: rnd.choice((14, 99))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, date_start string, countries array<string>")
+    sets = [(i, int(y[:4]), {c for c in tags if c}) for i, y, tags in rows]
+    want = {i: sum(j != i and bool(a & b) and abs(x - y) <= 1 for j, y, b in sets) for i, x, a in sets}
+    want = {k: v for k, v in want.items() if v}
+    assert {r.id: r.n for r in relate.neighbours(df).collect()} == want
+    assert {r.id: r.n for r in relate.neighbours(df, mask_tags=13).collect()} == want
+    batch = pa.RecordBatch.from_pydict({"y": [1] * 40_000 + [1] * 3, "asked": [0] * 40_000 + [1] * 3, "mask": [*range(40_000), 0, 1, 2**16 - 1], "n": [1] * 40_003})
+    met = [x for b in met_by_year(16)(iter([batch])) for x in b.column("met").to_pylist()]
+    assert met == [0, 20_000, 39_999]
+    many = spark.range(60_000).select(F.col("id").cast("string").alias("id"), F.lit("2000-01-01").alias("date_start"), F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.concat(F.lit("c"), ((F.col("id") * 7919 + k * k * 31 + k) % 25).cast("string"))).alias("countries"))
+    assert relate.neighbours(many).agg(F.count("*")).first()[0] == 60_000  # sets of up to twelve: country by country they met each other
