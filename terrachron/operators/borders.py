@@ -137,7 +137,7 @@ def border_checks(features: DataFrame, baseline: DataFrame, accepted: DataFrame,
 
     geometry = geometry_findings(features, accepted, size).where("finding <> 'accepted crossing'").select(F.lit("geometry").alias("check"), "name", "start_year", F.concat_ws(" ", "n", "finding").alias("finding"))
     names = continuity(features, base).select(F.lit("continuity").alias("check"), "name", "start_year", F.col("problem").alias("finding"))
-    pairs = overlap_findings(features, size=size).where("intentional IS NULL OR NOT intentional")
+    pairs = overlap_findings(features).where("intentional IS NULL OR NOT intentional")
     meet = pairs.select(F.lit("overlap").alias("check"), F.col("a").alias("name"), F.col("first_year").alias("start_year"), F.concat(F.when(F.col("intentional").isNull(), "sliver with ").otherwise("overlaps "), "b").alias("finding"))
     p = F.col("polygons")
     now = features.select(F.concat_ws("@", "name", F.col("start_year").cast("string")).alias("key"), S.vertex_count(p).alias("vertices"), S.fine_count(p).alias("fine"), S.geometry_hash(p).alias("sha"))
@@ -176,22 +176,49 @@ OVERLAP_KM2 = 0.5
 OVERLAYS = ("occupied-territory-included", "shared-sovereignty-included")
 
 
-def overlap_findings(features: DataFrame, least: float = OVERLAP_KM2, overlays: tuple[str, ...] = OVERLAYS, size: float = CELL) -> DataFrame:
+#: Cells of 2**level degrees, for boxes of every size.
+FINEST, COARSEST = -20, 9
+
+
+def touching_boxes(boxed: DataFrame, of: list[str], years: Column) -> DataFrame:
+    """Pairs of rows (of, and again with a 2) of ``boxed`` (of, _box) whose boxes share area, the lesser (first, third) column of ``of`` first; ``years`` holds for both.
+
+    A box has the cells of the least size that it fits in, four at most, and visits cells of the larger sizes that others
+    have: boxes of one size meet in small cells, however large others are. Each pair counts in the cell of its lower left corner alone."""
+    side = F.greatest(F.col("_box.e") - F.col("_box.w"), F.col("_box.n") - F.col("_box.s"), F.lit(2.0**FINEST))
+    placed = boxed.select(*of, "_box", F.least(F.ceil(F.log2(side)).cast("int"), F.lit(COARSEST)).alias("_level"))
+    levels = sorted(r[0] for r in placed.select("_level").distinct().collect() if r[0] is not None)  # at most the sizes there are
+
+    def cells(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level)
+        xs, ys = (F.sequence(F.floor(F.col(f"_box.{a}") / size), F.floor(F.col(f"_box.{b}") / size)) for a, b in (("w", "e"), ("s", "n")))
+        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(level.alias("level"), x.alias("x"), y.alias("y")))))
+
+    home = placed.select(*of, "_box", F.explode(cells(F.col("_level"))).alias("_cell"))
+    there = F.filter(F.array(*map(F.lit, levels)), lambda level: level >= F.col("_level")) if levels else F.array().cast("array<int>")
+    visit = placed.select(*(F.col(c).alias(f"{c}2") for c in of), F.col("_box").alias("_box2"), F.explode(F.flatten(F.transform(there, cells))).alias("_cell"), F.col("_level").alias("_level2"))
+    touch = (F.col("_box.w") < F.col("_box2.e")) & (F.col("_box2.w") < F.col("_box.e")) & (F.col("_box.s") < F.col("_box2.n")) & (F.col("_box2.s") < F.col("_box.n"))
+    size = F.pow(F.lit(2.0), F.col("_cell.level"))
+    corner = (F.floor(F.greatest("_box.w", "_box2.w") / size) == F.col("_cell.x")) & (F.floor(F.greatest("_box.s", "_box2.s") / size) == F.col("_cell.y"))
+    key = lambda tail: F.struct(*(F.col(f"{of[i]}{tail}").alias(of[i]) for i in (0, 2)))
+    ordered = F.when(F.col("_level2") == F.col("_cell.level"), key("") < key("2")).otherwise(key("") != key("2"))
+    met = home.join(J.shuffled(visit), "_cell").where(ordered & years & touch & corner).withColumn("_turn", key("2") < key(""))
+    return met.select(*(F.when(F.col("_turn"), F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in of), *(F.when(F.col("_turn"), F.col(c)).otherwise(F.col(f"{c}2")).alias(f"{c}2") for c in of)).distinct()
+
+
+def overlap_findings(features: DataFrame, least: float = OVERLAP_KM2, overlays: tuple[str, ...] = OVERLAYS) -> DataFrame:
     """(a, b, first_year, last_year, km2, parts, slivers, intentional): pairs of features that hold in the same years and share area.
 
     The area is that of an edge scan; ``slivers`` counts the shared parts under ``least``, and a pair that shares less
     than that in all is one sliver, told by a null ``intentional``. An overlay over a shape with a status is meant. Each
     pair is measured once, whatever its years and the cells in which the boxes meet."""
-    of = ("name", "status", "start_year", "end_year")
-    f = with_cells(features, size)
-    small = f.select(*of, "_box", "_cell")
-    other = small.select(*(F.col(c).alias(f"{c}2") for c in (*of, "_box")), "_cell")
+    of = ["name", "status", "start_year", "end_year"]
+    boxed = features.withColumn("_box", S.polygons_box(F.col("polygons"))).where("_box.w IS NOT NULL AND _box.s IS NOT NULL")
     years = (F.col("start_year") <= F.col("end_year2")) & (F.col("start_year2") <= F.col("end_year"))
-    touch = (F.col("_box.w") < F.col("_box2.e")) & (F.col("_box2.w") < F.col("_box.e")) & (F.col("_box.s") < F.col("_box2.n")) & (F.col("_box2.s") < F.col("_box.n"))
-    first = F.struct("name", "start_year") < F.struct(F.col("name2").alias("name"), F.col("start_year2").alias("start_year"))
-    pairs = small.join(other, "_cell").where(first & years & touch).select(*of, *(f"{c}2" for c in of)).distinct()
+    pairs = touching_boxes(boxed, of, years)
     shapes = features.select("name", "start_year", "polygons")
-    both = pairs.join(shapes, ["name", "start_year"]).join(shapes.select(F.col("name").alias("name2"), F.col("start_year").alias("start_year2"), F.col("polygons").alias("polygons2")), ["name2", "start_year2"])
+    others = shapes.select(F.col("name").alias("name2"), F.col("start_year").alias("start_year2"), F.col("polygons").alias("polygons2"))
+    both = pairs.join(J.shuffled(shapes), ["name", "start_year"]).join(J.shuffled(others), ["name2", "start_year2"])
     found = both.withColumn("found", overlap_parts(F.col("polygons"), F.col("polygons2"))).where(F.size("found") > 0)
     km2 = F.aggregate("found", F.lit(0.0), lambda x, y: x + y)
     over = F.coalesce(F.col("status").isin(*overlays), F.lit(False)) & F.col("status2").isNotNull() | F.coalesce(F.col("status2").isin(*overlays), F.lit(False)) & F.col("status").isNotNull()

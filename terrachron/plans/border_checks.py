@@ -136,12 +136,14 @@ def predecessor_tags(spark, d):
 
 
 def _areas(spark, d):
-    """An area for each customer, over two spans of years: whole squares, bow ties, rings left open and rings of three positions; every fifth name has a gap, every seventh an overlap in years."""
+    """An area for each customer, over two spans of years: whole squares, bow ties, rings left open and rings of three positions; every fifth name has a gap, every seventh an overlap in years.
+
+    Areas of two customers share nothing, as the SQL has it: each key up to 44 million has a place of its own."""
     k = F.col("c_custkey").cast("long")
-    at = table(spark, d, "customer").select(k.alias("k"), ((k % 64) * 2.0 - 64).alias("x"), ((F.floor(k / 64) % 32) * 2.0 - 32).alias("y"))
+    at = table(spark, d, "customer").select(k.alias("k"), ((k % 11520) / 32 - 180).alias("x"), ((F.floor(k / 11520) % 3840) / 32 - 60).alias("y"))
 
     def ring(*points):
-        return F.array(*(F.struct((F.col("x") + px).alias("lon"), (F.col("y") + py).alias("lat")) for px, py in points))
+        return F.array(*(F.struct((F.col("x") + px * 3 / 128).alias("lon"), (F.col("y") + py * 3 / 128).alias("lat")) for px, py in points))
 
     square, tie = ring((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)), ring((0, 0), (1, 1), (1, 0), (0, 1), (0, 0))
     open_, short = ring((0, 0), (1, 0), (1, 1), (0, 1)), ring((0, 0), (1, 0), (0, 0))

@@ -2,11 +2,14 @@
 
 import random
 
+import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from terrachron.functions.masks import met_by_year
-from terrachron.operators import relate
+from terrachron.operators import borders, relate
+from terrachron.plans import QUERIES, SQL
 
 
 def test_same_time_sums_without_pairs(spark):
@@ -61,3 +64,32 @@ def test_neighbours_in_crowded_years(spark):
     assert met == [0, 20_000, 39_999]
     many = spark.range(60_000).select(F.col("id").cast("string").alias("id"), F.lit("2000-01-01").alias("date_start"), F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.concat(F.lit("c"), ((F.col("id") * 7919 + k * k * 31 + k) % 25).cast("string"))).alias("countries"))
     assert relate.neighbours(many).agg(F.count("*")).first()[0] == 60_000  # sets of up to twelve: country by country they met each other
+
+
+def test_border_checks_of_many_areas_are_their_sql(spark, tmp_path):
+    keys = [k + turn for turn in (0, 2048, 4096, 90_112) for k in range(1, 15)]
+    pq.write_table(pa.table({"c_custkey": pa.array(keys, pa.int64())}), tmp_path / "customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    got = QUERIES["k44_border_checks"](spark, str(tmp_path)).select("check", "name", "start_year", "finding").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f'SELECT "check", name, start_year, finding FROM ({SQL["k44_border_checks"]})').fetchall())
+
+
+def test_boxes_of_all_sizes_meet_once(spark):
+    rnd = random.Random(7)
+    rows = []
+    for i in range(90):
+        x, y, side = rnd.uniform(-5, 5), rnd.uniform(-5, 5), rnd.choice((0.0, 0.25, 1.0, rnd.uniform(0.01, 4), 30.0 if i % 30 == 0 else 2.0))
+        rows.append((f"n{i // 2}", None, 1990 + i % 2 * rnd.choice((1, 5)), 1990 + rnd.choice((4, 9)), {"w": x, "s": y, "e": x + side, "n": y + side / 2}))
+    of = ["name", "status", "start_year", "end_year"]
+    df = spark.createDataFrame(rows, "name string, status string, start_year int, end_year int, _box struct<w:double,s:double,e:double,n:double>")
+    years = (F.col("start_year") <= F.col("end_year2")) & (F.col("start_year2") <= F.col("end_year"))
+    want = set()
+    for a in rows:
+        for b in rows:
+            p, q = a[4], b[4]
+            touch = p["w"] < q["e"] and q["w"] < p["e"] and p["s"] < q["n"] and q["s"] < p["n"]
+            if (a[0], a[2]) < (b[0], b[2]) and a[2] <= b[3] and b[2] <= a[3] and touch:
+                want.add((*a[:4], *b[:4]))
+    got = [tuple(r) for r in borders.touching_boxes(df, of, years).collect()]
+    assert set(got) == want and len(got) == len(want)
