@@ -92,7 +92,7 @@ def crossings(features: DataFrame, size: float = CELL) -> DataFrame:
     cells = J.box_cells(ends(F.least, "ax", "bx"), ends(F.least, "ay", "by"), ends(F.greatest, "ax", "bx"), ends(F.greatest, "ay", "by"), size)
     a = s.withColumn("_cell", F.explode(cells)).withColumn("sid", F.struct("part", "ring", "seg"))
     b = a.select("name", "start_year", "end_year", "_cell", F.col("sid").alias("sid2"), *(F.col(c).alias(f"{c}2") for c in ("ax", "ay", "bx", "by")))
-    pairs = a.join(b, ["name", "start_year", "end_year", "_cell"]).where("sid < sid2")
+    pairs = a.join(J.shuffled(b), ["name", "start_year", "end_year", "_cell"]).where("sid < sid2")
     c = {n: F.col(n) for n in ("ax", "ay", "bx", "by", "ax2", "ay2", "bx2", "by2")}
     one = _side(c["ax"], c["ay"], c["bx"], c["by"], c["ax2"], c["ay2"]) * _side(c["ax"], c["ay"], c["bx"], c["by"], c["bx2"], c["by2"])
     two = _side(c["ax2"], c["ay2"], c["bx2"], c["by2"], c["ax"], c["ay"]) * _side(c["ax2"], c["ay2"], c["bx2"], c["by2"], c["bx"], c["by"])
@@ -113,10 +113,10 @@ def ring_findings(features: DataFrame, accepted: DataFrame, size: float = CELL)
     known = accepted.select(*of, *place).distinct()
     alone = met.where(same).select(*of, *place)
     by = [*of, "lon", "lat"]
-    found = alone.join(known.withColumn("is_known", F.lit(True)), by, "left")
+    found = alone.join(J.shuffled(known.withColumn("is_known", F.lit(True))), by, "left")
     rows = found.select(*of, F.when(F.col("is_known"), "accepted crossing").otherwise("ring crosses itself").alias("finding"))
     rows = rows.unionByName(met.where(~same).select(*of, F.lit("rings cross").alias("finding")))
-    rows = rows.unionByName(known.join(alone, by, "left_anti").select(*of, F.lit("accepted crossing no longer found").alias("finding")))
+    rows = rows.unionByName(known.join(J.shuffled(alone), by, "left_anti").select(*of, F.lit("accepted crossing no longer found").alias("finding")))
     return rows.groupBy(*of, "finding").agg(F.count("*").alias("n"))
 
 

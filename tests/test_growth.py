@@ -93,3 +93,10 @@ def test_boxes_of_all_sizes_meet_once(spark):
                 want.add((*a[:4], *b[:4]))
     got = [tuple(r) for r in borders.touching_boxes(df, of, years).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_crossings_are_not_broadcast(spark, tmp_path):
+    pq.write_table(pa.table({"c_custkey": pa.array(range(50), pa.int64())}), tmp_path / "customer.parquet")
+    found = QUERIES["k43_geometry_findings"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
