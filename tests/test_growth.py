@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from terrachron.functions import spatial
 from terrachron.functions.masks import met_by_year
 from terrachron.operators import borders, relate
 from terrachron.plans import QUERIES, SQL
@@ -100,3 +101,18 @@ def test_crossings_are_not_broadcast(spark, tmp_path):
     found = QUERIES["k43_geometry_findings"](spark, str(tmp_path))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_nearby_makes_pairs_last(spark, monkeypatch):
+    monkeypatch.setattr(relate, "IDS_IN_ROW", 3)
+    rnd = random.Random(8)
+    points = [(rnd.uniform(9, 11), rnd.uniform(49, 51)) for _ in range(12)]
+    rows = [(f"e{i}", *rnd.choice(points), rnd.choice(("precise", "precise", "none"))) for i in range(150)]
+    df = spark.createDataFrame(rows, "id string, lon double, lat double, location_quality string")
+    placed = df.where("location_quality = 'precise'").select("id", "lon", "lat")
+    d = spatial.haversine_km("lon", "lat", "x2", "y2")
+    every = placed.crossJoin(placed.toDF("other", "x2", "y2")).where("id <> other").withColumn("d", d).where("d <= 50").select("id", "other", F.round("d", 4).alias("d"))
+    got = relate.nearby(df, places=4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(others") < plan.index("Join") and "Broadcast" not in plan
