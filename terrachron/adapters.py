@@ -37,8 +37,8 @@ def event_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("n", F.col("o_orderkey").cast("long")).drop("l_orderkey", "o_orderkey")
 
 
-def events(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
-    """Event records; ``with_text`` adds the extract."""
+def events(spark: SparkSession, sf_dir: str, with_text: bool = False, facts: dict[str, Column] | None = None) -> DataFrame:
+    """Event records; ``with_text`` adds the extract, ``facts`` columns that follow from the extract alone: worked out once for each document, they are joined in its place."""
     n = F.col("n")
     q = lambda x: F.concat(F.lit("Q"), x.cast("string"))
     out = event_base(spark, sf_dir).select(
@@ -61,9 +61,11 @@ def events(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFra
         "countries",
         "wikidata_classes",
     )
-    if with_text:
+    if with_text or facts:
         texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_doc"), F.col("text").alias("extract"))
         size = F.broadcast(texts.agg(F.count("*").alias("_docs")))  # one row
+        if facts:
+            texts = texts.select("_doc", *(["extract"] if with_text else []), *(c.alias(name) for name, c in facts.items()))
         out = out.crossJoin(size).join(texts, F.expr("_doc = n % nullif(_docs, 0)"), "left").drop("_doc", "_docs")
     return out
 

@@ -128,12 +128,15 @@ def resolve_candidates(candidates: DataFrame, leads: DataFrame, entities: DataFr
 
 
 def finalize(events: DataFrame) -> DataFrame:
-    """The ordered derivation of a record: dates, then order flags, then group, then review state."""
+    """The ordered derivation of a record: dates, then order flags, then group, then review state.
+
+    ``lead_dates`` may be there already, null where there is no text: texts that many records share need be read once only."""
     from ..functions import text as X
     from .report import group_of
 
+    dates = F.coalesce("lead_dates", F.array().cast("array<string>")) if "lead_dates" in events.columns else X.lead_dates("extract")
     return (
-        events.withColumn("lead_dates", X.lead_dates("extract")).withColumn("date_flags", order_flags(lead=F.col("lead_dates"))).withColumn("category", group_of(F.col("wikidata_classes")))
+        events.withColumn("lead_dates", dates).withColumn("date_flags", order_flags(lead=F.col("lead_dates"))).withColumn("category", group_of(F.col("wikidata_classes")))
         .withColumn("needs_review", F.size("date_flags") > 0).withColumn("needs_manual_coordinates", F.col("location_quality") == "none")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import events, features, table
 from ..functions import temporal as T
+from ..functions import text as X
 from ..operators import borders as B
 from ..operators import compare as C
 from ..operators import derive as L
@@ -28,7 +29,7 @@ g AS (SELECT *, list_distinct(list_transform(list_filter(c, lambda x: x <> 'prot
 SELECT id, CASE WHEN list_contains(gs, 'terrorism') THEN 'terrorism' WHEN len(gs) = 0 THEN 'unclassified' WHEN len(gs) = 1 THEN gs[1] ELSE 'mixed' END AS category, CASE WHEN rev THEN 1 ELSE 0 END AS n_flags,
   CASE WHEN len(days) > 0 THEN len(list_distinct(days[1:4])) ELSE least(6, years) END AS n_lead_dates, rev AS needs_review, location_quality = 'none' AS needs_manual_coordinates FROM g""", "evt")
 def finalized(spark, d):
-    return L.finalize(events(spark, d, with_text=True)).select("id", "category", F.size("date_flags").alias("n_flags"), F.size("lead_dates").alias("n_lead_dates"), "needs_review", "needs_manual_coordinates")
+    return L.finalize(events(spark, d, facts={"lead_dates": X.lead_dates("extract")})).select("id", "category", F.size("date_flags").alias("n_flags"), F.size("lead_dates").alias("n_lead_dates"), "needs_review", "needs_manual_coordinates")
 
 
 @query("l06_support_flags", """

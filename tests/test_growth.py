@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrachron.functions import spatial
 from terrachron.functions.masks import met_by_year
-from terrachron.operators import borders, relate
+from terrachron.operators import borders, derive, relate
 from terrachron.plans import QUERIES, SQL
 
 
@@ -116,3 +116,12 @@ def test_nearby_makes_pairs_last(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode(others") < plan.index("Join") and "Broadcast" not in plan
+
+
+def test_lead_dates_are_read_once_for_each_text(spark):
+    plan = QUERIES["l05_finalized"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("regexp_extract_all")
+    rows = spark.createDataFrame([("a", None), ("b", ["1999", "2001"])], "id string, lead_dates array<string>")
+    rows = rows.select("*", F.lit("2000-02-01").alias("date_start"), F.lit("2000-01-01").alias("date_end"), F.array(F.lit("war")).alias("wikidata_classes"), F.lit("none").alias("location_quality"))
+    told = {r.id: (r.lead_dates, r.date_flags) for r in derive.finalize(rows).collect()}
+    assert told == {"a": ([], ["date_order_invalid: 2000-01-01 precedes 2000-02-01"]), "b": (["1999", "2001"], ["date_order_invalid: 2000-01-01 precedes 2000-02-01; lead: 1999, 2001"])}
