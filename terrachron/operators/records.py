@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import spatial as S
 from ..functions import temporal as T
 from ..functions import text as X
+from ..session import settle
+from . import joins as J
 from .derive import kept_precision, merged_labels, reconcile_start
 from .report import group_of
 
@@ -147,10 +149,11 @@ def with_sources(records: DataFrame, entities: DataFrame, leads: DataFrame, ledg
     ``entities`` and ``ledger`` are keyed by wikidata_qid, ``leads`` by article."""
 
     def packed(table: DataFrame, key: str, name: str) -> DataFrame:
-        return table.groupBy(key).agg(F.first(F.struct(*(c for c in table.columns if c != key))).alias(name))
+        return J.shuffled(table.groupBy(key).agg(F.first(F.struct(*(c for c in table.columns if c != key))).alias(name)))
 
     article = records.withColumn("article", F.coalesce(X.title_from_url("wikipedia_url"), F.col("title")))
-    return article.join(packed(entities, "wikidata_qid", "entity"), "wikidata_qid", "left").join(packed(leads, "article", "lead"), "article", "left").join(packed(ledger, "wikidata_qid", "fix"), "wikidata_qid", "left")
+    by_item = article.join(packed(entities, "wikidata_qid", "entity"), "wikidata_qid", "left").join(packed(ledger, "wikidata_qid", "fix"), "wikidata_qid", "left")  # one shuffle of the records for both
+    return settle(by_item).join(packed(leads, "article", "lead"), "article", "left")
 
 
 def derive(records: DataFrame, steps: list[tuple[str, Step]], watched: tuple[str, ...]) -> DataFrame:

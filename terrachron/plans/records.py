@@ -13,6 +13,7 @@ from ..adapters import events
 from ..functions import temporal as T
 from ..functions import text as X
 from ..operators import records as R
+from ..session import settle
 from .registry import query
 
 POINT = {"lon": 10.0, "lat": 10.0}
@@ -31,7 +32,8 @@ def _claims(*claims: tuple) -> Column:
 def stored_records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(records, entities, leads, ledger) of the test tables."""
     n = F.col("n")
-    e = events(spark, d).withColumn("y", T.year_of("date_start"))
+    used = ("n", "id", "wikidata_qid", "resolved_qid", "title", "date_start", "date_end", "date_precision", "countries", "lon", "lat", "sitelinks", "wikidata_classes")
+    e = settle(events(spark, d).select(*used)).withColumn("y", T.year_of("date_start"))  # read by all four
     start = F.when(n % 6 == 0, F.concat(F.col("y").cast("string"), F.lit("-01-01"))).otherwise(F.col("date_start"))
     e = e.withColumns({"claimed": F.col("date_start"), "date_start": start, "title": F.concat("title", F.lit(" "), F.col("y").cast("string"))})
     text = F.concat(F.col("title"), F.lit(" of "), F.col("y").cast("string"))
